@@ -139,7 +139,7 @@ def similar_classes(reps: DataFrame, size: int, k: int, least: float, curves: in
     return found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).drop("n")
 
 
-def neighbours(df: DataFrame, key: str, vector: str, size: int, k: int, least: float, curves: int = 24, block: int = 512) -> DataFrame:
+def neighbours(df: DataFrame, key: str, vector: str, size: int, k: int, least: float, curves: int = 16, block: int = 256) -> DataFrame:
     """Columns id, place (from 1), other, cos: the k most similar others of every usable vector, at the least cosine or more."""
     same = [F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit(1)).alias("h2")]
     rows = usable(df, key, vector, size).select("id", "v", *same)
