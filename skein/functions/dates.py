@@ -16,7 +16,7 @@ def month_index(date: Column) -> Column:
 
 def month_of_index(index: Column) -> Column:
     """YYYY-MM of a month index."""
-    return F.format_string("%04d-%02d", F.floor(index / 12), index % 12 + 1)
+    return F.when(index.isNotNull(), F.format_string("%04d-%02d", F.floor(index / 12), index % 12 + 1))
 
 
 def normalize_month(raw: Column) -> Column:

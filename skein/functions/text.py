@@ -68,7 +68,7 @@ def keyword_list(keywords: Column, title: Column) -> Column:
 def coerced_score(x: Column) -> Column:
     """A score on another scale (above 1) divided by ten, kept between 0 and 1, rounded to 4 places; unreadable is null."""
     v = x.try_cast("double")
-    return F.round(F.least(F.greatest(F.when(v > 1, v / 10).otherwise(v), F.lit(0.0)), F.lit(1.0)), 4)
+    return F.when(v.isNotNull(), F.round(F.least(F.greatest(F.when(v > 1, v / 10).otherwise(v), F.lit(0.0)), F.lit(1.0)), 4))
 
 
 def h1_title(markdown: Column) -> Column:
@@ -137,7 +137,7 @@ def judged(reply: Column, dimension: str, lenient: bool = False) -> Column:
     """
     if lenient:
         number = F.regexp_extract(reply, rf"(?i){dimension}\s*:\s*(\d+)", 1).try_cast("int")
-        return F.coalesce(F.least(number, F.lit(3)), F.lit(0))
+        return F.when(number > 3, 3).otherwise(F.coalesce(number, F.lit(0)))
     return F.regexp_extract(without_thinking(reply), rf"(?im)^\s*{dimension}\s*:\s*([0-3])(?![0-9/.])", 1).try_cast("int")
 
 
@@ -148,7 +148,7 @@ def free_score(reply: Column) -> Column:
 
 
 #: What looks like a citation, in the order in which they are collected.
-CITATIONS = (r"(?i)\barxiv[:\s\-]*([0-9]{4}\.[0-9]{4,6})\b", r"\b([0-9]{4}\.[0-9]{4,6})\b", r"\[([A-Za-z0-9_]{4,40})\]", r"\b(10\.\d{4,9}/[\w.\-]+)\b")
+CITATIONS = (r"(?i)\barxiv[:\s\-]*([0-9]{4}\.[0-9]{4,8})\b", r"\b([0-9]{4}\.[0-9]{4,8})\b", r"\[([A-Za-z0-9_]{4,40})\]", r"\b(10\.\d{4,9}/[\w.\-]+)\b")
 
 
 def citations(x: Column) -> Column:

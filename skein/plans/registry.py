@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.plans import windows_queries
+from skein.plans import operator_queries, scalar_queries, windows_queries
 
-_MODULES = [windows_queries]
+_MODULES = [windows_queries, scalar_queries, operator_queries]
 
 
 def queries() -> dict:
