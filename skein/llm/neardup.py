@@ -1,13 +1,17 @@
 """Records that say nearly the same: all pairs whose word sets have a Jaccard similarity of at least ``least``.
 
 1. A record's words are a set; records with equal sets are a class, and one of each class (the smallest id) is compared.
-2. Parity sketches: a record's word hashes are spread over m blocks, and a block holds the XOR of its words' hashes. Sets of sizes
-   a and b with the asked similarity differ in at most d = floor((1 - s) / (1 + s) * (a + b)) words, so with m = d // 2 + 1
-   blocks at least one block differs in no more than one word. Each record therefore emits every block's XOR, and
-   that XOR without each single word of the block; similar records meet on one of these keys (never two reduced keys).
-   m depends on the size band of the larger record; a record emits for its own band and for those of the sizes it may be similar to.
-3. Where two records meet, the Hamming distance of their 128-bit parity sketches (one bit flipped per word), which is never more than
-   the words they differ in, must be at most d. Few other pairs are left, and their words decide.
+2. Words that stand in more than ``FREQUENT`` of the records are frequent, all others rare. Sets of a and b words with similarity s
+   differ in at most d = t * (a + b) words, t = (1 - s) / (1 + s). Two similar records either share ``shared`` rare words (two, or one
+   where records have many), or their frequent words alone differ in no more than d - (rare words of both) + 2 * (shared - 1).
+3. Records that share rare words meet on them: each emits the (pairs of the) first of its rare words in hash order; as a
+   similar set misses no more than (1 - s) * a words, the first (1 - s) * a + shared are enough.
+4. The others meet by parity sketches of their frequent words: the words are spread over m blocks, a block holding the XOR of its words'
+   hashes. Where at most D words differ, m = D + 1 blocks leave one block equal; where D is large, m = D // 2 + 1 blocks leave one that
+   differs in at most a word, and each record also emits each block's XOR without each of its words. D depends on sizes and rare
+   words, so records are put in bands of what they add to it, and meet once per pair of bands.
+5. Where two records meet, the Hamming distance of the 128-bit parity sketches of all their words (one bit flipped per word), which is
+   never more than the words they differ in, must be at most d. Few other pairs are left, and their words decide.
 
 Nothing is missed: no key, bucket or partner is capped. Buckets are processed as sorted arrays, one offset between neighbours at a time.
 Words are taken as 64-bit hashes until the last step, which compares the words themselves.
@@ -29,8 +33,14 @@ from pyspark.sql import functions as F
 from skein.operators.components import components
 from skein.plans.cut import cut
 
-#: Ratio between the ends of a size band.
-BAND = 1.2
+#: Share of the records above which a word is frequent; so there can be no more frequent words than words per record over FREQUENT.
+FREQUENT = 0.03
+#: Upper ends of the bands of what a record adds to the words that may differ; each next is 1.4 times as much.
+ENDS = (1, 3, 5, 8, 12)
+#: Words that may differ from which blocks may differ in one word.
+TOLERANT = 12
+#: Rare words per record, on average, up to which records meet on pairs of them.
+PAIRED = 24
 #: Rows of signatures that a task should get.
 TASK_ROWS = 600_000
 
@@ -46,12 +56,12 @@ def _most_differing(total: np.ndarray | int, least: float):
     return np.floor((1 - least) / (1 + least) * total + 1e-9).astype(np.int64) if isinstance(total, np.ndarray) else int((1 - least) / (1 + least) * total + 1e-9)
 
 
-def _band_ends(longest: int) -> np.ndarray:
-    """The largest size of each band: 1, 2, ... as long as a band holds one size, then growing by BAND."""
-    ends = [1]
-    while ends[-1] < longest:
-        ends.append(max(ends[-1] + 1, int(ends[-1] * BAND)))
-    return np.array(ends)
+def band_ends(most: float) -> list[int]:
+    """Upper ends of the bands up to one that holds ``most``."""
+    ends = list(ENDS)
+    while ends[-1] < most:
+        ends.append(int(ends[-1] * 1.4) + 1)
+    return ends
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,64 +70,107 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def signatures(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """key, id, two halves of the sketch, meta (size * 4 + own band * 2 + reduced) for records of sizes > 0; hashes are theirs in a row."""
-    ends = _band_ends(int(sizes.max() / least) + 1)
+class Plan:
+    """What every task must know to emit the same keys: the frequent words, how many rare ones must be shared, and the bands in use."""
+
+    def __init__(self, least: float, frequent: np.ndarray, shared: int, ends: list[int], used: list[int]) -> None:
+        self.least, self.frequent, self.shared, self.ends, self.used = least, np.sort(frequent), shared, ends, used
+        self.t = (1 - least) / (1 + least)
+
+    def combinations(self) -> Iterator[tuple[int, int, int, bool]]:
+        """Lower and higher band, blocks, and whether blocks may differ in a word."""
+        for i in self.used:
+            for j in self.used:
+                if i <= j:
+                    differing = self.ends[i] + self.ends[j]
+                    tolerant = differing >= TOLERANT and i >= 2
+                    yield i, j, differing // 2 + 1 if tolerant else differing + 1, tolerant
+
+
+def _keyed(x: np.ndarray, side: np.ndarray | int) -> np.ndarray:
+    """A key with its side in the two lowest bits, so that in key order the higher side of a bucket comes first."""
+    return (x & ~np.uint64(3)) | np.uint64(2) - np.asarray(side, dtype=np.uint64)
+
+
+def signatures(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, plan: Plan) -> Iterator[tuple[np.ndarray, ...]]:
+    """key, id, two halves of the sketch, meta (size * 2 + reduced) for records of sizes > 0; hashes are theirs in a row.
+
+    Sides: 0 meets all of its bucket, 2 (a record of the higher band) and 1 (of the lower band) meet each other.
+    """
     record = np.repeat(np.arange(len(ids)), sizes)
     begins = np.cumsum(sizes) - sizes
     bit = np.uint64(1) << (hashes & np.uint64(63))
     upper = (hashes & np.uint64(64)) != 0
-    f1 = np.bitwise_xor.reduceat(np.where(upper, np.uint64(0), bit), begins)
-    f2 = np.bitwise_xor.reduceat(np.where(upper, bit, np.uint64(0)), begins)
-    spread = _mix(hashes) >> np.uint64(20)
-    own = np.searchsorted(ends, sizes)
-    last = np.searchsorted(ends, np.floor(sizes / least + 1e-9))
-    for band in range(int(own.min()), int(last.max()) + 1):
-        here = (own <= band) & (band <= last)
-        if not here.any():
+    f1 = np.bitwise_xor.reduceat(np.where(upper, np.uint64(0), bit), begins).view(np.int64)
+    f2 = np.bitwise_xor.reduceat(np.where(upper, bit, np.uint64(0)), begins).view(np.int64)
+
+    def rows(keys: np.ndarray, row: np.ndarray, reduced: np.ndarray | int = 0) -> tuple[np.ndarray, ...]:
+        return keys.view(np.int64), ids[row], f1[row], f2[row], (sizes[row] * 2 + reduced).astype(np.int32)
+
+    at = np.minimum(np.searchsorted(plan.frequent, hashes), max(0, len(plan.frequent) - 1))
+    is_rare = plan.frequent[at] != hashes if len(plan.frequent) else np.ones(len(hashes), dtype=bool)
+    rare_n = np.bincount(record[is_rare], minlength=len(ids))
+    order = np.lexsort((hashes[is_rare], record[is_rare]))
+    rare, first = hashes[is_rare][order], np.cumsum(rare_n) - rare_n
+    prefix = np.minimum(rare_n, np.floor((1 - plan.least) * sizes + 1e-9).astype(np.int64) + plan.shared)
+    for n in np.unique(prefix[prefix >= plan.shared]):
+        who = np.nonzero(prefix == n)[0]
+        words = _mix(rare[first[who][:, None] + np.arange(n)[None, :]])
+        if plan.shared == 2:
+            i, j = np.triu_indices(n, 1)
+            keys = _mix(words[:, i] * np.uint64(3) + words[:, j])
+        else:
+            keys = _mix(words + np.uint64(1))
+        yield rows(_keyed(keys.ravel(), 0), np.repeat(who, keys.shape[1]))
+
+    h, rec_of = hashes[~is_rare], record[~is_rare]
+    spread = _mix(h) >> np.uint64(20)
+    adds = plan.t * sizes - rare_n + plan.shared - 1
+    band = np.searchsorted(plan.ends, np.ceil(adds - 1e-9))
+    for i, j, m, tolerant in plan.combinations():
+        low, high = (band == i) & (adds + plan.ends[j] >= 0), (band == j) & (adds + plan.ends[i] >= 0)
+        here = np.nonzero(low | high)[0]
+        if not len(here):
             continue
-        m = _most_differing(2 * int(ends[band]), least) // 2 + 1
-        at = np.nonzero(here)[0]
-        new = np.cumsum(here) - 1
-        of = here[record]
-        rec, h = new[record[of]], hashes[of]
+        new = np.full(len(ids), -1)
+        new[here] = np.arange(len(here))
+        of = new[rec_of] >= 0
+        rec, words = new[rec_of[of]], h[of]
         block = (spread[of] % np.uint64(m)).astype(np.int64)
         cell = rec * m + block
         order = np.argsort(cell, kind="stable")
         sorted_cell = cell[order]
-        first = np.ones(len(order), dtype=bool)
-        first[1:] = sorted_cell[1:] != sorted_cell[:-1]
-        xors = np.zeros(len(at) * m, dtype=np.uint64)
-        xors[sorted_cell[first]] = np.bitwise_xor.reduceat(h[order], np.nonzero(first)[0])
-        salt = _mix(np.arange(m, dtype=np.uint64) + np.uint64(band * 100_003 + 1))
-        full = _mix(xors ^ np.tile(salt, len(at)))
-        reduced = _mix(xors[cell] ^ h ^ salt[block])
-        who = np.concatenate([np.repeat(np.arange(len(at)), m), rec])
-        kind = np.concatenate([np.zeros(len(full), dtype=np.int32), np.ones(len(reduced), dtype=np.int32)])
-        row = at[who]
-        meta = (sizes[row] * 4 + (own[row] == band) * 2).astype(np.int32) + kind
-        yield np.concatenate([full, reduced]).view(np.int64), ids[row], f1[row].view(np.int64), f2[row].view(np.int64), meta
+        begin = np.ones(len(order), dtype=bool)
+        begin[1:] = sorted_cell[1:] != sorted_cell[:-1]
+        xors = np.zeros(len(here) * m, dtype=np.uint64)
+        if len(order):
+            xors[sorted_cell[begin]] = np.bitwise_xor.reduceat(words[order], np.nonzero(begin)[0])
+        salt = _mix(np.arange(m, dtype=np.uint64) + np.uint64((i * 1009 + j) * 100_003 + 1))
+        side = np.zeros(len(here), dtype=np.int64) if i == j else np.where(band[here] == j, 2, 1)
+        yield rows(_keyed(_mix(xors ^ np.tile(salt, len(here))), np.repeat(side, m)), np.repeat(here, m))
+        if tolerant:
+            yield rows(_keyed(_mix(xors[cell] ^ words ^ salt[block]), side[rec]), here[rec], 1)
 
 
 def meetings(key: np.ndarray, ids: np.ndarray, f1: np.ndarray, f2: np.ndarray, meta: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of ids that share a key and whose sketches allow the similarity."""
     order = np.argsort(key, kind="stable")
     key = key[order]
+    bucket, side = key >> 2, 2 - (key & 3)
     start = np.ones(len(key), dtype=bool)
-    start[1:] = key[1:] != key[:-1]
+    start[1:] = bucket[1:] != bucket[:-1]
     bucket_end = np.append(np.nonzero(start)[0][1:], len(key))[np.cumsum(start) - 1]
-    busy = bucket_end - np.arange(len(key)) > 1
-    # only rows of buckets with two rows or more stay
-    stay = busy | ~start
-    order, left = order[stay], (bucket_end - np.arange(len(key)))[stay] - 1
+    left = bucket_end - np.arange(len(key)) - 1
+    stay = (left > 0) | ~start  # only rows of buckets with two rows or more
+    order, left, side = order[stay], left[stay], side[stay]
     ids, f1, f2, meta = ids[order], f1[order].view(np.uint64), f2[order].view(np.uint64), meta[order].astype(np.int64)
-    size, own, reduced = meta >> 2, (meta & 2) != 0, (meta & 1) != 0
+    size, reduced = meta >> 1, (meta & 1) != 0
     found_a, found_b = [], []
-    i, offset = np.nonzero(left > 0)[0], 1
+    i, offset = np.nonzero((left > 0) & (side != 1))[0], 1
     while len(i):
         j = i + offset
         a, b = size[i], size[j]
-        ok = (own[i] | own[j]) & ~(reduced[i] & reduced[j]) & (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9) & (ids[i] != ids[j])
+        ok = (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9) & ~(reduced[i] & reduced[j]) & ((side[i] == 0) | (side[j] == 1)) & (ids[i] != ids[j])
         x, y = i[ok], j[ok]
         differing = np.bitwise_count(f1[x] ^ f1[y]).astype(np.int64) + np.bitwise_count(f2[x] ^ f2[y])
         near = differing <= _most_differing(size[x] + size[y], least)
@@ -145,13 +198,31 @@ class NearDuplicates:
         self.members = cut(worded.drop("words").join(self.reps.drop("words"), ["h1", "h2"]).select("id", "rep", "copies"))
         self.links = cut(self._links())
 
+    def _plan(self) -> tuple[Plan, int]:
+        """The plan, and the number of tasks for the rows it makes."""
+        least = self.least
+        hashed = self.reps.select(F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+        count, length, longest = self.reps.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).first()
+        if not count:
+            return Plan(least, np.zeros(0, dtype=np.uint64), 2, [1], [0]), 8
+        words = hashed.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+        # at most length / FREQUENT words can be as frequent
+        often = [r.h for r in words.filter(F.col("n") > FREQUENT * count).select("h").collect()]
+        rare = F.size(F.array_except("hashes", F.array(*map(F.lit, often)) if often else F.array().cast("array<bigint>")))
+        shared = 2 if hashed.agg(F.avg(rare)).first()[0] <= PAIRED else 1
+        t = (1 - least) / (1 + least)
+        ends = band_ends(t * longest + shared)
+        added = F.ceil(F.lit(t) * F.size("hashes") - rare + shared - 1 - 1e-9)
+        band = sum(((added > e).cast("int") for e in ends), F.lit(0))
+        used = sorted(r.b for r in hashed.select(band.alias("b")).distinct().collect())
+        plan = Plan(least, np.array(often, dtype=np.int64).view(np.uint64), shared, ends, used)
+        blocks = sum(m for _, _, m, _ in plan.combinations()) / max(1, len(used))
+        return plan, max(8, int(count * (2 * length + 2 * blocks) / TASK_ROWS) + 1)
+
     def _links(self) -> DataFrame:
         """Pairs of different classes, a < b, by their smallest ids."""
         least = self.least
-        count, length = self.reps.agg(F.count("*"), F.avg(F.size("words"))).first()
-        # a record emits its size and the blocks of each band, in up to log(1 / least) / log(BAND) + 1 bands
-        bands = np.log(1 / least) / np.log(BAND) + 1
-        tasks = max(8, int((count or 0) * (length or 0) * (1 + (1 - least) / (1 + least)) * bands / TASK_ROWS) + 1)
+        plan, tasks = self._plan()
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -159,7 +230,7 @@ class NearDuplicates:
                     ids, hashes = b.column(0).slice(s, 2_000), b.column(1).slice(s, 2_000)
                     sizes = hashes.value_lengths().to_numpy().astype(np.int64)
                     flat = hashes.flatten().to_numpy().view(np.uint64)
-                    for columns in signatures(ids.to_numpy(), sizes, flat, least):
+                    for columns in signatures(ids.to_numpy(), sizes, flat, plan):
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "id", "f1", "f2", "meta"])
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +242,7 @@ class NearDuplicates:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         hashed = self.reps.select("rep", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-        keys = hashed.mapInArrow(emit, "key bigint, id bigint, f1 bigint, f2 bigint, meta int").repartition(tasks, "key")
+        keys = hashed.mapInArrow(emit, "key bigint, id bigint, f1 bigint, f2 bigint, meta int").repartition(tasks, F.shiftright("key", 2))
         pairs = keys.mapInArrow(meet, "a bigint, b bigint").distinct()
         left = self.reps.select(F.col("rep").alias("a"), F.col("words").alias("words_a"))
         right = self.reps.select(F.col("rep").alias("b"), F.col("words").alias("words_b"))
