@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.neardup import word_set
 from skein.plans.cut import cut
+from skein.plans.spread import spread
 
 #: Evaluation classes of one automaton; training classes of one block.
 SHARD, BLOCK = 20_000, 40_000
@@ -128,7 +129,8 @@ def similar_passages(evaluation: DataFrame, training: DataFrame, least: float, l
         found = [(automaton.reps[i], rep, s) for rep, words in zip(texts.rep.to_numpy(), texts.words) for i, s in automaton.scan(words.tolist())]
         return pd.DataFrame(found, columns=["a", "b", "similarity"])
 
-    links = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(scan, "a bigint, b bigint, similarity double")
+    pieces = [spread(x, "shard", "block").groupBy("shard", "block") for x in (left, right)]
+    links = pieces[0].cogroup(pieces[1]).applyInPandas(scan, "a bigint, b bigint, similarity double")
     named = links.join(eval_members.select("eval_id", F.col("rep").alias("a")), "a").join(train_members.select("train_id", F.col("rep").alias("b")), "b")
     return named.select("eval_id", "train_id", "similarity")
 
