@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.llm.canonical import map_values
+from skein.plans.spread import spread
 from skein.sources.tables import table
 
 
@@ -13,7 +14,8 @@ def _typed(spark, d):
     rows = table(spark, d, "dz_rows")
     target = rows.select(F.lit("dz_target").alias("field"), F.col("dz_id").alias("row_id"), F.col("target_z.operator").alias("typed"))
     closed = rows.select(F.lit("dz_closed").alias("field"), F.col("dz_id").alias("row_id"), F.col("operator_closed").alias("typed"))
-    return samples.unionByName(target).unionByName(closed).filter(F.col("typed").isNotNull()).dropDuplicates(["field", "row_id"])
+    typed = samples.unionByName(target).unionByName(closed).filter(F.col("typed").isNotNull())
+    return spread(typed, "field", "row_id").dropDuplicates(["field", "row_id"])
 
 
 def _mapped(spark, d):
