@@ -33,15 +33,15 @@ def greedy_match(candidates: DataFrame, window: list[str], k: int) -> DataFrame:
     return lists.select(*window, F.explode(taken).alias("t")).select(*window, "t.rank", "t.paper", "t.score")
 
 
-def greedy_dedupe(items: DataFrame, group: list[str], order: list[str], key: str, text: Column, least: float = 0.8, title: str | None = None, strict: bool = False, pool: int = 64) -> DataFrame:
+def greedy_dedupe(items: DataFrame, group: list[str], order: list[str], key: str, text: Column, least: float = 0.8, title: str | None = None, strict: bool = False) -> DataFrame:
     """The items of each group that are not like an earlier kept one, in order: the group's columns, key, and position.
 
-    Like: token Jaccard of at least ``least`` (above it if ``strict``), or, if a title column is named, the same title key. Only the
-    first ``pool`` items of a group are looked at: the lists are those of one prompt.
+    Like: token Jaccard of at least ``least`` (above it if ``strict``), or, if a title column is named, the same title key. A group is one
+    prompt's or window's list: its rows come together in one task, and each is compared with those kept.
     """
     n = Window.partitionBy(*group).orderBy(*order)
     titled = T.title_key(F.coalesce(F.col(title), F.lit(""))) if title else F.lit(None).cast("string")
-    few = items.withColumns({"n": F.row_number().over(n), "tok": T.token_set(text), "tk": titled}).filter(F.col("n") <= pool)
+    few = items.withColumns({"n": F.row_number().over(n), "tok": T.token_set(text), "tk": titled})
     lists = few.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("n", F.col(key).alias("key"), "tok", "tk"))).alias("list"))
 
     def step(kept: Column, c: Column) -> Column:

@@ -55,8 +55,9 @@ def spearman(df: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
     """Correlation of average ranks per group, 0 where it isn't defined."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     r = average_ranks(average_ranks(rows, x, group, "rx"), y, group, "ry")
-    c = F.corr("rx", "ry")
-    return r.groupBy(*group).agg(F.count("*").alias("n"), F.round(F.coalesce(F.when(~F.isnan(c), c), F.lit(0.0)), 4).alias("rho"))
+    spread = F.stddev_pop("rx") * F.stddev_pop("ry")
+    c = F.covar_pop("rx", "ry") / F.when(spread > 1e-12, spread)
+    return r.groupBy(*group).agg(F.count("*").alias("n"), F.round(F.coalesce(c, F.lit(0.0)), 4).alias("rho"))
 
 
 def group_advantage(df: DataFrame, group: list[str], reward: str) -> DataFrame:
@@ -73,15 +74,25 @@ def min_max(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.join(F.broadcast(bounds)).withColumn(name, F.when(F.col(value).isNotNull(), F.round(scaled, 6))).drop("_lo", "_hi")
 
 
-def wasserstein(df: DataFrame, value: str, second: Column) -> DataFrame:
-    """One row: the distance between the distributions of two samples, by the area between their distribution functions."""
+def wasserstein(df: DataFrame, value: str, second: Column, steps: int = 1024) -> DataFrame:
+    """One row: the distance between the distributions of two samples, by the area between their distribution functions. Rows without a
+    value are left out.
+
+    Distinct values are cut into ``steps`` equal ranges; each range is summed by itself and starts from the sums of those before it, so
+    only the table of ranges is ever in one task.
+    """
     rows = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count_if(~second).alias("a"), F.count_if(second).alias("b"))
-    # distinct values are summed by range, so the order needs no single task until the end
-    total = rows.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    w = Window.orderBy("v")
-    steps = rows.withColumns({"ca": F.sum("a").over(w), "cb": F.sum("b").over(w), "width": F.lead("v").over(w) - F.col("v")})
-    area = F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb")) * F.col("width")
-    return steps.join(F.broadcast(total)).agg(F.round(F.sum(area), 6).alias("distance"))
+    ends = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    wide = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo"))
+    ranged = rows.join(F.broadcast(ends)).withColumn("r", F.coalesce(F.floor((F.col("v") - F.col("lo")) / wide * steps), F.lit(0))).drop("lo", "hi")
+    per = ranged.groupBy("r").agg(F.sum("a").alias("ra"), F.sum("b").alias("rb"), F.min("v").alias("first"))
+    order, before = Window.orderBy("r"), Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("r", F.coalesce(F.sum("ra").over(before), F.lit(0)).alias("pa"), F.coalesce(F.sum("rb").over(before), F.lit(0)).alias("pb"), F.lead("first").over(order).alias("next"), F.sum("ra").over(Window.partitionBy()).alias("na"), F.sum("rb").over(Window.partitionBy()).alias("nb"))
+    w = Window.partitionBy("r").orderBy("v")
+    j = ranged.join(F.broadcast(per), "r")
+    width = F.coalesce(F.lead("v").over(w), F.col("next")) - F.col("v")
+    area = F.abs((F.col("pa") + F.sum("a").over(w)) / F.col("na") - (F.col("pb") + F.sum("b").over(w)) / F.col("nb")) * width
+    return j.select(area.alias("area")).agg(F.round(F.sum("area"), 6).alias("distance"))
 
 
 def mmd(df: DataFrame, vector: str, second: Column, key: str) -> DataFrame:

@@ -210,7 +210,7 @@ def greedy_match(spark, d):
 
 def greedy_dedupe(spark, d):
     i = _ideas(spark, d).filter("topic_id is not null")
-    return folds.greedy_dedupe(i, ["strategy_id", "topic_id"], ["pred_id"], "pred_id", F.coalesce("rationale", F.lit("")), 0.5)
+    return folds.greedy_dedupe(i, ["strategy_id", "topic_id", "cutoff_date"], ["pred_id"], "pred_id", F.coalesce("rationale", F.lit("")), 0.5)
 
 
 def mmr_select(spark, d):
@@ -237,7 +237,7 @@ def balanced_split(spark, d):
 
 
 def group_dup_penalty(spark, d):
-    i = _ideas(spark, d).filter("topic_id is not null").filter("strategy_id like 'strat-shared%'")
+    i = _ideas(spark, d).filter("topic_id is not null and cutoff_date is not null")
     return folds.duplicate_penalty(i, ["strategy_id", "topic_id", "cutoff_date"], "pred_id", F.coalesce("rationale", F.lit("")), 0.3)
 
 
@@ -357,7 +357,7 @@ SQL = {
     "reward_quantiles": f"with {_I}, r as (select topic_id, pred_id, row_number() over (partition by topic_id order by score desc, pred_id) i, count(*) over (partition by topic_id) n from i where score is not null), c as (select *, least(greatest(floor(n * 0.2), 2), n // 2) c from r) select topic_id, pred_id, case when i <= c then 'top' else 'bottom' end side from c where i <= c or i > n - c",
     "episode_splits": f"with {_S}, e as (select distinct topic_id, episode_id from s), r as (select *, row_number() over (order by topic_id nulls first, episode_id nulls first) i, count(*) over () n from e) select topic_id, episode_id, case when i <= floor(n * 0.7) then 'train' when i <= floor(n * 0.7) + floor(n * 0.15) then 'validation' else 'test' end split from r",
     "utility_ema": "with d as (select user_id, ts::date d, round(avg(value), 6) v from events group by all), l as (select user_id, list(v order by d) v from d group by 1) select user_id, len(v)::int n, round(list_reduce(list_prepend(0.0::double, v), lambda u, e: u + 0.3::double * (e - u)), 6) ema from l",
-    "group_dup_penalty": f"""with {_I}, t as (select strategy_id, topic_id, cutoff_date, pred_id, list_distinct(list_filter(regexp_split_to_array(trim(lower(coalesce(rationale, ''))), '\\s+'), lambda x: length(x) > 3)) w from i where topic_id is not null and cutoff_date is not null and strategy_id like 'strat-shared%'),
+    "group_dup_penalty": f"""with {_I}, t as (select strategy_id, topic_id, cutoff_date, pred_id, list_distinct(list_filter(regexp_split_to_array(trim(lower(coalesce(rationale, ''))), '\\s+'), lambda x: length(x) > 3)) w from i where topic_id is not null and cutoff_date is not null),
       p as (select a.strategy_id, a.topic_id, a.cutoff_date, a.pred_id, count(*) filter (where a.pred_id <> b.pred_id and {jac('a.w', 'b.w')} >= 0.3) alike, count(*) - 1 others from t a join t b using (strategy_id, topic_id, cutoff_date) group by all)
       select strategy_id, topic_id, cutoff_date, pred_id, alike, round(case when others > 0 then alike / others else 0 end, 4) penalty from p""",
     "auc_quality": """with j as (select source, length(text) n, abusive a from doc_labels join documents using (doc_id) where text is not null and abusive is not null), c as (select source, count(*) filter (where a = 1) positives, count(*) filter (where a = 0) negatives from j group by 1),

@@ -47,7 +47,7 @@ def parse_papers(files: DataFrame, path: str = "path", text: str = "text") -> Da
     """
     raw = F.regexp_replace(F.col(text), "\r\n?", "\n")
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.md$", "")
-    meta = files.filter(F.trim(text) != "").select(F.col(path).alias("source_path"), raw.alias("t"), stem.alias("stem"), X.preamble(raw).alias("metadata"))
+    meta = files.filter(F.col(text).rlike(r"\S")).select(F.col(path).alias("source_path"), raw.alias("t"), stem.alias("stem"), X.preamble(raw).alias("metadata"))
     title = F.coalesce(X.h1_title(F.col("t")), F.col("stem"))
     paper_id = F.coalesce(F.col("metadata")["paper_id"], F.col("stem"))
     folder = F.regexp_extract("source_path", r"(\d{4}-\d{2})/[^/]*$", 1)

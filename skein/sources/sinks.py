@@ -58,9 +58,13 @@ def write_scored_pairs(df: DataFrame, path: str) -> None:
     df.select(*cut).write.mode("overwrite").csv(path, header=True)
 
 
+def _by_cutoff(a: Column, b: Column) -> Column:
+    return F.when(a["cutoff_date"] < b["cutoff_date"], -1).when(a["cutoff_date"] > b["cutoff_date"], 1).otherwise(0)
+
+
 def artifact(windows: DataFrame, header: dict[str, str]) -> DataFrame:
     """Windows (topic_id, cutoff_date, evaluation map) nested per topic, a row a topic, under the run's header."""
-    nested = windows.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("cutoff_date", "evaluation"))).alias("windows"))
+    nested = windows.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("cutoff_date", "evaluation")), _by_cutoff).alias("windows"))
     return nested.select(*(F.lit(v).alias(k) for k, v in header.items()), "topic_id", "windows")
 
 
