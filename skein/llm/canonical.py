@@ -170,17 +170,12 @@ class Matcher:
 
     def match(self, value: str | None) -> tuple[int, int, str] | None:
         """(distance, length difference, id) of the entry meant; None if there is none."""
-        folded = fold(value)
-        best: list[tuple[int, int, str]] = []
-        for words in self.candidates(folded):
-            if not words:
-                continue
-            best += [(0, 1, e) for e in self.shortened(words)]
-            if found := self.nearest("".join(w.rstrip(".") for w in words)):
-                best.append(found)
-            if best and min(best)[0] == 0:
-                break
-        return min(best, default=None)
+        tried = [words for words in self.candidates(fold(value)) if words]
+        forms = list(dict.fromkeys("".join(w.rstrip(".") for w in words) for words in tried))
+        exact = [(0, 0, self.ids[f]) for f in forms if f in self.ids] + [(0, 1, e) for words in tried for e in self.shortened(words)]
+        if exact:
+            return min(exact)
+        return min((found for f in forms if (found := self.nearest(f))), default=None)
 
 
 _matchers: dict[tuple, Matcher] = {}
