@@ -1,7 +1,8 @@
 """Ordered folds: steps whose outcome depends on the steps before, over the short sorted list of each group.
 
-Every fold first limits its lists to what can matter, so no group's list grows with the data: with k predictions only the k best
-candidates of each can ever be taken; pools and event lists are the short lists of one window, prompt or entry.
+Lists are limited to what can matter where the rule allows it: with k predictions only the k best candidates of each can ever be
+taken, and a pool is the best of one prompt. Deduplication and moving averages take whole groups, which must be those of one window,
+prompt or entry.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.functions import vectors as V
 
 
 def greedy_match(candidates: DataFrame, window: list[str], k: int) -> DataFrame:
@@ -136,5 +136,3 @@ def duplicate_penalty(items: DataFrame, group: list[str], key: str, text: Column
     pairs = a.join(b, group).groupBy(*group, "a").agg(F.count_if((F.col("a") != F.col("b")) & (T.jaccard(F.col("wa"), F.col("wb")) >= least)).alias("alike"), (F.count("*") - 1).alias("others"))
     return pairs.select(*group, F.col("a").alias(key), "alike", F.round(F.when(F.col("others") > 0, F.col("alike") / F.col("others")).otherwise(0.0), 4).alias("penalty"))
 
-
-__all__ = ["balanced_split", "duplicate_penalty", "ema", "greedy_dedupe", "greedy_match", "mmr_select", "search_states", "V"]

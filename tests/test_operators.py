@@ -1,6 +1,5 @@
 """Operators against plain Python on small random input, and edge cases."""
 
-import itertools
 import math
 import random
 
@@ -194,5 +193,43 @@ def test_duplicate_penalty(spark):
     assert rows(folds.duplicate_penalty(df, ["g"], "i", F.col("t"), 0.85)) == [("g", 1, 1, 0.5), ("g", 2, 1, 0.5), ("g", 3, 0, 0.0), ("h", 4, 0, 0.0)]
 
 
-def test_itertools_pairs_reference():
-    assert len(list(itertools.combinations(range(4), 2))) == 6
+def test_selection(spark):
+    from skein.operators import selection as S2
+
+    df = spark.createDataFrame([("g", 1, "2024-01-01"), ("g", 2, "2024-02-01"), ("g", 3, "2024-02-01"), (None, 4, "2023-01-01")], "g string, i int, d string")
+    assert sorted(r.i for r in S2.latest(df, ["g"], "d").collect()) == [2, 3, 4]
+    ctx = spark.createDataFrame([(1, ["b", "x", "a"]), (2, [])], "k int, ids array<string>")
+    look = spark.createDataFrame([("a", "A"), ("b", None)], "id string, t string")
+    assert {r.k: r.found for r in S2.materialized(ctx, "k", "ids", look, "id", "t").collect()} == {1: ["-", "A"], 2: []}
+    s = spark.createDataFrame([(1, "t", 5, "p"), (2, "t", 5, None), (3, "t", 1, "p")], "sample_id int, topic_id string, m int, own string")
+    e = spark.createDataFrame([("t", 1, "p", "x"), ("t", 2, "q", "x"), ("t", 3, None, "y"), ("t", 5, "q", "z")], "topic_id string, m int, source string, op string")
+    assert {r.sample_id: r.memory for r in S2.memory_before(s, e, 2).collect()} == {1: "x:1|y:1", 2: "x:2", 3: ""}
+
+
+def test_lexical_and_clusters(spark):
+    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    from skein.operators import lexical as L
+
+    a, b = "a fast graph model " * 20, "A slow Graph model! " * 15
+    df = spark.createDataFrame([(a, b), (None, ""), ("x", "x")], "a string, b string").select(L.sequence_ratio(F.col("a"), F.col("b")).alias("r"))
+    assert [r.r for r in df.collect()] == [SequenceMatcher(None, a.lower(), b.lower()).ratio(), 1.0, 1.0]
+    x = np.concatenate([c + 0.01 * np.random.default_rng(1).standard_normal((5, 3)) for c in np.eye(3) * 9])
+    labels = L.cluster_labels(x, 3)
+    assert len(set(labels)) == 3 and all(len(set(labels[i : i + 5])) == 1 for i in (0, 5, 10))
+    v = spark.createDataFrame([("w", i, [float(y) for y in row], i == 0) for i, row in enumerate(x)] + [("w", 99, None, True)], "g string, k int, v array<double>, m boolean")
+    assert rows(L.cluster_coverage(v, ["g"], "k", "v", "m", 3)) == [("w", 3, 1, round(1 / 3, 4))]
+
+
+def test_rewards(spark):
+    from skein.operators import rewards as R
+
+    closed, known = F.array(F.lit("scale")), F.array(F.lit("2301.00001"))
+    text = "We scale the method of 2301.00001 to larger graphs and tokens."
+    got = spark.range(1).select(
+        R.gates(F.lit("short"), known, F.lit("scale"), closed), R.gates(F.lit(text + " [Other2020]"), known, F.lit("scale"), closed), R.gates(F.lit(text), known, F.lit(None).cast("string"), closed), R.gates(F.lit(text), known, F.lit("scale"), closed),
+        R.adherence(F.lit(text), F.array(F.lit("scale"), F.lit("shrink")), F.lit("scale")), R.adherence(F.lit(text), F.lit(None).cast("array<string>"), F.lit("x9")), R.coherence(F.lit(" "), F.lit("a"), ["token"]), R.combined(F.lit(None).cast("double"), F.lit(1.0), F.lit(1.0)),
+    ).first()
+    assert tuple(got) == ("format", "grounding", "operator", None, 0.5, 0.0, 0.0, 0.6)
