@@ -117,10 +117,6 @@ class Model:
         self.c = np.array([-2.0], dtype=np.float32)
         self.thresholds: dict[str, float] = {}
 
-    def _windows(self, x: np.ndarray, k: int) -> np.ndarray:
-        padded = np.concatenate([x, np.zeros((k - 1, x.shape[1]), dtype=x.dtype)])
-        return np.concatenate([padded[i : i + len(x)] for i in range(k)], axis=1)
-
     def step(self, docs: list[np.ndarray], labels: np.ndarray, rate: float, state: dict) -> float:
         """One step of gradient descent on a batch; returns its loss."""
         ids = np.concatenate(docs)
@@ -129,16 +125,20 @@ class Model:
         doc_starts = np.cumsum([0, *(len(d) for d in docs[:-1])])
         first = sentence[doc_starts]
         doc_of = np.repeat(np.arange(len(docs)), np.diff([*first, len(starts)]))
-        x, n = self.e[ids], len(ids)
+        n, size = len(ids), len(self.e)
+        padded = np.concatenate([ids, np.zeros(max(WIDTHS) - 1, dtype=ids.dtype)])
+        self.freeze()
         outs, kept = [], []
-        back = np.arange(n, 0, -1)
+        back = np.arange(n, 0, -1, dtype=np.int32)[:, None]
         for k in WIDTHS:
-            win = self._windows(x, k)
-            h = win @ self.w[k] + self.b[k]
+            h = self.tables[k][0][ids]
+            for j in range(1, k):
+                h += self.tables[k][j][padded[j : j + n]]
+            h += self.b[k]
             top = np.maximum.reduceat(h, starts, axis=0)
-            place = n - np.maximum.reduceat(np.where(h == top[sentence], back[:, None], 0), starts, axis=0)
+            place = n - np.maximum.reduceat(np.where(h == top[sentence], back, np.int32(0)), starts, axis=0)
             outs.append(np.maximum(top, 0))
-            kept.append((win, place, top > 0))
+            kept.append((place, top > 0))
         feats = np.concatenate(outs, axis=1)
         s = feats @ self.v + self.c[0]
         top = np.maximum.reduceat(s, first)
@@ -152,20 +152,23 @@ class Model:
         ds = ((p - target) / len(docs))[doc_of] * share
         grads = {"v": feats.T @ ds + 1e-5 * self.v, "c": np.array([ds.sum()], dtype=np.float32)}
         dfeats = ds[:, None] * self.v[None, :]
-        dx = np.zeros((n + max(WIDTHS), DIMS), dtype=np.float32)
+        de = np.zeros_like(self.e)
         for i, k in enumerate(WIDTHS):
-            win, place, live = kept[i]
-            g = np.zeros((n, FILTERS), dtype=np.float32)
+            # only the greatest responses have a gradient; it is summed per row of the embeddings at each place of the filters
+            place, live = kept[i]
             part = dfeats[:, i * FILTERS : (i + 1) * FILTERS] * live
-            g[place, np.arange(FILTERS)[None, :]] = part
-            grads[f"w{k}"], grads[f"b{k}"] = win.T @ g + 1e-5 * self.w[k], g.sum(0)
-            dwin = g @ self.w[k].T
+            rows_at, f = np.nonzero(np.abs(part) > 1e-9)
+            at, value = place[rows_at, f], part[rows_at, f]
+            grads[f"b{k}"] = np.bincount(f, value, FILTERS).astype(np.float32)
+            dw = 1e-5 * self.w[k]
             for j in range(k):
-                dx[j : j + n] += dwin[:, j * DIMS : (j + 1) * DIMS]
-        order = np.argsort(ids, kind="stable")
-        rows, at = np.unique(ids[order], return_index=True)
-        de = np.add.reduceat(dx[:n][order], at, axis=0)[rows > 1]
+                cells = np.bincount(padded[at + j].astype(np.int64) * FILTERS + f, value, size * FILTERS).reshape(size, FILTERS).astype(np.float32)
+                dw[j * DIMS : (j + 1) * DIMS] += self.e.T @ cells
+                de += cells @ self.w[k][j * DIMS : (j + 1) * DIMS].T
+            grads[f"w{k}"] = dw
+        rows = np.unique(ids)
         rows = rows[rows > 1]
+        de = de[rows]
         sq = state.setdefault("e", np.full(len(self.e), 1e-8, dtype=np.float32))
         sq[rows] += (de * de).mean(1)
         self.e[rows] -= 20 * rate * de / np.sqrt(sq[rows])[:, None] * 0.5
@@ -222,10 +225,16 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str], epochs: int = 6,
     if labels[~held].min() == labels[~held].max() or labels[held].sum() == 0:
         held[:] = False
     counts: dict[int, list[int]] = {}
+    known: dict[str, list[int]] = {}
     for text, label, out in zip(texts, labels, held):
         if not out:
-            for b in {bucket(w) for p in _PIECES(unspaced(text)) for w in words_of(p) if w}:
+            pieces = set(_PIECES(unspaced(text)))
+            for p in pieces:
+                if p not in known:
+                    known[p] = [bucket(w) for w in words_of(p) if w]
+            for b in {b for p in pieces for b in known[p]}:
                 counts.setdefault(b, [0, 0])[int(label)] += 1
+    del known
     buckets = sorted(b for b, (n, p) in counts.items() if n + p >= 2)
     base = labels[~held].mean()
     seen = np.array([counts[b] for b in buckets], dtype=np.float64).reshape(-1, 2)
