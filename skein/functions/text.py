@@ -120,7 +120,7 @@ def summary(markdown: Column, most: int = 1500) -> Column:
     """The Summary section, else the Abstract, else an inline abstract, else the first paragraph without headings; at most so many characters."""
     inline = F.trim(F.regexp_extract(markdown, r"(?is)\babstract\s*[-—:]\s*(.+?)(?:\n\s*\n|\z)", 1))
     body = F.regexp_replace(F.regexp_replace(markdown, r"(?ims)^#+[ \t]*(?:References|Bibliography).*\z", ""), r"(?m)^(?:#.*|[A-Za-z][A-Za-z ]{1,30}:[ \t]*\S.*)$", "")
-    first = F.trim(F.regexp_extract(F.trim(body), r"(?s)\A(.+?)(?:\n\s*\n|\z)", 1))
+    first = F.regexp_extract(F.regexp_replace(body, r"^\s+|\s+$", ""), r"(?s)\A(\S.*?)(?:\n\s*\n|\z)", 1)
     chosen = F.coalesce(section(markdown, "Summary"), section(markdown, "Abstract"), F.when(inline != "", inline), F.when(first != "", first))
     return F.substring(F.trim(F.regexp_replace(chosen, r"\s+", " ")), 1, most)
 

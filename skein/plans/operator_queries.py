@@ -342,6 +342,12 @@ SQL = {
       select *, (recent * 3 - greatest(1, total // 6))::double momentum from c""",
     "memory_build": f"""with {_S}, {_SD}, k as (select lower(trim(innovation.operator, ' ')) operator, topic_id, source via, future_paper_id, year(cut)*12 + month(cut) - 1 m, coalesce(pub, date '1900-01-01') o, sample_id from sd where innovation is not null)
       select operator, topic_id, via, count(*) frequency, (list(future_paper_id order by o, sample_id))[1] source, (list(m order by o, sample_id))[1]::int m, round(pow(0.9, greatest(0, {2025 * 12 + 11} - (list(m order by o, sample_id))[1])), 6) recency from k group by 1, 2, 3""",
+    "memory_topn": f"""with {_S}, {_SD}, k as (select coalesce(lower(trim(innovation.operator, ' ')), '') operator, coalesce(topic_id, '') topic_id, coalesce(source, '') via, innovation.operator o0, topic_id t0, source s0, year(cut)*12 + month(cut) - 1 m, coalesce(pub, date '1900-01-01') o, sample_id from sd where innovation is not null),
+      b as (select operator, topic_id, via, count(*) frequency, coalesce(round(pow(0.9, greatest(0, {2025 * 12 + 11} - (list(m order by o, sample_id))[1])), 6), 0) recency from k group by operator, topic_id, via, o0 is null, t0 is null, s0 is null), x as (select *, max(frequency) over () mf from b)
+      select operator, topic_id, via, frequency, round((0.45::double * recency + 0.35::double * frequency / mf + 0.2::double * tanh(frequency % 3)) / 1.0::double, 9) blend from x order by blend desc, operator, topic_id, via limit 25""",
+    "greedy_dedupe": f"""with {_I}, g as (select strategy_id, topic_id, cutoff_date, list(pred_id order by pred_id) ids, list({TOK.format("coalesce(rationale, '')")} order by pred_id) w from i where topic_id is not null group by all),
+      k as (select *, list_reduce(list_transform(range(1, len(ids) + 1), lambda x: [x]), lambda acc, x: case when len(list_filter(acc, lambda j: {jac('w[j]', 'w[x[1]]')} >= 0.5)) > 0 then acc else list_concat(acc, x) end) keep from g)
+      select strategy_id, topic_id, cutoff_date, ids[unnest(keep)] pred_id, (generate_subscripts(keep, 1) - 1)::int as position from k""",
     "bucket_memory": f"with {PAPERS} select keywords[1] bucket, count(*) total, count(*) filter (where date '2025-01-31' - published <= 182) recent, (list(title order by published desc, paper_id desc))[1] latest from p where published <= date '2025-01-31' and keywords[1] is not null group by 1 order by recent desc, total desc, bucket limit 25",
     "operator_distribution": f"with {_Z} select op_id, count(dz_id) n from operator_inventory left join z on operator_closed = op_id group by op_id",
     "popularity_minmax": f"with {PAPERS}, b as (select min(popularity_score) lo, max(popularity_score) hi from p), x as (select paper_id, case when popularity_score is not null then round(case when hi > lo then (popularity_score - lo) / (hi - lo) else 1 end, 6) end scaled from p, b) select paper_id, scaled, round(0.1::double + 0.9::double * coalesce(scaled, 0), 6) weight from x",

@@ -11,7 +11,7 @@ from skein.functions import vectors as V
 from skein.operators import folds, lexical
 from skein.operators import rewards as R
 from skein.operators.mapping import small
-from skein.plans.scalar_queries import PAPERS, TOK, papers
+from skein.plans.scalar_queries import PAPERS, TOK, cited, papers
 from skein.sources.tables import table
 
 TECHNICAL = ["benchmark", "dataset", "encoder", "graph", "model", "prompt", "reward", "token"]
@@ -98,6 +98,8 @@ def reference_lists(spark, d):
 _F = "f as (select distinct on (forecast_id) * from scored_forecasts)"
 _TECH = "[" + ", ".join(f"'{w}'" for w in TECHNICAL) + "]"
 SQL = {
+    "proposal_gates": f"""with {_F}, g as (select case when length(trim(coalesce(proposal_text, ''), ' ')) < 40 then 'format' when len(list_filter({cited('proposal_text')}, lambda x: not list_contains(coalesce(evidence_paper_ids, []), x))) > 0 then 'grounding'
+      when coalesce(lower(trim(innovation.operator, ' ')) not in ('ablation_study', 'constraint_lifting', 'domain_porting', 'module_fusion', 'yardstick_creation'), true) then 'operator' else 'passed' end gate from f) select gate, count(*) n from g group by 1""",
     "proposal_rewards": f"""with {_F}, j as (select forecast_id, prior_score, coalesce(proposal_text, '') t, lower(trim(innovation.operator, ' ')) op, op_id, string_split(op_id, '_') k, concat_ws(' ', innovation.base_direction, innovation.gap) z from f left join operator_inventory on op_id = lower(trim(innovation.operator, ' ')) where topic_id is not null),
       w as (select *, {TOK.format('t')} wt, {TOK.format('z')} wz, lower(t) lt from j),
       s as (select forecast_id, prior_score, round(case when k is not null then len(list_filter(k, lambda x: contains(lt, x))) / len(k)::double else case when contains(lt, coalesce(op, '?')) then 1.0 else 0.0 end end, 4)::double adherence,

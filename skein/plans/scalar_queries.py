@@ -142,7 +142,17 @@ def vector_pairs(spark, d):
 
 _PRED = "i as (select distinct on (pred_id) * from idea_predictions)"
 _REPLY = """'problem_match: ' || (pred_id % 4) || chr(10) || ' METHOD_MATCH : ' || (pred_id % 5) || chr(10) || 'SPECIFICITY: ' || case when pred_id % 7 = 0 then '2/3' else (pred_id % 3)::varchar end"""
+_CITED = "list_concat(" + ", ".join("regexp_extract_all(@, '" + p + "', 1)" for p in T.CITATIONS) + ")"
+
+
+def cited(text: str) -> str:
+    """The citations of a text in SQL: distinct, in order."""
+    found = _CITED.replace("@", f"coalesce({text}, '')")
+    return f"list_transform(list_filter(list_zip({found}, range(1, len({found}) + 1)), lambda y: list_position({found}, y[1]) = y[2]), lambda y: y[1])"
+
+
 SQL = {
+    "citations_in_documents": f"with c as (select doc_id, array_to_string({cited('text')}, '|') cited from documents) select * from c where cited <> ''",
     "papers_dated": f"with {PAPERS} select paper_id, published, strftime(published, '%y%m') yymm, (year(published)*12+month(published)-1)::int month_index from p",
     "month_scalars": r"""with r as (select distinct unnest([pub_month, published_date, substr(paper_id,1,4)]) raw from papers),
       m as (select raw, case when regexp_full_match(trim(raw), '\d{4}-\d{2}(-\d{2})?') then substr(trim(raw),1,7) when regexp_full_match(trim(raw), '\d{2}(0[1-9]|1[0-2])') then '20' || substr(trim(raw),1,2) || '-' || substr(trim(raw),3,2) end as month from r)

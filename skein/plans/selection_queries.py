@@ -164,6 +164,8 @@ SQL = {
     "soft_rewards": f"""with {_F}, r as (select *, row_number() over (partition by strategy_id, topic_id, cutoff_t order by prior_score desc nulls last, forecast_id) place, floor(prior_score * 1000)::bigint % 4 a, floor(realization_score * 1000)::bigint % 4 b from f where topic_id is not null)
       select strategy_id, topic_id, cutoff_t, round(coalesce(max((a + b + 2) / 9) filter (where a + b >= 5), 0), 6) reward from r where place <= 10 group by 1, 2, 3""",
     "manifest_summary": f"with {_S} select split, count(*) as rows, count(distinct topic_id) topics, count(distinct case when topic_id is not null and episode_id is not null then topic_id || '|' || episode_id end) episodes, count(innovation.gap) with_gap from s group by 1",
+    "heuristic_prior": f"""with {_S}, {_Z}, a as (select sample_id, topic_id, {TOK.format('innovation.gap')} a from s where topic_id is not null and innovation.gap is not null), b as (select topic_id, {TOK.format('target_z.gap')} b, row_number() over (partition by topic_id order by dz_id) / count(*) over (partition by topic_id) st from z where topic_id is not null and target_z.gap is not null),
+      x as (select sample_id, max(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::double * st) v from a join b using (topic_id) where len(list_intersect(a, b)) > 0 group by 1) select sample_id, round(ln(greatest(coalesce(v, 0), 1e-6)), 6) log_prior from a left join x using (sample_id)""",
     "trajectory_audit": f"""with {PAPERS}, {_F}, e as (select forecast_id, {_CUT.format('cutoff_t')} cut, unnest(evidence_paper_ids) c from f), j as (select forecast_id, bool_or(paper_id is null) unknown, bool_or(published > cut) late from e left join p on paper_id = c group by 1),
       k as (select case when coalesce(len(evidence_paper_ids), 0) = 0 then 'none' when unknown then 'unknown' when late then 'late' else 'ok' end fault from f left join j using (forecast_id)) select fault, count(*) n from k group by 1""",
     "run_table": f"""with {_F}, w as (select case when contains(strategy_id, 'shared') then strategy_id else 'single' end family, strategy_id, topic_id, cutoff_t, bool_or(realization_score >= 0.7) hit, bool_or(realization_score >= 0.9) strict, count(*) k from f group by all),
