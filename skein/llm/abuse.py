@@ -40,7 +40,10 @@ MEMO = 400_000
 _LOOK_ALIKE = str.maketrans("аеорсухіјѕкмнтвԁԛԝɡαοενρτυικ", "aeopcyxijskmhtbdqwgaoevptuik")
 _DIGITS = str.maketrans("013457@$!|", "oieastasil")
 
-_PIECES = re.compile(r"\n|[^\s]+").findall
+#: What stands for a line break between pieces.
+_BREAK = "\x00"
+#: Two single characters with marks or blanks around them, which every word written letter by letter has.
+_MAYBE_SPACED = re.compile(r"[ .*_\-]\w[ .*_\-]\w[ .*_\-]").search
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_\-]){3,}[^\W\d_](?![^\W_])")
 _SEPARATED = re.compile(r"(?<![^\W_])(?:[^\W_][_.*\-]){2,}[^\W_](?![^\W_])")
 _PARTS = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W\d_぀-ヿ㐀-鿿가-힯]+(?:['’*][^\W\d_]+)*|\d+|[.!?。！？;()\[\]{}<>:…\"“”]+")
@@ -51,6 +54,8 @@ _ENDS = frozenset(".!?。！？;()[]{}<>:…\"“”")
 
 def words_of(piece: str) -> list[str]:
     """The words of a piece between blanks, undisguised; "" where a sentence ends."""
+    if piece == _BREAK:
+        return [""]
     s = unicodedata.normalize("NFKC", piece)
     if not s.isascii():
         s = "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) not in ("Cf", "Mn", "Cc"))
@@ -73,22 +78,20 @@ class Lexer:
 
     def __init__(self, buckets: list[int]) -> None:
         self.rows = {b: i + 2 for i, b in enumerate(buckets)}
-        self.memo: dict[str, bytes] = {"\n": np.zeros(1, dtype="<i4").tobytes()}
+        self.memo: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
         ids = np.array([0 if not w else self.rows.get(bucket(w), 1) for w in words_of(piece)], dtype="<i4").tobytes()
         if len(piece) <= 32:
             if len(self.memo) >= MEMO:
-                newline = self.memo["\n"]
                 self.memo.clear()
-                self.memo["\n"] = newline
             self.memo[piece] = ids
         return ids
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Begins with the end of a sentence and has no two in a row."""
         get = self.memo.get
-        pieces = _PIECES(unspaced(text or ""))
+        pieces = pieces_of(text or "")
         found = [get(p) for p in pieces]
         raw = b"".join([self.piece(p) if f is None else f for f, p in zip(found, pieces)])
         ids = np.concatenate([np.zeros(1, dtype="<i4"), np.frombuffer(raw, dtype="<i4")])
@@ -99,7 +102,12 @@ class Lexer:
 
 def unspaced(text: str) -> str:
     """Words written letter by letter ("i d i o t") joined."""
-    return _SPACED.sub(lambda m: re.sub(r"[ .*_\-]", "", m.group()), text)
+    return _SPACED.sub(lambda m: re.sub(r"[ .*_\-]", "", m.group()), text) if _MAYBE_SPACED(text) else text
+
+
+def pieces_of(text: str) -> list[str]:
+    """What stands between blanks, and a mark for each line break."""
+    return unspaced(text).replace("\n", f" {_BREAK} ").split()
 
 
 class Model:
@@ -228,7 +236,7 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str], epochs: int = 6,
     known: dict[str, list[int]] = {}
     for text, label, out in zip(texts, labels, held):
         if not out:
-            pieces = set(_PIECES(unspaced(text)))
+            pieces = set(pieces_of(text))
             for p in pieces:
                 if p not in known:
                     known[p] = [bucket(w) for w in words_of(p) if w]
@@ -295,9 +303,6 @@ def fitted(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -
     return pickle.loads(made[0].model) if made else None
 
 
-_lexers: dict[int, Lexer] = {}
-
-
 def score(df: DataFrame, labels: DataFrame, key: str, text: str, lang: str, keep: list[str] | None = None) -> DataFrame:
     """labels: id, label (1, 0 or null). Columns: the key, those of ``keep``, score (double) and abusive (boolean)."""
     spark, keep = df.sparkSession, keep or []
@@ -306,14 +311,12 @@ def score(df: DataFrame, labels: DataFrame, key: str, text: str, lang: str, keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        if model and id(model) not in _lexers:
-            _lexers.clear()
-            _lexers[id(model)] = Lexer(model.buckets)
+        if model and not hasattr(model, "lexer"):
+            model.lexer = Lexer(model.buckets)  # kept with the model of this process
         for b in batches:
             kept = [b.column(i) for i in range(2, b.num_columns)]
             if model:
-                lexer = _lexers[id(model)]
-                scores = model.scores([lexer(t) for t in b.column(0).to_pylist()])
+                scores = model.scores([model.lexer(t) for t in b.column(0).to_pylist()])
                 whole = model.thresholds[""]
                 over = scores >= np.array([model.thresholds.get(language(x), whole) for x in b.column(1).to_pylist()])
             else:
