@@ -35,8 +35,9 @@ from skein.plans.cut import cut
 
 #: Share of the records above which a word is frequent; so there can be no more frequent words than words per record over FREQUENT.
 FREQUENT = 0.03
-#: Upper ends of the bands of what a record adds to the words that may differ; each next is 1.4 times as much.
-ENDS = (1, 3, 5, 8, 12)
+#: Upper ends of the bands of what a record adds to the words that may differ; each next is 1.4 times as much. Two records that add less
+#: than nothing cannot be similar without sharing rare words, so texts of one template do not meet on it.
+ENDS = (0, 1, 3, 5, 8, 12)
 #: Words that may differ from which blocks may differ in one word.
 TOLERANT = 12
 #: Rare words per record, on average, up to which records meet on pairs of them.
@@ -83,7 +84,7 @@ class Plan:
             for j in self.used:
                 if i <= j:
                     differing = self.ends[i] + self.ends[j]
-                    tolerant = differing >= TOLERANT and i >= 2
+                    tolerant = differing >= TOLERANT and self.ends[i] >= 5
                     yield i, j, differing // 2 + 1 if tolerant else differing + 1, tolerant
 
 
@@ -128,7 +129,7 @@ def signatures(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, plan: Pla
     adds = plan.t * sizes - rare_n + plan.shared - 1
     band = np.searchsorted(plan.ends, np.ceil(adds - 1e-9))
     for i, j, m, tolerant in plan.combinations():
-        low, high = (band == i) & (adds + plan.ends[j] >= 0), (band == j) & (adds + plan.ends[i] >= 0)
+        low, high = (band == i) & (adds + plan.ends[j] >= -1e-9), (band == j) & (adds + plan.ends[i] >= -1e-9)
         here = np.nonzero(low | high)[0]
         if not len(here):
             continue
