@@ -66,7 +66,7 @@ def batch_requests(spark, d):
 
 def training_rows(spark, d):
     z = _rows(spark, d)
-    rows = sinks.training_rows(z, "foresight", F.col("target_z.gap"), F.col("operator_closed"), ["dz_id", "topic_id", "cutoff_t"])
+    rows = sinks.training_rows(z, "forecast", F.col("target_z.gap"), F.col("operator_closed"), ["dz_id", "topic_id", "cutoff_t"])
     return rows.select("data_source", "prompt", "ground_truth", F.get_json_object("extra_info", "$.dz_id").cast("bigint").alias("dz_id"))
 
 
@@ -239,7 +239,7 @@ SQL = {
       case when len(k) > 0 then array_to_string(k, '|') else coalesce(array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda y: list_position(w, y[1]) = y[2]), lambda y: y[1]), '|'), '') end keywords, coalesce(len(refs), 0)::int n_refs from k""",
     "atom_entries": f"with {PAPERS} select paper_id id, trim(regexp_replace(translate(title, '<>&', '   '), '\\s+', ' ', 'g')) title, coalesce(len(list_distinct(keywords)), 0)::int n_keywords from p where trim(coalesce(title, '')) <> '' and coalesce(published_date, '') <> ''",
     "json_lines_rows": f"with {_Z} select topic_id, count(*) filter (where dz_id % 10 <> 0) good, count(*) filter (where dz_id % 10 = 0) spoilt from z group by 1",
-    "training_rows": f"with {_Z} select 'foresight' data_source, target_z.gap prompt, operator_closed ground_truth, dz_id from z",
+    "training_rows": f"with {_Z} select 'forecast' data_source, target_z.gap prompt, operator_closed ground_truth, dz_id from z",
     "artifact_rollup": "with f as (select distinct on (forecast_id) * from scored_forecasts), w as (select topic_id, cutoff_t, avg(prior_score) p from f where topic_id is not null and cutoff_t is not null group by 1, 2) select topic_id, count(*) windows, round(avg(p), 4) prior from w group by 1",
     "strategy_names": "select case when contains(strategy_id, 'shared') then 'shared' when strategy_id like 'strat-%' then 'strat' else split_part(strategy_id, '-', 1) end family, count(distinct strategy_id) n from scored_forecasts group by 1",
     "calendar_windows": f"""with {PAPERS}, b as (select min(year(published)*12+month(published)-1) f, max(year(published)*12+month(published)-1) l from p), w as (select unnest(range(f::bigint, (l + 1)::bigint, 3)) s, l from b), x as (select row_number() over (order by s) - 1 i, s, least(s + 3, l) e from w)
