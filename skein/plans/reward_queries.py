@@ -56,12 +56,16 @@ def cluster_coverage(spark, d):
 
 
 def judged_match(spark, d):
-    """Candidates judged by three grades, in order of retrieval; each prediction takes its first match that is still free."""
-    i = _ideas(spark, d).filter("topic_id is not null").select("topic_id", "pred_id", F.row_number().over(Window.partitionBy("topic_id").orderBy("pred_id")).alias("rank")).filter("rank <= 5")
-    p = papers(spark, d).filter("topic_id is not null").select("topic_id", F.col("paper_id").alias("paper"))
+    """The first five ideas of each window (strategy, topic, cutoff) by reported rank, with the topic's papers of the three months after the cutoff
+    judged by three grades, in order of retrieval; each prediction takes its first match that is still free."""
+    window = ["strategy_id", "topic_id", "cut"]
+    i = _ideas(spark, d).withColumn("cut", D.cutoff_date(F.col("cutoff_date"))).filter("topic_id is not null and cut is not null")
+    place = Window.partitionBy(*window).orderBy(F.col("rank").asc_nulls_last(), "pred_id")
+    i = i.select(*window, "pred_id", F.row_number().over(place).alias("rank")).filter("rank <= 5").withColumn("m", F.explode(F.sequence(D.month_index(F.col("cut")), D.month_index(F.col("cut")) + 3)))
+    p = papers(spark, d).filter("topic_id is not null").select("topic_id", D.month_index(F.col("published")).alias("m"), "published", F.col("paper_id").alias("paper"))
     g = [F.pmod(F.xxhash64("paper", "pred_id", F.lit(x)), F.lit(4)) for x in "pms"]
-    c = i.join(p, "topic_id").filter(V.judged_match(*g)).withColumn("score", (-F.crc32("paper")).cast("double"))
-    return folds.greedy_match(c.select("topic_id", "rank", "paper", "score"), ["topic_id"], 5).select("topic_id", "rank", "paper")
+    c = i.join(p, ["topic_id", "m"]).filter("published > cut").filter(V.judged_match(*g)).withColumn("score", (-F.crc32("paper")).cast("double"))
+    return folds.greedy_match(c.select(*window, "rank", "paper", "score"), window, 5).select(*window, "rank", "paper")
 
 
 def proposal_gates(spark, d):
