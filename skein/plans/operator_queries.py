@@ -153,7 +153,7 @@ def strategy_leaderboard(spark, d):
     f = _forecasts(spark, d).filter("joint_score is not null and not isnan(joint_score)").withColumn("place", F.row_number().over(w)).filter("place <= 5")
     windows = f.groupBy("strategy_id", "topic_id", "cutoff_t").agg(F.max((F.col("realization_score") >= 0.7).cast("double")).alias("hit"), F.coalesce(1.0 / F.min(F.when(F.col("realization_score") >= 0.7, F.col("place"))), F.lit(0.0)).alias("mrr"))
     per = windows.groupBy("strategy_id").agg(F.count("*").alias("windows"), F.round(F.avg("hit"), 4).alias("hit"), F.round(F.avg("mrr"), 4).alias("mrr"))
-    return per.withColumn("score", V.leaderboard_score(F.coalesce("hit", F.lit(-1.0)), F.coalesce("mrr", F.lit(0.0)))).orderBy(F.desc("score"), "strategy_id").limit(50)
+    return per.withColumn("score", V.leaderboard_score(F.coalesce("hit", F.lit(-1.0)), F.coalesce("mrr", F.lit(0.0)))).orderBy(F.desc("score"), "strategy_id")
 
 
 def strategy_rollup(spark, d):

@@ -37,3 +37,9 @@ def test_judged_match_judges_every_window(run):
     assert {(r.strategy_id, r["rank"]) for r in got} == {(f"s{s:02}", k) for s in range(12) for k in range(1, 6)} and {r.cut for r in got} == {datetime.date(2024, 1, 31)}
     assert all(r.paper.startswith("p") for r in got)
     assert len({(r.strategy_id, r.paper) for r in got}) == len(got)
+
+
+def test_strategy_leaderboard_holds_every_strategy(run):
+    f = [(n, f"s{n:03}", "topic", "2024-01-31", 1, 0.5, n / 130, 0.5) for n in range(130)]
+    got = run("strategy_leaderboard", scored_forecasts=(f, "forecast_id bigint, strategy_id string, topic_id string, cutoff_t string, rank int, prior_score double, realization_score double, joint_score double"))
+    assert [r.strategy_id for r in got] == [x[1] for x in sorted(f, key=lambda x: (x[6] < 0.7, x[1]))]
