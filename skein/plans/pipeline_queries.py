@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.functions import dates as D
@@ -219,10 +218,10 @@ def best_candidates(spark, d):
 
 
 def keyword_inverted_index(spark, d):
+    """Every paper of each keyword that three or more papers have, a row each, with the number of the keyword's papers."""
     kw = A.document_keywords(papers(spark, d), "paper_id", "keywords")
-    top = kw.withColumn("r", F.row_number().over(Window.partitionBy("kw").orderBy("paper_id"))).filter("r <= 20")
     sizes = kw.groupBy("kw").agg(F.count("*").alias("n")).filter("n >= 3")
-    return top.groupBy("kw").agg(F.array_join(F.sort_array(F.collect_set("paper_id")), "|").alias("first_papers")).join(sizes, "kw")
+    return kw.join(sizes, "kw").select("kw", "paper_id", "n").orderBy("kw", "paper_id")
 
 
 _S = "s as (select distinct on (sample_id) * from hindsight_samples)"

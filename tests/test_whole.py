@@ -43,3 +43,8 @@ def test_strategy_leaderboard_holds_every_strategy(run):
     f = [(n, f"s{n:03}", "topic", "2024-01-31", 1, 0.5, n / 130, 0.5) for n in range(130)]
     got = run("strategy_leaderboard", scored_forecasts=(f, "forecast_id bigint, strategy_id string, topic_id string, cutoff_t string, rank int, prior_score double, realization_score double, joint_score double"))
     assert [r.strategy_id for r in got] == [x[1] for x in sorted(f, key=lambda x: (x[6] < 0.7, x[1]))]
+
+
+def test_keyword_inverted_index_holds_every_paper(run):
+    papers = [paper(f"p{i:02}", "2024-03-10", keywords=[" Graph", "graph", "few"][: 3 if i < 2 else 2]) for i in range(45)]
+    assert [tuple(r) for r in run("keyword_inverted_index", papers=(papers, PAPERS))] == [("graph", f"p{i:02}", 45) for i in range(45)]
