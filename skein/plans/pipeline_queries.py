@@ -149,7 +149,7 @@ def group_invariant(spark, d):
 
 def flattened_ideas(spark, d):
     i = _ideas(spark, d)
-    return i.select(F.trim("cutoff_date").alias("cutoff"), "topic_id", "strategy_id", "rank", "pred_id").orderBy(F.desc("cutoff"), "topic_id", "strategy_id", "rank", "pred_id").limit(100)
+    return i.select(F.trim("cutoff_date").alias("cutoff"), "topic_id", "strategy_id", "rank", "pred_id").orderBy(F.desc("cutoff"), "topic_id", "strategy_id", "rank", "pred_id")
 
 
 def retry_fill(spark, d):

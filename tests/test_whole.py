@@ -48,3 +48,10 @@ def test_strategy_leaderboard_holds_every_strategy(run):
 def test_keyword_inverted_index_holds_every_paper(run):
     papers = [paper(f"p{i:02}", "2024-03-10", keywords=[" Graph", "graph", "few"][: 3 if i < 2 else 2]) for i in range(45)]
     assert [tuple(r) for r in run("keyword_inverted_index", papers=(papers, PAPERS))] == [("graph", f"p{i:02}", 45) for i in range(45)]
+
+
+def test_flattened_ideas_holds_every_idea_in_order(run):
+    ideas = [idea(n, f"s{n % 7}", f"2024-{n % 12 + 1:02}-28", n % 5) for n in range(260)]
+    got = run("flattened_ideas", idea_predictions=(ideas, IDEAS))
+    month = sorted(ideas, key=lambda x: (-int(x[3][5:7]), x[1], x[4], x[0]))
+    assert [r.pred_id for r in got] == [x[0] for x in month]
