@@ -1,8 +1,8 @@
 """Ordered folds: steps whose outcome depends on the steps before, over the short sorted list of each group.
 
 Lists are limited to what can matter where the rule allows it: with k predictions only the k best candidates of each can ever be
-taken, and a pool is the best of one prompt. Deduplication and moving averages take whole groups, which must be those of one window,
-prompt or entry.
+taken. Deduplication, selection by marginal relevance and moving averages take whole groups, which must be those of one window, prompt
+or entry.
 """
 
 from __future__ import annotations
@@ -56,14 +56,14 @@ def greedy_dedupe(items: DataFrame, group: list[str], order: list[str], key: str
     return lists.select(*group, F.posexplode(kept).alias("position", "x")).select(*group, F.col("x.key").alias(key), "position")
 
 
-def mmr_select(items: DataFrame, group: list[str], key: str, score: str, text: Column, k: int, weight: float = 0.65, pool: int = 24) -> DataFrame:
+def mmr_select(items: DataFrame, group: list[str], key: str, score: str, text: Column, k: int, weight: float = 0.65) -> DataFrame:
     """k items of each group, one after another: the best by weight * score + (1 - weight) * novelty, where novelty is one less the
-    greatest token Jaccard with those chosen; the first by score alone. Ties go to the earlier by score, then key. Pools are the
-    ``pool`` best by score. Columns: the group's, key, place, mmr.
+    greatest token Jaccard with those chosen; the first by score alone. Ties go to the earlier by score, then key. All items
+    of the group are compared. Columns: the group's, key, place, mmr.
     """
     n = Window.partitionBy(*group).orderBy(F.desc(score), key)
-    few = items.withColumns({"n": F.row_number().over(n), "tok": T.token_set(text)}).filter(F.col("n") <= pool)
-    lists = few.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("n", F.col(key).alias("key"), F.col(score).alias("score"), "tok"))).alias("list"))
+    pool = items.withColumns({"n": F.row_number().over(n), "tok": T.token_set(text)})
+    lists = pool.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("n", F.col(key).alias("key"), F.col(score).alias("score"), "tok"))).alias("list"))
 
     def step(chosen: Column, place: Column) -> Column:
         left = F.filter("list", lambda c: ~F.exists(chosen, lambda x: x["n"] == c["n"]))

@@ -214,8 +214,9 @@ def greedy_dedupe(spark, d):
 
 
 def mmr_select(spark, d):
-    i = _ideas(spark, d).filter("topic_id is not null").withColumn("s", F.coalesce(T.coerced_score(F.col("score")), F.lit(0.0)))
-    return folds.mmr_select(i, ["topic_id"], "pred_id", "s", F.coalesce("title", F.lit("")), 3, pool=12)
+    """Three ideas of each window (strategy, topic, cutoff) out of all of them; those without a valid cutoff are one window."""
+    i = _ideas(spark, d).filter("topic_id is not null").withColumns({"s": F.coalesce(T.coerced_score(F.col("score")), F.lit(0.0)), "cut": D.cutoff_date(F.col("cutoff_date"))})
+    return folds.mmr_select(i, ["strategy_id", "topic_id", "cut"], "pred_id", "s", T.prediction_text(F.col("title"), F.col("rationale"), F.col("approach")), 3)
 
 
 def utility_ema(spark, d):

@@ -55,3 +55,11 @@ def test_flattened_ideas_holds_every_idea_in_order(run):
     got = run("flattened_ideas", idea_predictions=(ideas, IDEAS))
     month = sorted(ideas, key=lambda x: (-int(x[3][5:7]), x[1], x[4], x[0]))
     assert [r.pred_id for r in got] == [x[0] for x in month]
+
+
+def test_mmr_select_weighs_all_ideas_of_a_window(run):
+    same = [idea(n, rank=n, title="same title", rationale="the same words", approach="again", score=0.9 - n / 1000) for n in range(30)]
+    novel = idea(99, rank=99, title="same title", rationale="entirely other", approach="content here", score=0.8)
+    other = [idea(200 + n, "s2", cutoff=f"2024-0{n + 1}-28") for n in range(3)]
+    got = run("mmr_select", idea_predictions=([*same, novel, *other], IDEAS))
+    assert sorted((r.strategy_id, str(r.cut), r.place, r.pred_id) for r in got) == [("s", "2024-01-31", 1, 0), ("s", "2024-01-31", 2, 99), ("s", "2024-01-31", 3, 1)] + [("s2", f"2024-0{n + 1}-28", 1, 200 + n) for n in range(3)]
