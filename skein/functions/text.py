@@ -184,6 +184,19 @@ def prediction_text(title: Column, rationale: Column, approach: Column) -> Colum
     return F.concat_ws(" ", title, rationale, approach)
 
 
+def idea_text(title: Column, rationale: Column, approach: Column, key_terms: Column) -> Column:
+    """The prediction's text and its key terms."""
+    terms = F.filter(F.transform(key_terms, F.trim), lambda t: t != "")
+    return F.trim(F.concat_ws(" ", prediction_text(title, rationale, approach), F.array_join(terms, " ")))
+
+
+def paper_text(title: Column, keywords: Column, summary: Column) -> Column:
+    """Title, keywords and summary, parted by blank lines."""
+    none = F.lit("")
+    text = F.concat(F.coalesce(title, none), F.lit("\n\nKeywords: "), F.coalesce(F.array_join(keywords, ", "), none), F.lit("\n\n"), F.coalesce(summary, none))
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def first_hint(text: Column, hints: list[tuple[str, tuple[str, ...]]], default: str) -> Column:
     """The name of the first entry one of whose hints the lower-cased text holds."""
     low, out = F.lower(text), None

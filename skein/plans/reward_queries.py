@@ -31,9 +31,10 @@ def lexical_scores(spark, d):
 
 
 def two_stage_retrieval(spark, d):
-    i = _ideas(spark, d).filter("topic_id is not null").withColumn("m", F.substring(F.trim("cutoff_date"), 1, 7)).filter("m is not null")
-    p = papers(spark, d).filter("topic_id is not null").withColumn("m", D.month_of_index(D.month_index(F.col("published")) - 1))
-    return lexical.two_stage_retrieval(i, "pred_id", "title", p, "paper_id", "title", ["topic_id", "m"], 3, 0.1)
+    """The three papers most like each idea among those of its topic published by its cutoff, whole texts on both sides."""
+    i = _ideas(spark, d).select("topic_id", F.col("pred_id").alias("q"), T.idea_text(F.col("title"), F.col("rationale"), F.col("approach"), F.col("key_terms")).alias("text"), D.cutoff_date(F.col("cutoff_date")).alias("day"))
+    p = papers(spark, d).select("topic_id", F.col("paper_id").alias("p"), T.paper_text(F.col("title"), F.col("keywords"), F.col("summary")).alias("text"), F.col("published").alias("day"))
+    return lexical.two_stage_retrieval(i.filter("topic_id is not null and day is not null"), p.filter("topic_id is not null and day is not null"), ["topic_id"], 3, 0.1)
 
 
 def lexical_diversity(spark, d):

@@ -1,9 +1,13 @@
 """Registered queries on small tables: nothing of the job is left out."""
 
 import datetime
+import random
+import re
+from difflib import SequenceMatcher
 
 import pytest
 
+from skein.operators.lexical import ratio
 from skein.plans.registry import queries
 
 IDEAS = "pred_id bigint, strategy_id string, topic_id string, cutoff_date string, rank int, title string, rationale string, approach string, score double, key_terms array<string>"
@@ -63,3 +67,34 @@ def test_mmr_select_weighs_all_ideas_of_a_window(run):
     other = [idea(200 + n, "s2", cutoff=f"2024-0{n + 1}-28") for n in range(3)]
     got = run("mmr_select", idea_predictions=([*same, novel, *other], IDEAS))
     assert sorted((r.strategy_id, str(r.cut), r.place, r.pred_id) for r in got) == [("s", "2024-01-31", 1, 0), ("s", "2024-01-31", 2, 99), ("s", "2024-01-31", 3, 1)] + [("s2", f"2024-0{n + 1}-28", 1, 200 + n) for n in range(3)]
+
+
+def test_ratio_is_the_library_s():
+    rng = random.Random(8)
+    for n in (0, 1, 5, 60, 199, 200, 260, 500):
+        for letters in ("ab", "abcdefghijklmnopqrstuvwxyz  ", "".join(map(chr, range(97, 400)))):
+            for _ in range(4):
+                a, b = ("".join(rng.choice(letters) for _ in range(m)) for m in (rng.randrange(400), n))
+                b = a[20:90] + b if rng.random() < 0.5 else b
+                assert ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+
+
+def test_two_stage_retrieval_finds_all_papers_up_to_the_cutoff(run):
+    rng = random.Random(9)
+    words = [f"w{x}" for x in range(40)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    papers = [paper(f"p{n:03}", f"2023-{n % 12 + 1:02}-15", text(3), text(30), [text(1)]) for n in range(150)]
+    ideas = [idea(n, cutoff=f"2023-{n % 12 + 1:02}-20", title=text(4), rationale=text(20), approach=text(10), terms=[text(1), " "]) for n in range(30)]
+    want = set()
+    for i in ideas:
+        a = f"{i[5]} {i[6]} {i[7]} {i[9][0]}"
+        rated = []
+        for p in papers:
+            b = f"{p[1]}\n\nKeywords: {p[4][0]}\n\n{p[3]}"
+            x, y = set(a.split()), set(re.findall(r"\w+", b.lower()))
+            if p[5] <= i[3] and x & y:
+                rated.append((-len(x & y) / min(len(x), len(y)), -len(x & y) / len(x | y), p[0], round(0.65 * len(x & y) / len(x | y) + 0.35 * SequenceMatcher(None, a, b.lower()).ratio(), 6)))
+        best = sorted((-s, p) for _, _, p, s in sorted(rated)[:50])
+        want |= {(i[0], p, -s, n) for n, (s, p) in enumerate(best[:3], 1) if -s >= 0.1}
+    got = run("two_stage_retrieval", idea_predictions=(ideas, IDEAS), papers=(papers, PAPERS))
+    assert {tuple(r) for r in got} == want and len(got) == len(want) == 90
