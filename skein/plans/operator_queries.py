@@ -276,7 +276,8 @@ def group_advantage(spark, d):
 
 
 def mmd_rbf(spark, d):
-    return S.mmd(_usable(spark, d).filter("label in (0, 1)"), "embedding", F.col("label") == 1, "vec_id")
+    """All vectors in two samples, by odd and even label."""
+    return S.mmd(_usable(spark, d), "embedding", F.pmod("label", F.lit(2)) == 1, "vec_id")
 
 
 def wasserstein_1d(spark, d):
@@ -292,8 +293,8 @@ def cosine_topr(spark, d):
 
 def vector_novelty(spark, d):
     e = _usable(spark, d)
-    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va")), e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("vb"))
-    pairs = a.filter("a % 50 = 0").join(b.filter("label < 3"), F.col("a") != F.col("b")).withColumn("cos", V.cosine(F.col("va"), F.col("vb")))
+    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
+    pairs = a.filter("a % 50 = 0").join(b, F.col("a") != F.col("b")).withColumn("cos", V.cosine(F.col("va"), F.col("vb")))
     return A.novelty(a.filter("a % 50 = 0"), "a", pairs, "cos")
 
 

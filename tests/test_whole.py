@@ -5,6 +5,7 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 
 from skein.operators.lexical import ratio
@@ -98,3 +99,20 @@ def test_two_stage_retrieval_finds_all_papers_up_to_the_cutoff(run):
         want |= {(i[0], p, -s, n) for n, (s, p) in enumerate(best[:3], 1) if -s >= 0.1}
     got = run("two_stage_retrieval", idea_predictions=(ideas, IDEAS), papers=(papers, PAPERS))
     assert {tuple(r) for r in got} == want and len(got) == len(want) == 90
+
+
+def test_vectors_of_all_labels_are_compared(run):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((700, 6)).astype(np.float32)
+    x[650] = x[0] + 0.001
+    label = [9 if n == 650 else int(rng.integers(10)) for n in range(700)]
+    vectors = [(n, [float(y) for y in x[n]], label[n]) for n in range(700)]
+    got = {r.a: r.novelty for r in run("vector_novelty", embeddings=(vectors, "vec_id bigint, embedding array<float>, label int"))}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    cos = unit @ unit.T - 9 * np.eye(700)
+    assert got == {n: pytest.approx(1 - max(cos[n].max(), 0), abs=1e-5) for n in range(0, 700, 50)} and got[0] < 0.001
+    d, odd = ((x.astype(float)[:, None] - x.astype(float)[None]) ** 2).sum(2), np.array(label) % 2 == 1
+    h = np.median(d) / 2
+    g, off = np.exp(-d / h / 2), ~np.eye(700, dtype=bool)
+    want = g[np.ix_(~odd, ~odd)][off[np.ix_(~odd, ~odd)]].mean() + g[np.ix_(odd, odd)][off[np.ix_(odd, odd)]].mean() - 2 * g[np.ix_(odd, ~odd)].mean()
+    assert tuple(run("mmd_rbf")[0]) == (pytest.approx(want, abs=2e-6), pytest.approx(h, abs=2e-6))
