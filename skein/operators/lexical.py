@@ -156,9 +156,43 @@ def two_stage_retrieval(queries: DataFrame, docs: DataFrame, group: list[str], k
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, kinds)
 
 
-def diversity(items: DataFrame, group: list[str], key: str, text: str, k: int = 5) -> DataFrame:
-    """Mean lexical distance between the first k items of each group (by key); 0 for a group of one."""
-    few = items.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(key))).filter(F.col("n") <= k).select(*group, "n", F.coalesce(text, F.lit("")).alias("t"))
+def nearest(queries: DataFrame, docs: DataFrame, group: list[str]) -> DataFrame:
+    """queries: the group's columns, q, text, day; docs: the group's columns, text, day. Per query the greatest lexical similarity with a
+    document of its group of a day up to its own: q, s; no row without such a document. Every pair is compared whose token Jaccard and
+    lengths don't rule it out."""
+    left, right, keys = _blocks(queries.withColumn("text", F.lower("text")), docs.withColumn("text", F.lower("text")), group, 100)
+
+    def run(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
+        ps = ps.sort_values("day")
+        texts, days = ps.text.to_numpy(), np.array(ps.day, dtype="datetime64[D]")
+        words = [set(re.findall("[a-z0-9]+", t)) for t in texts]
+        sizes, lengths = np.array([len(w) for w in words]), np.array([len(t) for t in texts])
+        lists: dict[str, list[int]] = {}
+        for n, w in enumerate(words):
+            for t in w:
+                lists.setdefault(t, []).append(n)
+        index, out = {t: np.array(x) for t, x in lists.items()}, []
+        for q, text, day in zip(qs.q, qs.text, np.array(qs.day, dtype="datetime64[D]")):
+            w = set(re.findall("[a-z0-9]+", text))
+            seen = int(np.searchsorted(days, day, side="right"))
+            if not seen:
+                continue
+            common = np.bincount(np.concatenate([index[t] for t in w if t in index] or [np.array([], dtype=np.int64)]), minlength=len(texts))[:seen]
+            jac = common / np.maximum(len(w) + sizes[:seen] - common, 1)
+            bound = 0.65 * jac + 0.35 * 2 * np.minimum(len(text), lengths[:seen]) / np.maximum(len(text) + lengths[:seen], 1) + 1e-9
+            best = 0.0
+            for n in np.argsort(-jac, kind="stable"):
+                if bound[n] > best or not len(text):
+                    best = max(best, 0.65 * jac[n] + 0.35 * ratio(text, texts[n]))
+            out.append((q, best))
+        return pd.DataFrame(out, columns=["q", "s"])
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"q {queries.schema['q'].dataType.simpleString()}, s double")
+
+
+def diversity(items: DataFrame, group: list[str], order: list[Column], text: str, k: int = 5) -> DataFrame:
+    """Mean lexical distance between the first k items of each group in order; 0 for a group of one."""
+    few = items.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("n") <= k).select(*group, "n", F.coalesce(text, F.lit("")).alias("t"))
     a, b = few.withColumnsRenamed({"n": "na", "t": "ta"}), few.withColumnsRenamed({"n": "nb", "t": "tb"})
     pairs = a.join(b, group).filter("na < nb").groupBy(*group).agg(F.round(F.avg(1 - lexical_similarity(F.col("ta"), F.col("tb"))), 4).alias("diversity"))
     return few.select(*group).distinct().join(pairs, group, "left").fillna(0.0, ["diversity"])

@@ -27,6 +27,14 @@ def _forecasts(spark, d):
     return table(spark, d, "scored_forecasts").select("forecast_id", "strategy_id", "topic_id", "cutoff_t", "rank", "prior_score", "realization_score", "joint_score").dropDuplicates(["forecast_id"])
 
 
+def _idea_text():
+    return T.idea_text(F.col("title"), F.col("rationale"), F.col("approach"), F.col("key_terms"))
+
+
+def _paper_text():
+    return T.paper_text(F.col("title"), F.col("keywords"), F.col("summary"))
+
+
 def _usable(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "label", "embedding")
 
@@ -43,7 +51,7 @@ def topic_phrase_join(spark, d):
 def overlap_retrieval_topk(spark, d):
     ideas = _ideas(spark, d).filter("topic_id is not null")
     p = papers(spark, d).filter("topic_id is not null")
-    return joins.token_retrieval(ideas, "pred_id", F.coalesce("title", F.lit("")), p, "paper_id", F.coalesce("title", F.lit("")), 3, ["topic_id"])
+    return joins.token_retrieval(ideas, "pred_id", _idea_text(), p, "paper_id", _paper_text(), 3, ["topic_id"])
 
 
 def priority_join(spark, d):
@@ -195,12 +203,13 @@ def episode_splits(spark, d):
 
 
 def _candidates(spark, d):
-    """Papers of an idea's topic published in the three months after its cutoff, by title similarity."""
+    """Papers of an idea's topic published in the three months after its cutoff, by similarity of their whole texts."""
     i = _ideas(spark, d).withColumn("cut", D.cutoff_date(F.col("cutoff_date"))).filter("topic_id is not null and cut is not null")
     place = Window.partitionBy("strategy_id", "topic_id", "cut").orderBy(F.desc("score"), "pred_id")
-    i = i.select("strategy_id", "topic_id", "cut", F.row_number().over(place).alias("rank"), T.token_set(F.coalesce("title", F.lit(""))).alias("it"), F.explode(F.sequence(D.month_index(F.col("cut")), D.month_index(F.col("cut")) + 3)).alias("m"))
-    p = papers(spark, d).filter("topic_id is not null").select("topic_id", D.month_index(F.col("published")).alias("m"), "published", F.col("paper_id").alias("paper"), T.token_set(F.coalesce("title", F.lit(""))).alias("pt"))
-    pairs = i.filter("rank <= 5").join(p, ["topic_id", "m"]).filter("published > cut")
+    i = i.select("strategy_id", "topic_id", "cut", F.row_number().over(place).alias("rank"), T.token_set(_idea_text()).alias("it")).filter("rank <= 5")
+    i = i.withColumn("m", F.explode(F.sequence(D.month_index(F.col("cut")), D.month_index(F.col("cut")) + 3)))
+    p = papers(spark, d).filter("topic_id is not null").select("topic_id", D.month_index(F.col("published")).alias("m"), "published", F.col("paper_id").alias("paper"), T.token_set(_paper_text()).alias("pt"))
+    pairs = i.join(p, ["topic_id", "m"]).filter("published > cut")
     return pairs.withColumn("score", F.round(T.jaccard(F.col("it"), F.col("pt")), 6)).filter("score > 0.1").select("strategy_id", "topic_id", "cut", "rank", "paper", "score")
 
 

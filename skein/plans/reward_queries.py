@@ -38,7 +38,8 @@ def two_stage_retrieval(spark, d):
 
 
 def lexical_diversity(spark, d):
-    return lexical.diversity(_ideas(spark, d).filter("topic_id is not null"), ["strategy_id", "topic_id", "cutoff_date"], "pred_id", "title")
+    i = _ideas(spark, d).filter("topic_id is not null").withColumn("text", T.idea_text(F.col("title"), F.col("rationale"), F.col("approach"), F.col("key_terms")))
+    return lexical.diversity(i, ["strategy_id", "topic_id", "cutoff_date"], [F.col("rank").asc_nulls_last(), F.col("pred_id")], "text")
 
 
 def close_keywords(spark, d):

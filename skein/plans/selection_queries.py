@@ -10,7 +10,7 @@ from skein.functions import text as T
 from skein.functions import vectors as V
 from skein.operators import aggregates as A
 from skein.operators import selection as S
-from skein.operators.lexical import lexical_similarity
+from skein.operators.lexical import lexical_similarity, nearest
 from skein.plans.scalar_queries import PAPERS, TOK, papers
 from skein.sources.tables import table
 
@@ -32,10 +32,10 @@ def _forecasts(spark, d):
 
 
 def base_scores(spark, d):
-    """Coverage of the topic's signal terms (its five most frequent title tokens) and specificity of each idea."""
+    """Coverage of the topic's signal terms (the 20 most frequent tokens of its papers' summaries and keywords) and specificity of each idea."""
     p = papers(spark, d).filter("topic_id is not null")
-    terms = p.select("topic_id", F.explode(T.tokens(F.coalesce("title", F.lit("")))).alias("t")).filter((F.length("t") > 3) & ~F.col("t").isin(*T.STOP_WORDS)).groupBy("topic_id", "t").agg(F.count("*").alias("n"))
-    top = terms.withColumn("r", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("n"), "t"))).filter("r <= 5").groupBy("topic_id").agg(F.collect_set("t").alias("signals"))
+    terms = p.select("topic_id", F.explode(T.tokens(F.concat_ws(" ", "summary", F.array_join("keywords", " ")))).alias("t")).filter((F.length("t") > 3) & ~F.col("t").isin(*T.STOP_WORDS)).groupBy("topic_id", "t").agg(F.count("*").alias("n"))
+    top = terms.withColumn("r", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("n"), "t"))).filter("r <= 20").groupBy("topic_id").agg(F.collect_set("t").alias("signals"))
     i = _ideas(spark, d).join(top, "topic_id")
     return i.select("pred_id", S.base_score(T.token_set(T.prediction_text(F.col("title"), F.col("rationale"), F.col("approach"))), F.col("signals")).alias("base"))
 
@@ -140,11 +140,10 @@ def paper_memory(spark, d):
 
 
 def novelty_of_ideas(spark, d):
-    """One less the greatest title overlap with a paper of the topic published by the idea's cutoff."""
-    i = _ideas(spark, d).withColumn("cut", D.cutoff_date(F.col("cutoff_date"))).filter("topic_id is not null and cut is not null").select("pred_id", "topic_id", "cut", T.token_set(F.coalesce("title", F.lit(""))).alias("a"))
-    p = papers(spark, d).filter("topic_id is not null").select("topic_id", "published", T.token_set(F.coalesce("title", F.lit(""))).alias("b"))
-    pairs = i.join(p, "topic_id").filter("published <= cut").withColumn("s", T.jaccard(F.col("a"), F.col("b")))
-    return A.novelty(i, "pred_id", pairs, "s")
+    """One less the greatest lexical similarity of the idea's whole text with a paper of the topic published by the idea's cutoff."""
+    i = _ideas(spark, d).select("topic_id", F.col("pred_id").alias("q"), T.idea_text(F.col("title"), F.col("rationale"), F.col("approach"), F.col("key_terms")).alias("text"), D.cutoff_date(F.col("cutoff_date")).alias("day")).filter("topic_id is not null and day is not null")
+    p = papers(spark, d).select("topic_id", T.paper_text(F.col("title"), F.col("keywords"), F.col("summary")).alias("text"), F.col("published").alias("day")).filter("topic_id is not null and day is not null")
+    return A.novelty(i.withColumnRenamed("q", "pred_id"), "pred_id", nearest(i, p, ["topic_id"]).withColumnRenamed("q", "pred_id"), "s")
 
 
 _I = "i as (select distinct on (pred_id) * from idea_predictions)"

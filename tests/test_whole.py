@@ -116,3 +116,20 @@ def test_vectors_of_all_labels_are_compared(run):
     g, off = np.exp(-d / h / 2), ~np.eye(700, dtype=bool)
     want = g[np.ix_(~odd, ~odd)][off[np.ix_(~odd, ~odd)]].mean() + g[np.ix_(odd, odd)][off[np.ix_(odd, odd)]].mean() - 2 * g[np.ix_(odd, ~odd)].mean()
     assert tuple(run("mmd_rbf")[0]) == (pytest.approx(want, abs=2e-6), pytest.approx(h, abs=2e-6))
+
+
+def test_whole_texts_are_compared(run):
+    known = "graph encoders lose track of rare nodes when budgets shrink"
+    ideas = [idea(1, rank=2, title="alpha", rationale=known, terms=["zeta"]), idea(2, rank=1, title="beta", rationale="nothing like it"), *(idea(n, rank=n, title=f"gamma{n}") for n in range(3, 7)), idea(0, rank=9, title="omega")]
+    papers = [paper("old", "2024-01-10", "Another title", known, ["Budgets"]), paper("new", "2024-02-20", "Yet another", known)]
+    text = {i[0]: " ".join([*i[5:8], *i[9]]).strip() for i in ideas}
+    like = lambda a, b: 0.65 * len(set(re.findall(r"\w+", a)) & set(re.findall(r"\w+", b))) / len(set(re.findall(r"\w+", a)) | set(re.findall(r"\w+", b))) + 0.35 * SequenceMatcher(None, a, b).ratio()
+    old = f"another title\n\nkeywords: budgets\n\n{known}"
+    tables = {"idea_predictions": (ideas, IDEAS), "papers": (papers, PAPERS)}
+    assert {r.pred_id: r.novelty for r in run("novelty_of_ideas", **tables)} == {n: pytest.approx(1 - like(t, old), abs=1e-5) for n, t in text.items()}
+    assert [(r.q, r.p) for r in run("overlap_retrieval_topk") if r.place == 1 and r.q == 1] == [(1, "new")]
+    assert [r.paper for r in run("greedy_match")] == ["new"]
+    first = [text[n] for n in (2, 1, 3, 4, 5)]
+    pairs = [1 - like(a, b) for n, a in enumerate(first) for b in first[n + 1 :]]
+    assert run("lexical_diversity")[0].diversity == pytest.approx(sum(pairs) / len(pairs), abs=1e-4)
+    assert {r.pred_id for r in run("base_scores") if r.base > 0.5} == {1}
