@@ -1,20 +1,20 @@
 """Records that say nearly the same: all pairs whose word sets have a Jaccard similarity of at least ``least``.
 
 1. A record's words are a set; records with equal sets are a class, and one of each class (the smallest id) is compared.
-2. Words that stand in more than ``FREQUENT`` of the records are frequent, all others rare. Sets of a and b words with similarity s
-   differ in at most d = t * (a + b) words, t = (1 - s) / (1 + s). Two similar records either share ``shared`` rare words (two, or one
-   where records have many), or their frequent words alone differ in no more than d - (rare words of both) + 2 * (shared - 1).
-3. Records that share rare words meet on them: each emits the (pairs of the) first of its rare words in hash order; as a
-   similar set misses no more than (1 - s) * a words, the first (1 - s) * a + shared are enough.
-4. The others meet by parity sketches of their frequent words: the words are spread over m blocks, a block holding the XOR of its words'
-   hashes. Where at most D words differ, m = D + 1 blocks leave one block equal; where D is large, m = D // 2 + 1 blocks leave one that
-   differs in at most a word, and each record also emits each block's XOR without each of its words. D depends on sizes and rare
-   words, so records are put in bands of what they add to it, and meet once per pair of bands.
+2. Sets of a and b words with similarity s differ in at most D = t * (a + b) words, t = (1 - s) / (1 + s). Records are put in bands by
+   their number of words, so that D has one bound for every pair of bands that can hold similar records.
+3. For a pair of bands all words are spread over m = D // 2 + 1 blocks, and a block's sketch is the XOR of its words' 64-bit hashes, in
+   which words that occur an even number of times between two records cancel. By the pigeonhole principle some block of two similar records
+   differs in at most one word. So each record emits the sketch of every block, and that sketch without each one of the block's
+   words: two similar records have one of these in common, and meet there.
+4. Words that stand in many records are dealt to the blocks by rank, so that every block gets its share of telling words; the others
+   go by hash. Which word goes where only decides how many records meet for nothing, never which pairs are found.
 5. Where two records meet, the Hamming distance of the 128-bit parity sketches of all their words (one bit flipped per word), which is
-   never more than the words they differ in, must be at most d. Few other pairs are left, and their words decide.
+   never more than the words they differ in, must be at most D for their sizes. Few other pairs are left, and their words decide.
 
 Nothing is missed: no key, bucket or partner is capped. Buckets are processed as sorted arrays, one offset between neighbours at a time.
-Words are taken as 64-bit hashes until the last step, which compares the words themselves.
+A bucket of more than ``HOT`` sketches (counted over all records first) is split into chunks, and every two chunks meet in a cell
+of their own, so that no task holds a bucket whole. Words are taken as 64-bit hashes until the last step, which compares the words.
 
 Cases: null columns count as empty; a record without words is in no pair and a class of its own; rows repeated under one id count
 once (by its first columns in an arbitrary copy); records of one or two words are similar only to equal ones, through
@@ -33,16 +33,13 @@ from pyspark.sql import functions as F
 from skein.operators.components import components
 from skein.plans.cut import cut
 
-#: Share of the records above which a word is frequent; so there can be no more frequent words than words per record over FREQUENT.
-FREQUENT = 0.03
-#: Upper ends of the bands of what a record adds to the words that may differ; each next is 1.4 times as much. Two records that add less
-#: than nothing cannot be similar without sharing rare words, so texts of one template do not meet on it.
-ENDS = (0, 1, 3, 5, 8, 12)
-#: Words that may differ from which blocks may differ in one word.
-TOLERANT = 12
-#: Rare words per record, on average, up to which records meet on pairs of them.
-PAIRED = 24
-#: Rows of signatures that a task should get.
+#: Share of the records above which a word is dealt by rank; so there can be no more such words than words per record over FREQUENT.
+FREQUENT = 0.02
+#: Upper end of a band over that of the one before.
+RATIO = 1.3
+#: Sketches of a bucket above which it is split, and of each chunk.
+HOT = 50_000
+#: Rows of sketches that a task should get.
 TASK_ROWS = 600_000
 
 
@@ -57,11 +54,11 @@ def _most_differing(total: np.ndarray | int, least: float):
     return np.floor((1 - least) / (1 + least) * total + 1e-9).astype(np.int64) if isinstance(total, np.ndarray) else int((1 - least) / (1 + least) * total + 1e-9)
 
 
-def band_ends(most: float) -> list[int]:
-    """Upper ends of the bands up to one that holds ``most``."""
-    ends = list(ENDS)
+def band_ends(most: int) -> list[int]:
+    """Upper ends of the bands of sizes up to one that holds ``most``."""
+    ends = [1]
     while ends[-1] < most:
-        ends.append(int(ends[-1] * 1.4) + 1)
+        ends.append(max(ends[-1] + 1, int(ends[-1] * RATIO)))
     return ends
 
 
@@ -72,20 +69,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Plan:
-    """What every task must know to emit the same keys: the frequent words, how many rare ones must be shared, and the bands in use."""
+    """What every task must know to emit the same keys: the words dealt by rank, the bands in use, and the buckets that are split."""
 
-    def __init__(self, least: float, frequent: np.ndarray, shared: int, ends: list[int], used: list[int]) -> None:
-        self.least, self.frequent, self.shared, self.ends, self.used = least, np.sort(frequent), shared, ends, used
-        self.t = (1 - least) / (1 + least)
+    def __init__(self, least: float, frequent: np.ndarray, ends: list[int], used: list[int]) -> None:
+        """frequent: hashes, the most frequent first."""
+        self.least, self.ends, self.used = least, np.asarray(ends), used
+        order = np.argsort(frequent)
+        self.frequent, self.rank = frequent[order], order.astype(np.uint64)
+        self.hot, self.chunks = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
 
-    def combinations(self) -> Iterator[tuple[int, int, int, bool]]:
-        """Lower and higher band, blocks, and whether blocks may differ in a word."""
+    def combinations(self) -> Iterator[tuple[int, int, int]]:
+        """Lower band, higher band and blocks of the pairs of bands that can hold similar records."""
         for i in self.used:
             for j in self.used:
-                if i <= j:
-                    differing = self.ends[i] + self.ends[j]
-                    tolerant = differing >= TOLERANT and self.ends[i] >= 5
-                    yield i, j, differing // 2 + 1 if tolerant else differing + 1, tolerant
+                lowest = int(self.ends[j - 1]) + 1 if j else 1
+                if i <= j and lowest * self.least <= self.ends[i] + 1e-9:
+                    upper = min(int(self.ends[j]), int(self.ends[i] / self.least + 1e-9))
+                    differing = _most_differing(int(self.ends[i]) + upper, self.least)
+                    if differing:
+                        yield i, j, differing // 2 + 1
+
+    def spread(self, hashes: np.ndarray) -> np.ndarray:
+        """A number per word whose remainder is its block."""
+        number = _mix(hashes) >> np.uint64(20)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
+            number = np.where(self.frequent[at] == hashes, self.rank[at], number)
+        return number
 
 
 def _keyed(x: np.ndarray, side: np.ndarray | int) -> np.ndarray:
@@ -93,50 +103,21 @@ def _keyed(x: np.ndarray, side: np.ndarray | int) -> np.ndarray:
     return (x & ~np.uint64(3)) | np.uint64(2) - np.asarray(side, dtype=np.uint64)
 
 
-def signatures(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, plan: Plan) -> Iterator[tuple[np.ndarray, ...]]:
-    """key, id, two halves of the sketch, meta (size * 2 + reduced) for records of sizes > 0; hashes are theirs in a row.
+def sketches(sizes: np.ndarray, hashes: np.ndarray, plan: Plan, reduced: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Keys, rows (positions in sizes) and whether they lack a word, for records of sizes > 0; hashes are theirs in a row.
 
     Sides: 0 meets all of its bucket, 2 (a record of the higher band) and 1 (of the lower band) meet each other.
     """
-    record = np.repeat(np.arange(len(ids)), sizes)
-    begins = np.cumsum(sizes) - sizes
-    bit = np.uint64(1) << (hashes & np.uint64(63))
-    upper = (hashes & np.uint64(64)) != 0
-    f1 = np.bitwise_xor.reduceat(np.where(upper, np.uint64(0), bit), begins).view(np.int64)
-    f2 = np.bitwise_xor.reduceat(np.where(upper, bit, np.uint64(0)), begins).view(np.int64)
-
-    def rows(keys: np.ndarray, row: np.ndarray, reduced: np.ndarray | int = 0) -> tuple[np.ndarray, ...]:
-        return keys.view(np.int64), ids[row], f1[row], f2[row], (sizes[row] * 2 + reduced).astype(np.int32)
-
-    at = np.minimum(np.searchsorted(plan.frequent, hashes), max(0, len(plan.frequent) - 1))
-    is_rare = plan.frequent[at] != hashes if len(plan.frequent) else np.ones(len(hashes), dtype=bool)
-    rare_n = np.bincount(record[is_rare], minlength=len(ids))
-    order = np.lexsort((hashes[is_rare], record[is_rare]))
-    rare, first = hashes[is_rare][order], np.cumsum(rare_n) - rare_n
-    prefix = np.minimum(rare_n, np.floor((1 - plan.least) * sizes + 1e-9).astype(np.int64) + plan.shared)
-    for n in np.unique(prefix[prefix >= plan.shared]):
-        who = np.nonzero(prefix == n)[0]
-        words = _mix(rare[first[who][:, None] + np.arange(n)[None, :]])
-        if plan.shared == 2:
-            i, j = np.triu_indices(n, 1)
-            keys = _mix(words[:, i] * np.uint64(3) + words[:, j])
-        else:
-            keys = _mix(words + np.uint64(1))
-        yield rows(_keyed(keys.ravel(), 0), np.repeat(who, keys.shape[1]))
-
-    h, rec_of = hashes[~is_rare], record[~is_rare]
-    spread = _mix(h) >> np.uint64(20)
-    adds = plan.t * sizes - rare_n + plan.shared - 1
-    band = np.searchsorted(plan.ends, np.ceil(adds - 1e-9))
-    for i, j, m, tolerant in plan.combinations():
-        low, high = (band == i) & (adds + plan.ends[j] >= -1e-9), (band == j) & (adds + plan.ends[i] >= -1e-9)
-        here = np.nonzero(low | high)[0]
+    record, spread = np.repeat(np.arange(len(sizes)), sizes), plan.spread(hashes)
+    band = np.searchsorted(plan.ends, sizes)
+    for i, j, m in plan.combinations():
+        here = np.nonzero((band == i) | (band == j))[0]
         if not len(here):
             continue
-        new = np.full(len(ids), -1)
+        new = np.full(len(sizes), -1)
         new[here] = np.arange(len(here))
-        of = new[rec_of] >= 0
-        rec, words = new[rec_of[of]], h[of]
+        of = new[record] >= 0
+        rec, words = new[record[of]], hashes[of]
         block = (spread[of] % np.uint64(m)).astype(np.int64)
         cell = rec * m + block
         order = np.argsort(cell, kind="stable")
@@ -144,13 +125,45 @@ def signatures(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, plan: Pla
         begin = np.ones(len(order), dtype=bool)
         begin[1:] = sorted_cell[1:] != sorted_cell[:-1]
         xors = np.zeros(len(here) * m, dtype=np.uint64)
-        if len(order):
-            xors[sorted_cell[begin]] = np.bitwise_xor.reduceat(words[order], np.nonzero(begin)[0])
+        xors[sorted_cell[begin]] = np.bitwise_xor.reduceat(words[order], np.nonzero(begin)[0])
         salt = _mix(np.arange(m, dtype=np.uint64) + np.uint64((i * 1009 + j) * 100_003 + 1))
         side = np.zeros(len(here), dtype=np.int64) if i == j else np.where(band[here] == j, 2, 1)
-        yield rows(_keyed(_mix(xors ^ np.tile(salt, len(here))), np.repeat(side, m)), np.repeat(here, m))
-        if tolerant:
-            yield rows(_keyed(_mix(xors[cell] ^ words ^ salt[block]), side[rec]), here[rec], 1)
+        yield _keyed(_mix(xors ^ np.tile(salt, len(here))), np.repeat(side, m)), np.repeat(here, m), False
+        if reduced:
+            yield _keyed(_mix(xors[cell] ^ words ^ salt[block]), side[rec]), here[rec], True
+
+
+def split_hot(keys: np.ndarray, rows: np.ndarray, ids: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and rows, those of hot buckets replaced by one for each cell in which their chunk meets a chunk."""
+    if not len(plan.hot):
+        return keys, rows
+    bucket = keys >> np.uint64(2)
+    at = np.minimum(np.searchsorted(plan.hot, bucket), len(plan.hot) - 1)
+    is_hot = plan.hot[at] == bucket
+    if not is_hot.any():
+        return keys, rows
+    n = plan.chunks[at[is_hot]]
+    row, bucket, side = (np.repeat(x, n) for x in (rows[is_hot], bucket[is_hot], 2 - (keys[is_hot] & np.uint64(3)).astype(np.int64)))
+    other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    own = (_mix(ids.view(np.uint64)[row]) % np.repeat(n, n).astype(np.uint64)).astype(np.int64)
+    lone = side == 0
+    first = np.where(lone, np.minimum(own, other), np.where(side == 2, own, other))
+    second = np.where(lone, np.maximum(own, other), np.where(side == 2, other, own))
+    side = np.where(lone, np.where(own == other, 0, np.where(own < other, 2, 1)), side)
+    cell = _mix(bucket ^ _mix((first << 32 | second).astype(np.uint64) + np.uint64(1)))
+    return np.concatenate([keys[~is_hot], _keyed(cell, side)]), np.concatenate([rows[~is_hot], row])
+
+
+def signatures(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, plan: Plan) -> Iterator[tuple[np.ndarray, ...]]:
+    """key, id, two halves of the sketch of all words, meta (size * 2 + reduced)."""
+    begins = np.cumsum(sizes) - sizes
+    bit = np.uint64(1) << (hashes & np.uint64(63))
+    upper = (hashes & np.uint64(64)) != 0
+    f1 = np.bitwise_xor.reduceat(np.where(upper, np.uint64(0), bit), begins).view(np.int64)
+    f2 = np.bitwise_xor.reduceat(np.where(upper, bit, np.uint64(0)), begins).view(np.int64)
+    for keys, rows, reduced in sketches(sizes, hashes, plan):
+        keys, rows = split_hot(keys, rows, ids, plan)
+        yield keys.view(np.int64), ids[rows], f1[rows], f2[rows], (sizes[rows] * 2 + reduced).astype(np.int32)
 
 
 def meetings(key: np.ndarray, ids: np.ndarray, f1: np.ndarray, f2: np.ndarray, meta: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +199,14 @@ def meetings(key: np.ndarray, ids: np.ndarray, f1: np.ndarray, f2: np.ndarray, m
     return pairs[:, 0], pairs[:, 1]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, sizes and flat hashes of a few thousand records at a time."""
+    for b in batches:
+        for s in range(0, b.num_rows, 2_000):
+            ids, hashes = b.column(0).slice(s, 2_000), b.column(1).slice(s, 2_000)
+            yield ids.to_numpy(), hashes.value_lengths().to_numpy().astype(np.int64), hashes.flatten().to_numpy().view(np.uint64)
+
+
 class NearDuplicates:
     """The classes of equal records and the links between them; made once, used by several results."""
 
@@ -201,24 +222,32 @@ class NearDuplicates:
 
     def _plan(self) -> tuple[Plan, int]:
         """The plan, and the number of tasks for the rows it makes."""
-        least = self.least
-        hashed = self.reps.select(F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
         count, length, longest = self.reps.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).first()
         if not count:
-            return Plan(least, np.zeros(0, dtype=np.uint64), 2, [1], [0]), 8
-        words = hashed.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+            return Plan(self.least, np.zeros(0, dtype=np.uint64), [1], []), 8
+        words = self._hashed().select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
         # at most length / FREQUENT words can be as frequent
-        often = [r.h for r in words.filter(F.col("n") > FREQUENT * count).select("h").collect()]
-        rare = F.size(F.array_except("hashes", F.array(*map(F.lit, often)) if often else F.array().cast("array<bigint>")))
-        shared = 2 if hashed.agg(F.avg(rare)).first()[0] <= PAIRED else 1
-        t = (1 - least) / (1 + least)
-        ends = band_ends(t * longest + shared)
-        added = F.ceil(F.lit(t) * F.size("hashes") - rare + shared - 1 - 1e-9)
-        band = sum(((added > e).cast("int") for e in ends), F.lit(0))
-        used = sorted(r.b for r in hashed.select(band.alias("b")).distinct().collect())
-        plan = Plan(least, np.array(often, dtype=np.int64).view(np.uint64), shared, ends, used)
-        blocks = sum(m for _, _, m, _ in plan.combinations()) / max(1, len(used))
-        return plan, max(8, int(count * (2 * length + 2 * blocks) / TASK_ROWS) + 1)
+        often = [r.h for r in words.filter(F.col("n") > FREQUENT * count).orderBy(F.desc("n"), "h").select("h").collect()]
+        ends = band_ends(longest)
+        band = sum(((F.size("words") > e).cast("int") for e in ends), F.lit(0))
+        bands = self.reps.groupBy(band.alias("b")).agg(F.count("*").alias("n")).collect()
+        plan = Plan(self.least, np.array(often, dtype=np.int64).view(np.uint64), ends, sorted(r.b for r in bands))
+        of = {r.b: r.n for r in bands}
+        rows = sum((of[i] * (i != j) + of[j]) * (length + m) for i, j, m in plan.combinations())
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, sizes, flat in _pieces(batches):
+                for keys, _, _ in sketches(sizes, flat, plan, reduced=False):
+                    yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(2)).view(np.int64))], ["bucket"])
+
+        # no more than the sketches over HOT can be so many
+        hot = self._hashed().mapInArrow(emit, "bucket bigint").groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).orderBy("bucket").collect()
+        plan.hot = np.array([r.bucket for r in hot], dtype=np.int64).view(np.uint64)
+        plan.chunks = np.array([-(-r.n // HOT) for r in hot], dtype=np.int64)
+        return plan, max(8, int(rows / TASK_ROWS) + 1)
+
+    def _hashed(self) -> DataFrame:
+        return self.reps.select("rep", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
 
     def _links(self) -> DataFrame:
         """Pairs of different classes, a < b, by their smallest ids."""
@@ -226,13 +255,9 @@ class NearDuplicates:
         plan, tasks = self._plan()
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for s in range(0, b.num_rows, 2_000):
-                    ids, hashes = b.column(0).slice(s, 2_000), b.column(1).slice(s, 2_000)
-                    sizes = hashes.value_lengths().to_numpy().astype(np.int64)
-                    flat = hashes.flatten().to_numpy().view(np.uint64)
-                    for columns in signatures(ids.to_numpy(), sizes, flat, plan):
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "id", "f1", "f2", "meta"])
+            for ids, sizes, flat in _pieces(batches):
+                for columns in signatures(ids, sizes, flat, plan):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "id", "f1", "f2", "meta"])
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [b for b in batches if b.num_rows]
@@ -242,8 +267,7 @@ class NearDuplicates:
                 a, b = meetings(*(t[c].to_numpy() for c in ("key", "id", "f1", "f2", "meta")), least)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        hashed = self.reps.select("rep", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-        keys = hashed.mapInArrow(emit, "key bigint, id bigint, f1 bigint, f2 bigint, meta int").repartition(tasks, F.shiftright("key", 2))
+        keys = self._hashed().mapInArrow(emit, "key bigint, id bigint, f1 bigint, f2 bigint, meta int").repartition(tasks, F.shiftright("key", 2))
         pairs = keys.mapInArrow(meet, "a bigint, b bigint").distinct()
         left = self.reps.select(F.col("rep").alias("a"), F.col("words").alias("words_a"))
         right = self.reps.select(F.col("rep").alias("b"), F.col("words").alias("words_b"))

@@ -183,11 +183,12 @@ def near_texts(rng, n):
     return out + [None, "", "...", out[0], out[0].upper(), "x" * 20000]
 
 
-@pytest.mark.parametrize("frequent,paired,tolerant", [(0.03, 24, 12), (0.3, 24, 4), (0.05, 0, 12), (2.0, 24, 0), (0.0, 24, 12)])
-def test_near_duplicates_miss_nothing(spark, monkeypatch, frequent, paired, tolerant):
+@pytest.mark.parametrize("frequent,hot,ratio", [(0.02, 50_000, 1.3), (0.3, 9, 1.3), (2.0, 25, 1.6), (0.0, 4, 1.1)])
+def test_near_duplicates_miss_nothing(spark, monkeypatch, frequent, hot, ratio):
+    """The parity sketches alone find all pairs, whichever words are dealt, whatever the bands, with buckets split or whole."""
     monkeypatch.setattr(neardup, "FREQUENT", frequent)
-    monkeypatch.setattr(neardup, "PAIRED", paired)
-    monkeypatch.setattr(neardup, "TOLERANT", tolerant)
+    monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(neardup, "RATIO", ratio)
     texts = near_texts(random.Random(5), 120)
     w = [words(t) for t in texts]
     want = sorted((i, j) for i, j in itertools.combinations(range(len(w)), 2) if w[i] and w[j] and len(w[i] & w[j]) / len(w[i] | w[j]) >= 0.7)
@@ -204,6 +205,26 @@ def test_near_duplicates_miss_nothing(spark, monkeypatch, frequent, paired, tole
         assert all(got[i].group == got[j].group for j in js) and got[i].group <= i
 
 
+def test_split_buckets_hold_every_pair_once():
+    """Chunks of a hot bucket: any two rows that may meet do so in exactly one cell, and no cell holds all."""
+    plan = neardup.Plan(0.7, np.zeros(0, dtype=np.uint64), [10], [0])
+    plan.hot, plan.chunks = np.array([77], dtype=np.uint64), np.array([4])
+    ids = np.arange(200, dtype=np.int64)
+    for sides in (np.zeros(200, dtype=np.int64), np.where(ids % 3 == 0, 2, 1)):
+        keys = neardup._keyed(np.full(200, 77 << 2, dtype=np.uint64), sides)
+        keys, row = neardup.split_hot(keys, np.arange(200), ids, plan)
+        met = {}
+        for cell in set((keys >> np.uint64(2)).tolist()):
+            at = np.nonzero(keys >> np.uint64(2) == cell)[0]
+            assert len(at) < 200
+            side = 2 - (keys[at] & np.uint64(3)).astype(int)
+            for (x, s), (y, t) in itertools.combinations(zip(row[at].tolist(), side), 2):
+                if s == t == 0 or {s, t} == {1, 2}:
+                    met[min(x, y), max(x, y)] = met.get((min(x, y), max(x, y)), 0) + 1
+        want = {(x, y) for x, y in itertools.combinations(range(200), 2) if sides[x] == sides[y] == 0 or sides[x] != sides[y]}
+        assert set(met) == want and set(met.values()) == {1}
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "id long, a string")
     near = neardup.NearDuplicates(df, "id", ["a"], 0.7)
