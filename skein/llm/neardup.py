@@ -35,8 +35,8 @@ from skein.plans.cut import cut
 
 #: Share of the records above which a word is dealt by rank; so there can be no more such words than words per record over FREQUENT.
 FREQUENT = 0.02
-#: Upper end of a band over that of the one before.
-RATIO = 1.3
+#: Upper end of a band over that of the one before. Narrower bands let fewer records meet for nothing, wider ones make fewer sketches.
+RATIO = 1.43
 #: Sketches of a bucket above which it is split, and of each chunk.
 HOT = 50_000
 #: Rows of sketches that a task should get.
