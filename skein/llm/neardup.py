@@ -49,9 +49,9 @@ def word_set(columns: list[Column]) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))))
 
 
-def _most_differing(total: np.ndarray | int, least: float):
+def _most_differing(total: int, least: float) -> int:
     """Words in which sets of so many words together may differ."""
-    return np.floor((1 - least) / (1 + least) * total + 1e-9).astype(np.int64) if isinstance(total, np.ndarray) else int((1 - least) / (1 + least) * total + 1e-9)
+    return int((1 - least) / (1 + least) * total + 1e-9)
 
 
 def band_ends(most: int) -> list[int]:
@@ -98,13 +98,21 @@ class Plan:
         return number
 
 
-def _keyed(x: np.ndarray, side: np.ndarray | int) -> np.ndarray:
-    """A key with its side in the two lowest bits, so that in key order the higher side of a bucket comes first."""
-    return (x & ~np.uint64(3)) | np.uint64(2) - np.asarray(side, dtype=np.uint64)
+def _keyed(x: np.ndarray, side: np.ndarray | int, reduced: np.ndarray | int) -> np.ndarray:
+    """A key with its kind in the three lowest bits, so that in key order the higher side of a bucket comes first, and in each side the
+    sketches that lack a word."""
+    kind = (2 - np.asarray(side)) * 2 + 1 - np.asarray(reduced)
+    return (x & ~np.uint64(7)) | kind.astype(np.uint64)
 
 
-def sketches(sizes: np.ndarray, hashes: np.ndarray, plan: Plan, reduced: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Keys, rows (positions in sizes) and whether they lack a word, for records of sizes > 0; hashes are theirs in a row.
+def _kind(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, side, and whether a word is lacking."""
+    low = (keys & np.uint64(7)).astype(np.int64)
+    return keys >> np.uint64(3), 2 - (low >> 1), 1 - (low & 1)
+
+
+def sketches(sizes: np.ndarray, hashes: np.ndarray, plan: Plan, reduced: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and rows (positions in sizes), for records of sizes > 0; hashes are theirs in a row.
 
     Sides: 0 meets all of its bucket, 2 (a record of the higher band) and 1 (of the lower band) meet each other.
     """
@@ -128,22 +136,22 @@ def sketches(sizes: np.ndarray, hashes: np.ndarray, plan: Plan, reduced: bool =
         xors[sorted_cell[begin]] = np.bitwise_xor.reduceat(words[order], np.nonzero(begin)[0])
         salt = _mix(np.arange(m, dtype=np.uint64) + np.uint64((i * 1009 + j) * 100_003 + 1))
         side = np.zeros(len(here), dtype=np.int64) if i == j else np.where(band[here] == j, 2, 1)
-        yield _keyed(_mix(xors ^ np.tile(salt, len(here))), np.repeat(side, m)), np.repeat(here, m), False
+        yield _keyed(_mix(xors ^ np.tile(salt, len(here))), np.repeat(side, m), 0), np.repeat(here, m)
         if reduced:
-            yield _keyed(_mix(xors[cell] ^ words ^ salt[block]), side[rec]), here[rec], True
+            yield _keyed(_mix(xors[cell] ^ words ^ salt[block]), side[rec], 1), here[rec]
 
 
 def split_hot(keys: np.ndarray, rows: np.ndarray, ids: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """Keys and rows, those of hot buckets replaced by one for each cell in which their chunk meets a chunk."""
     if not len(plan.hot):
         return keys, rows
-    bucket = keys >> np.uint64(2)
+    bucket, side, reduced = _kind(keys)
     at = np.minimum(np.searchsorted(plan.hot, bucket), len(plan.hot) - 1)
     is_hot = plan.hot[at] == bucket
     if not is_hot.any():
         return keys, rows
     n = plan.chunks[at[is_hot]]
-    row, bucket, side = (np.repeat(x, n) for x in (rows[is_hot], bucket[is_hot], 2 - (keys[is_hot] & np.uint64(3)).astype(np.int64)))
+    row, bucket, side, reduced = (np.repeat(x[is_hot], n) for x in (rows, bucket, side, reduced))
     other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     own = (_mix(ids.view(np.uint64)[row]) % np.repeat(n, n).astype(np.uint64)).astype(np.int64)
     lone = side == 0
@@ -151,47 +159,59 @@ def split_hot(keys: np.ndarray, rows: np.ndarray, ids: np.ndarray, plan: Plan) -
     second = np.where(lone, np.maximum(own, other), np.where(side == 2, other, own))
     side = np.where(lone, np.where(own == other, 0, np.where(own < other, 2, 1)), side)
     cell = _mix(bucket ^ _mix((first << 32 | second).astype(np.uint64) + np.uint64(1)))
-    return np.concatenate([keys[~is_hot], _keyed(cell, side)]), np.concatenate([rows[~is_hot], row])
+    return np.concatenate([keys[~is_hot], _keyed(cell, side, reduced)]), np.concatenate([rows[~is_hot], row])
 
 
 def signatures(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, plan: Plan) -> Iterator[tuple[np.ndarray, ...]]:
-    """key, id, two halves of the sketch of all words, meta (size * 2 + reduced)."""
+    """key, id, two halves of the sketch of all words, size."""
     begins = np.cumsum(sizes) - sizes
     bit = np.uint64(1) << (hashes & np.uint64(63))
     upper = (hashes & np.uint64(64)) != 0
     f1 = np.bitwise_xor.reduceat(np.where(upper, np.uint64(0), bit), begins).view(np.int64)
     f2 = np.bitwise_xor.reduceat(np.where(upper, bit, np.uint64(0)), begins).view(np.int64)
-    for keys, rows, reduced in sketches(sizes, hashes, plan):
+    for keys, rows in sketches(sizes, hashes, plan):
         keys, rows = split_hot(keys, rows, ids, plan)
-        yield keys.view(np.int64), ids[rows], f1[rows], f2[rows], (sizes[rows] * 2 + reduced).astype(np.int32)
-
-
-def meetings(key: np.ndarray, ids: np.ndarray, f1: np.ndarray, f2: np.ndarray, meta: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids that share a key and whose sketches allow the similarity."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    bucket, side = key >> 2, 2 - (key & 3)
-    start = np.ones(len(key), dtype=bool)
-    start[1:] = bucket[1:] != bucket[:-1]
-    bucket_end = np.append(np.nonzero(start)[0][1:], len(key))[np.cumsum(start) - 1]
-    left = bucket_end - np.arange(len(key)) - 1
-    stay = (left > 0) | ~start  # only rows of buckets with two rows or more
-    order, left, side = order[stay], left[stay], side[stay]
-    ids, f1, f2, meta = ids[order], f1[order].view(np.uint64), f2[order].view(np.uint64), meta[order].astype(np.int64)
-    size, reduced = meta >> 1, (meta & 1) != 0
+        yield keys.view(np.int64), ids[rows], f1[rows], f2[rows], sizes[rows].astype(np.int32)
+
+
+def meetings(key: np.ndarray, ids: np.ndarray, f1: np.ndarray, f2: np.ndarray, size: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids that share a key, not both lacking a word, and whose sketches allow the similarity."""
+    order = np.argsort(key.view(np.uint64), kind="stable")
+    bucket, side, reduced = _kind(key.view(np.uint64)[order])
+
+    def ends(same: np.ndarray) -> np.ndarray:
+        """Per row the end of its run; same: whether a row goes on with the run of the one before."""
+        return np.append(np.nonzero(~same)[0][1:], len(same))[np.cumsum(~same) - 1]
+
+    same = np.zeros(len(key), dtype=bool)
+    same[1:] = bucket[1:] == bucket[:-1]
+    kinds = same.copy()
+    kinds[1:] &= (side[1:] == side[:-1]) & (reduced[1:] == reduced[:-1])
+    end, after = ends(same), ends(kinds)
+    # one lacking a word meets those of the other side, or of its own if there is one, that lack none; others meet all that follow
+    begin = np.where(reduced == 1, after, np.arange(len(key)) + 1)
+    of_side = same.copy()
+    of_side[1:] &= side[1:] == side[:-1]
+    begin = np.where(side == 2, ends(of_side), begin)
+    full = np.where(begin < end, np.minimum(begin, len(key) - 1), 0)
+    skip = (side == 2) & (reduced == 1) & (begin < end) & (reduced[full] == 1)
+    begin = np.where(skip, after[full], begin)
+    i = np.nonzero((begin < end) & (side != 1))[0]
+    j, end = begin[i], end[i]
+    ids, f1, f2, size = ids[order], f1[order].view(np.uint64), f2[order].view(np.uint64), size[order].astype(np.int64)
+    most = ((1 - least) / (1 + least) * size + 1e-3).astype(np.float32)
     found_a, found_b = [], []
-    i, offset = np.nonzero((left > 0) & (side != 1))[0], 1
     while len(i):
-        j = i + offset
-        a, b = size[i], size[j]
-        ok = (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9) & ~(reduced[i] & reduced[j]) & ((side[i] == 0) | (side[j] == 1)) & (ids[i] != ids[j])
-        x, y = i[ok], j[ok]
-        differing = np.bitwise_count(f1[x] ^ f1[y]).astype(np.int64) + np.bitwise_count(f2[x] ^ f2[y])
-        near = differing <= _most_differing(size[x] + size[y], least)
-        found_a.append(ids[x[near]])
-        found_b.append(ids[y[near]])
-        offset += 1
-        i = i[left[i] >= offset]
+        differing = np.bitwise_count(f1[i] ^ f1[j]) + np.bitwise_count(f2[i] ^ f2[j])
+        near = differing <= most[i] + most[j]
+        x, y = i[near], j[near]
+        a, b = size[x], size[y]
+        ok = (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9) & (ids[x] != ids[y])
+        found_a.append(ids[x[ok]])
+        found_b.append(ids[y[ok]])
+        j = j + 1
+        stay = j < end
+        i, j, end = i[stay], j[stay], end[stay]
     if not found_a:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     a, b = np.concatenate(found_a), np.concatenate(found_b)
@@ -237,8 +257,8 @@ class NearDuplicates:
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, sizes, flat in _pieces(batches):
-                for keys, _, _ in sketches(sizes, flat, plan, reduced=False):
-                    yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(2)).view(np.int64))], ["bucket"])
+                for keys, _ in sketches(sizes, flat, plan, reduced=False):
+                    yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(3)).view(np.int64))], ["bucket"])
 
         # no more than the sketches over HOT can be so many
         hot = self._hashed().mapInArrow(emit, "bucket bigint").groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).orderBy("bucket").collect()
@@ -257,17 +277,17 @@ class NearDuplicates:
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ids, sizes, flat in _pieces(batches):
                 for columns in signatures(ids, sizes, flat, plan):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "id", "f1", "f2", "meta"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "id", "f1", "f2", "size"])
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [b for b in batches if b.num_rows]
             if held:
                 t = pa.Table.from_batches(held)
                 del held
-                a, b = meetings(*(t[c].to_numpy() for c in ("key", "id", "f1", "f2", "meta")), least)
+                a, b = meetings(*(t[c].to_numpy() for c in ("key", "id", "f1", "f2", "size")), least)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        keys = self._hashed().mapInArrow(emit, "key bigint, id bigint, f1 bigint, f2 bigint, meta int").repartition(tasks, F.shiftright("key", 2))
+        keys = self._hashed().mapInArrow(emit, "key bigint, id bigint, f1 bigint, f2 bigint, size int").repartition(tasks, F.shiftright("key", 3))
         pairs = keys.mapInArrow(meet, "a bigint, b bigint").distinct()
         left = self.reps.select(F.col("rep").alias("a"), F.col("words").alias("words_a"))
         right = self.reps.select(F.col("rep").alias("b"), F.col("words").alias("words_b"))

@@ -211,13 +211,13 @@ def test_split_buckets_hold_every_pair_once():
     plan.hot, plan.chunks = np.array([77], dtype=np.uint64), np.array([4])
     ids = np.arange(200, dtype=np.int64)
     for sides in (np.zeros(200, dtype=np.int64), np.where(ids % 3 == 0, 2, 1)):
-        keys = neardup._keyed(np.full(200, 77 << 2, dtype=np.uint64), sides)
+        keys = neardup._keyed(np.full(200, 77 << 3, dtype=np.uint64), sides, 0)
         keys, row = neardup.split_hot(keys, np.arange(200), ids, plan)
         met = {}
-        for cell in set((keys >> np.uint64(2)).tolist()):
-            at = np.nonzero(keys >> np.uint64(2) == cell)[0]
+        for cell in set((keys >> np.uint64(3)).tolist()):
+            at = np.nonzero(keys >> np.uint64(3) == cell)[0]
             assert len(at) < 200
-            side = 2 - (keys[at] & np.uint64(3)).astype(int)
+            side = neardup._kind(keys[at])[1]
             for (x, s), (y, t) in itertools.combinations(zip(row[at].tolist(), side), 2):
                 if s == t == 0 or {s, t} == {1, 2}:
                     met[min(x, y), max(x, y)] = met.get((min(x, y), max(x, y)), 0) + 1
