@@ -3,35 +3,42 @@
 Two records overlap if they name the same paper, or if the words of their passages have a Jaccard similarity of at least ``least``
 (both of ``least_words`` distinct words or more).
 
-Passages: equal word sets are a class on either side, and classes are compared. The evaluation classes are cut into shards of at
-most ``SHARD``; within a shard every class has its key words: its rarest words in the shard, as many that a similar
-training text must hold at least ``NEED`` of them (a similar set misses at most floor((1 - least) * size) of its words). An
-Aho-Corasick automaton over the key words of a shard scans every training text, written as its distinct words between
-blanks. The matched intervals of a text are merged per evaluation class into its coverage, the key words matched; classes with NEED
-or more are compared word by word. No candidate is dropped otherwise, so no case is missed.
-
-Every training text is sent to every shard, in blocks; neither side is ever gathered whole. Within a task key words are kept as
-lists of classes, so a word that many share costs one list, not a row per pair.
-
-Cases: null, empty and short passages overlap with none; blank ids and ids without a paper number name no paper; rows repeated under
-one key count once; any number of equal passages is one class until the result lists its pairs. Empty tables give an empty result.
+Passages are normalised to their words (runs of a-z and 0-9 in lower case) between single blanks, in their order. Equal evaluation passages
+are a class. The classes are cut into shards of about ``SHARD_WORDS`` words, and for each shard one task builds one automaton:
+
+- Every passage is cut into consecutive pieces. A similar text lacks at most floor((1 - least) * n) of its n distinct words; so many words
+  and ``NEED`` more, the rarest of the passage in the shard, are pieces of their own, and each run of words between them is one piece.
+- The Aho-Corasick automaton of the shard holds all pieces; it is built once and sent to the executors, in broadcasts of at
+  most ``PASS_BYTES``, one after another.
+
+Training texts are scanned where they are read, without a shuffle: the automaton reports every interval of the text that is a piece. A
+passage of which ``NEED`` pieces stand in the text is a candidate (a similar text, in whatever order its words come, holds as many of
+the one-word pieces). The intervals of its pieces are merged into its coverage, the share of the passage's words that stand in the text
+in pieces; then the word sets are compared. No candidate is dropped otherwise, so no case is missed.
+
+Cases: null, empty and short passages overlap with none; blank ids and ids without a paper number name no paper; rows repeated under one
+key count once, and where they differ a pair counts if any of them overlap. Empty tables give an empty result. Texts are scanned whole.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.neardup import word_set
+from skein.functions.text import tokens
 from skein.plans.cut import cut
-from skein.plans.spread import spread
 
-#: Evaluation classes of one automaton; training classes of one block.
-SHARD, BLOCK = 20_000, 40_000
+#: Words of the evaluation passages of one automaton, on average, and bytes of the automata that are sent at once.
+SHARD_WORDS, PASS_BYTES = 400_000, 64_000_000
+#: Pieces of a passage that a similar text must hold.
 NEED = 3
 
 
@@ -53,95 +60,149 @@ def same_paper(evaluation: DataFrame, training: DataFrame) -> DataFrame:
     return left.join(right, "number").select("eval_id", "train_id")
 
 
-def _classes(rows: DataFrame, key: str, least_words: int) -> tuple[DataFrame, DataFrame]:
-    """Members (key, rep) and classes (rep, words) of the rows' passages."""
-    worded = rows.select(key, word_set([F.col("passage")]).alias("words")).filter(F.size("words") >= least_words)
-    hashed = worded.withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64("words", F.lit(1))})
-    classes = cut(hashed.groupBy("h1", "h2").agg(F.min(key).alias("rep"), F.first("words").alias("words")))
-    members = hashed.drop("words").join(classes.drop("words"), ["h1", "h2"]).select(key, "rep")
-    return members, classes.select("rep", "words")
+def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of half-open intervals, in order; those that touch become one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(intervals):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
-class Automaton:
-    """The key words of one shard of evaluation classes, and the words of each class."""
+class Shard:
+    """The automaton over the pieces of some passages."""
 
-    def __init__(self, reps: np.ndarray, words: list[list[str]], least: float) -> None:
+    def __init__(self, reps: list[int], passages: list[str], least: float) -> None:
+        """passages: normalised."""
         import ahocorasick
 
-        self.least, self.reps, self.sets = least, reps, [frozenset(w) for w in words]
-        self.sizes = np.array([len(w) for w in self.sets], dtype=np.int64)
-        often: dict[str, int] = {}
-        for w in self.sets:
-            for x in w:
-                often[x] = often.get(x, 0) + 1
-        lists: dict[str, list[int]] = {}
-        needs = np.empty(len(self.sets), dtype=np.int64)
-        for i, w in enumerate(self.sets):
-            lost = int((1 - least) * len(w) + 1e-9)
-            needs[i] = min(NEED, len(w) - lost)
-            for x in sorted(w, key=lambda x: (often[x], x))[: lost + needs[i]]:
-                lists.setdefault(x, []).append(i)
-        self.needs, self.lists = needs, []
-        self.automaton = ahocorasick.Automaton()
-        for x, classes in lists.items():
-            self.automaton.add_word(f" {x} ", (len(self.lists), len(x)))
-            self.lists.append(np.array(classes, dtype=np.int64))
-        if self.lists:
+        self.least, self.reps, self.passages = least, np.array(reps, dtype=np.int64), passages
+        split = [p.split() for p in passages]
+        often = Counter(w for words in split for w in set(words))
+        numbers: dict[str, int] = {}
+        holders: list[list[int]] = []
+        self.pieces: list[list[tuple[int, int, int]]] = []  # per passage: first word, word after the last, piece
+        self.needs, self.sizes = np.empty(len(split), dtype=np.int64), np.empty(len(split), dtype=np.int64)
+        for i, words in enumerate(split):
+            distinct = set(words)
+            lost = int((1 - least) * len(distinct) + 1e-9)
+            self.sizes[i], self.needs[i] = len(distinct), min(NEED, len(distinct) - lost)
+            alone = set(sorted(distinct, key=lambda w: (often[w], w))[: lost + self.needs[i]])
+            mine, at = [], 0
+            while at < len(words):
+                to = at + 1
+                while words[at] not in alone and to < len(words) and words[to] not in alone:
+                    to += 1
+                piece = f" {' '.join(words[at:to])} "
+                number = numbers.setdefault(piece, len(holders))
+                if number == len(holders):
+                    holders.append([])
+                if not holders[number] or holders[number][-1] != i:
+                    holders[number].append(i)
+                mine.append((at, to, number))
+                at = to
+            self.pieces.append(mine)
+        self.begins = np.cumsum([0, *map(len, holders)])
+        self.holders = np.array([i for h in holders for i in h], dtype=np.int64)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for piece, number in numbers.items():
+            self.automaton.add_word(piece, number)
+        if numbers:
             self.automaton.make_automaton()
 
-    def scan(self, words: list[str]) -> Iterator[tuple[int, float]]:
-        """Evaluation classes similar to the training text of these distinct words, with the similarity."""
-        if not self.lists:
+    def scan(self, text: str) -> Iterator[tuple[int, float, float]]:
+        """Passages similar to the normalised text, each with its coverage and the similarity."""
+        if not len(self.holders):
             return
-        hits = [self.lists[which] for _, (which, _) in self.automaton.iter(f" {' '.join(words)} ")]
-        if len(hits) < NEED and not (self.needs < NEED).any():
+        found = {number for _, number in self.automaton.iter(f" {text} ")}
+        if not found:
             return
-        if not hits:
+        passages, count = np.unique(np.concatenate([self.holders[self.begins[f] : self.begins[f + 1]] for f in found]), return_counts=True)
+        passages = passages[count >= self.needs[passages]]
+        if not len(passages):
             return
-        classes, coverage = np.unique(np.concatenate(hits), return_counts=True)
-        n = len(words)
-        sizes = self.sizes[classes]
-        fit = (coverage >= self.needs[classes]) & (np.minimum(sizes, n) >= self.least * np.maximum(sizes, n) - 1e-9)
-        if fit.any():
-            mine = frozenset(words)
-            for i in classes[fit].tolist():
-                common = len(mine & self.sets[i])
-                similarity = common / (n + len(self.sets[i]) - common)
-                if similarity >= self.least:
-                    yield i, similarity
+        mine = set(text.split())
+        n, sizes = len(mine), self.sizes[passages]
+        for i in passages[np.minimum(sizes, n) >= self.least * np.maximum(sizes, n) - 1e-9].tolist():
+            theirs = self.passages[i].split()
+            distinct = set(theirs)
+            common = len(mine & distinct)
+            similarity = common / (n + len(distinct) - common)
+            if similarity >= self.least:
+                spans = merged([(a, b) for a, b, piece in self.pieces[i] if piece in found])
+                yield i, sum(b - a for a, b in spans) / len(theirs), similarity
+
+
+_loaded: tuple[str, list[Shard]] = ("", [])
+
+
+def _shards_of(token: str, packed: list[bytes]) -> list[Shard]:
+    """The shards of a broadcast, unpacked once per Python process; only the last broadcast's are kept."""
+    global _loaded
+    if _loaded[0] != token:
+        _loaded = (token, [pickle.loads(p) for p in packed])
+    return _loaded[1]
+
+
+def _scanned(texts: DataFrame, packed: list[bytes]) -> DataFrame:
+    """texts: train_id, passage. Columns a (class of an evaluation passage), train_id, coverage, similarity."""
+    sent, token = texts.sparkSession.sparkContext.broadcast(packed), uuid.uuid4().hex
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shards = _shards_of(token, sent.value)
+            found = [(int(s.reps[i]), key, c, j) for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s in shards for i, c, j in s.scan(text)]
+            columns = zip(*found) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["a", "train_id", "coverage", "similarity"])
+
+    links = cut(texts.mapInArrow(scan, "a bigint, train_id bigint, coverage double, similarity double"))
+    sent.destroy()
+    return links
 
 
 def similar_passages(evaluation: DataFrame, training: DataFrame, least: float, least_words: int) -> DataFrame:
-    """evaluation: eval_id, passage; training: train_id, passage. Columns eval_id, train_id, similarity."""
-    eval_members, eval_classes = _classes(evaluation, "eval_id", least_words)
-    train_members, train_classes = _classes(training, "train_id", least_words)
-    shards = max(1, -(-eval_classes.count() // SHARD))
-    blocks = max(8, -(-train_classes.count() // BLOCK))
-    # each shard's classes go to each block once; each block's texts to each shard
-    shard_of, block_of = F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
-    left = eval_classes.withColumns({"shard": shard_of, "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
-    right = train_classes.withColumns({"block": block_of, "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
-
-    def scan(asked: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(texts):
-            return pd.DataFrame({"a": np.zeros(0, "int64"), "b": np.zeros(0, "int64"), "similarity": np.zeros(0)})
-        automaton = Automaton(asked.rep.to_numpy(), [w.tolist() for w in asked.words], least)
-        found = [(automaton.reps[i], rep, s) for rep, words in zip(texts.rep.to_numpy(), texts.words) for i, s in automaton.scan(words.tolist())]
-        return pd.DataFrame(found, columns=["a", "b", "similarity"])
-
-    pieces = [spread(x, "shard", "block").groupBy("shard", "block") for x in (left, right)]
-    links = pieces[0].cogroup(pieces[1]).applyInPandas(scan, "a bigint, b bigint, similarity double")
-    named = links.join(eval_members.select("eval_id", F.col("rep").alias("a")), "a").join(train_members.select("train_id", F.col("rep").alias("b")), "b")
-    return named.select("eval_id", "train_id", "similarity")
+    """evaluation: eval_id, passage; training: train_id, passage. Columns eval_id, train_id, coverage, similarity."""
+
+    def normalised(rows: DataFrame, key: str) -> DataFrame:
+        worded = rows.select(F.col(key).cast("bigint").alias(key), tokens(F.col("passage")).alias("words"))
+        return worded.filter(F.col(key).isNotNull() & (F.size(F.array_distinct("words")) >= least_words)).select(key, F.array_join("words", " ").alias("passage"))
+
+    named = normalised(evaluation, "eval_id").distinct()
+    classes = cut(named.groupBy("passage").agg(F.min("eval_id").alias("rep")))
+    words = classes.agg(F.sum(F.size(F.split("passage", " ")))).first()[0] or 0
+    shard = F.pmod(F.xxhash64("rep"), F.lit(-(-words // SHARD_WORDS) or 1))
+
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"packed": [pickle.dumps(Shard(part.rep.tolist(), part.passage.tolist(), least), protocol=5)]})
+
+    automata = cut(classes.withColumn("shard", shard).groupBy("shard").applyInPandas(build, "packed binary"))
+    texts, links, held = normalised(training, "train_id"), None, []
+
+    def flush() -> None:
+        nonlocal links, held
+        more = _scanned(texts, held)
+        links, held = more if links is None else links.unionByName(more), []
+
+    for r in automata.toLocalIterator():
+        if held and sum(map(len, held)) + len(r.packed) > PASS_BYTES:
+            flush()
+        held.append(bytes(r.packed))
+    if held or links is None:
+        flush()
+    members = named.join(classes, "passage").select("eval_id", F.col("rep").alias("a"))
+    return links.join(members, "a").select("eval_id", "train_id", "coverage", "similarity")
 
 
 def overlaps(evaluation: DataFrame, training: DataFrame, least: float = 0.75, least_words: int = 8) -> DataFrame:
     """evaluation: eval_id, paper, passage; training: train_id, paper, passage.
 
-    Columns eval_id, train_id, same_paper (boolean), coverage (the passages' similarity; null if it is below ``least``).
+    Columns eval_id, train_id, same_paper (boolean), coverage (the share of the evaluation passage that stands in the training text in
+    pieces) and similarity; both null if the passages are not similar.
     """
-    evaluation, training = evaluation.dropDuplicates(["eval_id"]), training.dropDuplicates(["train_id"])
-    papers = same_paper(evaluation, training).withColumns({"same_paper": F.lit(True), "coverage": F.lit(None).cast("double")})
-    passages = similar_passages(evaluation, training, least, least_words).withColumnsRenamed({"similarity": "coverage"}).withColumn("same_paper", F.lit(False))
+    none = F.lit(None).cast("double")
+    papers = same_paper(evaluation, training).select("eval_id", "train_id", F.lit(True).alias("same_paper"), none.alias("coverage"), none.alias("similarity"))
+    passages = similar_passages(evaluation, training, least, least_words).withColumn("same_paper", F.lit(False))
     both = papers.unionByName(passages)
-    return both.groupBy("eval_id", "train_id").agg(F.bool_or("same_paper").alias("same_paper"), F.max("coverage").alias("coverage"))
+    return both.groupBy("eval_id", "train_id").agg(F.bool_or("same_paper").alias("same_paper"), F.max("coverage").alias("coverage"), F.max("similarity").alias("similarity"))

@@ -269,8 +269,8 @@ def test_paper_numbers(spark):
 
 
 def test_overlaps(spark, monkeypatch):
-    monkeypatch.setattr(overlap, "SHARD", 40)
-    monkeypatch.setattr(overlap, "BLOCK", 30)
+    monkeypatch.setattr(overlap, "SHARD_WORDS", 500)
+    monkeypatch.setattr(overlap, "PASS_BYTES", 60_000)
     rng = random.Random(7)
     texts = near_texts(rng, 100)
     ev = [(i, rng.choice([None, "", f"2401.{i % 9:08d}"]), t) for i, t in enumerate(texts) if i % 2]
@@ -288,6 +288,23 @@ def test_overlaps(spark, monkeypatch):
     assert overlap.overlaps(e.limit(0), t).count() == 0 and overlap.overlaps(e, t.limit(0)).count() == 0
 
 
+def test_pieces_and_coverage():
+    assert overlap.merged([(3, 5), (0, 1), (1, 2), (4, 9), (11, 12)]) == [(0, 2), (3, 9), (11, 12)] and overlap.merged([]) == []
+    passages = ["we lack a good account of how big gears turn slowly", "we lack a good account of why cold lakes freeze early", "one two three four five six seven eight one two"]
+    shard = overlap.Shard([10, 20, 30], passages, 0.75)
+    for mine, text in zip(shard.pieces, passages):
+        words = text.split()
+        assert [w for a, b, _ in mine for w in words[a:b]] == words  # the pieces of a passage are the whole passage
+    assert any(b - a > 1 for mine in shard.pieces for a, b, _ in mine)
+    assert list(shard.scan(passages[0])) == [(0, 1.0, 1.0)]
+    edited = "they said we lack a good account of how gears turn slowly"
+    ((which, coverage, similarity),) = shard.scan(edited)
+    assert which == 0 and similarity == 10 / 13 and 0.5 < coverage < 1
+    turned = " ".join(reversed(passages[2].split()))
+    assert [i for i, *_ in shard.scan(turned)] == [2]  # a text in another order is found by its rarest words
+    assert list(shard.scan("nothing of all this")) == [] and list(shard.scan("")) == [] and list(overlap.Shard([], [], 0.75).scan("a b")) == []
+
+
 # abusive language
 
 
