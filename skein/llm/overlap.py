@@ -12,8 +12,8 @@ are a class. The classes are cut into shards of about ``SHARD_WORDS`` words, and
   most ``PASS_BYTES``, one after another.
 
 Training texts are scanned where they are read, without a shuffle: the automaton reports every interval of the text that is a piece. A
-passage of which ``NEED`` pieces stand in the text is a candidate (a similar text, in whatever order its words come, holds as many of
-the one-word pieces). The intervals of its pieces are merged into its coverage, the share of the passage's words that stand in the text
+passage is a candidate if ``NEED`` of its one-word pieces stand in the text, as in every similar text, in whatever order its words come
+(the runs, often phrases that many passages share, don't count here). The intervals of its pieces are merged into its coverage, the share of the passage's words that stand in the text
 in pieces; then the word sets are compared. No candidate is dropped otherwise, so no case is missed.
 
 Cases: null, empty and short passages overlap with none; blank ids and ids without a paper number name no paper; rows repeated under one
@@ -38,7 +38,7 @@ from skein.plans.cut import cut
 
 #: Words of the evaluation passages of one automaton, on average, and bytes of the automata that are sent at once.
 SHARD_WORDS, PASS_BYTES = 400_000, 64_000_000
-#: Pieces of a passage that a similar text must hold.
+#: One-word pieces of a passage that a similar text must hold.
 NEED = 3
 
 
@@ -99,12 +99,12 @@ class Shard:
                 number = numbers.setdefault(piece, len(holders))
                 if number == len(holders):
                     holders.append([])
-                if not holders[number] or holders[number][-1] != i:
+                if words[at] in alone and (not holders[number] or holders[number][-1] != i):
                     holders[number].append(i)
                 mine.append((at, to, number))
                 at = to
             self.pieces.append(mine)
-        self.begins = np.cumsum([0, *map(len, holders)])
+        self.begins = np.cumsum([0, *map(len, holders)]).tolist()
         self.holders = np.array([i for h in holders for i in h], dtype=np.int64)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for piece, number in numbers.items():
@@ -117,9 +117,10 @@ class Shard:
         if not len(self.holders):
             return
         found = {number for _, number in self.automaton.iter(f" {text} ")}
-        if not found:
+        held = [self.holders[self.begins[f] : self.begins[f + 1]] for f in found if self.begins[f] < self.begins[f + 1]]
+        if not held:
             return
-        passages, count = np.unique(np.concatenate([self.holders[self.begins[f] : self.begins[f + 1]] for f in found]), return_counts=True)
+        passages, count = np.unique(np.concatenate(held), return_counts=True)
         passages = passages[count >= self.needs[passages]]
         if not len(passages):
             return
