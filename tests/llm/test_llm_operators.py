@@ -52,32 +52,64 @@ def test_distance_is_a_metric_and_right():
         assert canonical.damerau(a, c) <= canonical.damerau(a, b) + canonical.damerau(b, c)
 
 
-def test_bk_tree_finds_all():
+@pytest.mark.parametrize("longest", [64, 5])
+def test_bk_tree_finds_all(monkeypatch, longest):
+    """Every key within the radius, whether distances are computed for many queries at once or one by one."""
+    monkeypatch.setattr(canonical.BKTree, "LONGEST", longest)
     rng = random.Random(2)
-    keys = list({"".join(rng.choice("abcd") for _ in range(rng.randrange(3, 9))) for _ in range(200)})
-    tree = canonical.BKTree()
-    for k in keys:
-        tree.add(k)
-    for q in keys[:20] + ["zzz", ""]:
-        assert sorted(tree.search(q, 2)) == sorted((canonical.damerau(q, k), k) for k in keys if canonical.damerau(q, k) <= 2)
+    keys = list({"".join(rng.choice("abcd") for _ in range(6)) for _ in range(300)})
+    tree = canonical.BKTree(keys + keys[:5])
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+        return row[-1]
+
+    for queries in (keys[:20], ["zzzz", "abca"], ["abcdabca"], [""]):
+        for radius in (0, 2, 4):
+            got = sorted((q, tree.keys[k], d) for q, k, d in zip(*tree.search(queries, radius)))
+            assert got == sorted((i, k, plain(q, k)) for i, q in enumerate(queries) for k in keys if plain(q, k) <= radius)
+    assert len(canonical.BKTree([]).search(["a"], 2)[0]) == 0 and canonical.levenshtein("kitten", "sitting") == 3 and canonical.levenshtein("", "ab") == 2
 
 
 CASES = {
-    "domain_porting": "domain_porting", "DOMAIN  PORTING": "domain_porting", "hopping, field": "domain_porting", "porting of Domain": "domain_porting", "Dom. porting": "domain_porting", "dómain porting idea": "domain_porting", "z: Domian portng": "domain_porting",
+    "domain_porting": "domain_porting", "DOMAIN  PORTING": "domain_porting", "hopping, field": "domain_porting", "porting of Domain": "domain_porting", "Dom. porting": "domain_porting", "dómain porting idea": "domain_porting", "Dom. porting.": "domain_porting", "́​": None, "so to say field hpoping, more or less": "domain_porting", "domain " * 400 + "portign": "domain_porting", "z: Domian portng": "domain_porting",
     "ｆｉｅｌｄ ｈｏｐｐｉｎｇ": "domain_porting", '"NegativeResult"': "negative_result", "bigger is bett.!": "scale_growth", "sc​ale growth - rev": "scale_growth", "horizon cruise": "unmatched", "other": "unmatched", "???": "unmatched", "x" * 5000: "unmatched", "": None, "  \t": None, None: None,
 }
 
 
-@pytest.mark.parametrize("shard_forms", [canonical.SHARD_FORMS, 2])
-def test_typed_values(spark, shard_forms):
-    ref = spark.createDataFrame(ENTRIES, "id string, name string")
+@pytest.mark.parametrize("names,size", [(canonical.SHARD_NAMES, canonical.PASS_BYTES), (2, 1)])
+def test_typed_values(spark, monkeypatch, names, size):
+    """One shard, or several in a broadcast each."""
+    monkeypatch.setattr(canonical, "SHARD_NAMES", names)
+    monkeypatch.setattr(canonical, "PASS_BYTES", size)
+    ref = spark.createDataFrame([*ENTRIES, (None, "nothing"), ("nameless", None)], "id string, name string")
     df = spark.createDataFrame([(v, i) for i, v in enumerate(CASES)] * 2, "v string, name int")
-    got = canonical.map_values(df, "v", ref, "id", [F.array("id", "name")], shard_forms=shard_forms)
+    got = canonical.map_values(df, "v", ref, "id", [F.array("id", "name")])
     assert got.columns == ["v", "name", "op_id"] and got.count() == 2 * len(CASES)
     assert {r.v: r.op_id for r in got.collect()} == CASES
-    empty = canonical.map_values(df, "v", ref.limit(0), "id", [F.array("id", "name")], shard_forms=shard_forms)
+    empty = canonical.map_values(df, "v", ref.limit(0), "id", [F.array("id", "name")])
     assert {r.op_id for r in empty.collect()} == {"unmatched", None}
-    assert canonical.map_values(df.limit(0), "v", ref, "id", [F.array("id", "name")], shard_forms=shard_forms).count() == 0
+    assert canonical.map_values(df.limit(0), "v", ref, "id", [F.array("id", "name")]).count() == 0
+
+
+def test_winners_equal_brute_force():
+    """Against the distance of every window to every form."""
+    rng = random.Random(4)
+    shard = canonical.Shard(ENTRIES)
+    values = []
+    for _ in range(150):
+        v = list(rng.choice(ENTRIES)[1].lower())
+        for _ in range(rng.randrange(4)):
+            v[rng.randrange(len(v))] = rng.choice(["", "", "x", "e ", " ", v[0]])
+        values.append(rng.choice(["", "so ", "kind of "]) + "".join(v) + rng.choice(["", " etc", " - rev"]))
+    for v, got in zip(values, shard.winners(values)):
+        windows = set(shard.windows(canonical.words_of(v)))
+        want = [(d, -len(f), shard.ids[f]) for f in shard.ids if "." not in f for w in windows if (d := canonical.damerau(f, w)) <= shard.allowed(len(f))]
+        assert got == min(want, default=None), v
 
 
 # top n
