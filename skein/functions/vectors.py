@@ -28,6 +28,13 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
+def exact_mean(x: Column, digits: int = 4) -> Column:
+    """Aggregate: the mean of values of so many decimals, none below 0, rounded half up to as many; summed as integers, so that no order of
+    summation shows."""
+    total, n = F.sum(F.round(x * 10**digits).cast("bigint")), F.count(x)
+    return F.when(n > 0, F.floor((2 * total + n) / F.when(n > 0, 2 * n)) / 10**digits)
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     diffs = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
     return F.aggregate(diffs, F.lit(0.0), lambda s, d: s + d * d)
@@ -38,7 +45,8 @@ def popularity_weight(score: Column, floor: float = 0.1) -> Column:
 
 
 def leaderboard_score(hit: Column, mrr: Column) -> Column:
-    return F.round(0.7 * hit + 0.3 * mrr, 4)
+    """0.7 hit rate + 0.3 reciprocal rank, each of 4 decimals, rounded half up to 4."""
+    return F.floor((14 * F.round(hit * 10_000) + 6 * F.round(mrr * 10_000) + 10) / 20) / 10_000
 
 
 def joint_score(parts: list[tuple[Column, float]]) -> Column:

@@ -93,7 +93,7 @@ def known_papers(spark, d):
 
 
 def topic_seed(spark, d):
-    facts = _ideas(spark, d).groupBy("topic_id").agg(F.count("*").alias("ideas"), F.round(F.avg(T.coerced_score(F.col("score"))), 4).alias("score"))
+    facts = _ideas(spark, d).groupBy("topic_id").agg(F.count("*").alias("ideas"), V.exact_mean(T.coerced_score(F.col("score"))).alias("score"))
     return joins.hierarchy_fill(table(spark, d, "topics").select("topic_id", "topic_name"), facts, "topic_id", {"ideas": 0, "score": 0.0})
 
 
@@ -159,8 +159,9 @@ def impact_buckets(spark, d):
 def strategy_leaderboard(spark, d):
     w = Window.partitionBy("strategy_id", "topic_id", "cutoff_t").orderBy(F.desc("joint_score"), "forecast_id")
     f = _forecasts(spark, d).filter("joint_score is not null and not isnan(joint_score)").withColumn("place", F.row_number().over(w)).filter("place <= 5")
-    windows = f.groupBy("strategy_id", "topic_id", "cutoff_t").agg(F.max((F.col("realization_score") >= 0.7).cast("double")).alias("hit"), F.coalesce(1.0 / F.min(F.when(F.col("realization_score") >= 0.7, F.col("place"))), F.lit(0.0)).alias("mrr"))
-    per = windows.groupBy("strategy_id").agg(F.count("*").alias("windows"), F.round(F.avg("hit"), 4).alias("hit"), F.round(F.avg("mrr"), 4).alias("mrr"))
+    windows = f.groupBy("strategy_id", "topic_id", "cutoff_t").agg(F.max((F.col("realization_score") >= 0.7).cast("double")).alias("hit"), F.coalesce(60 / F.min(F.when(F.col("realization_score") >= 0.7, F.col("place"))), F.lit(0)).cast("bigint").alias("mrr"))
+    # reciprocals of places up to 5 are summed in sixtieths
+    per = windows.groupBy("strategy_id").agg(F.count("*").alias("windows"), V.exact_mean(F.col("hit")).alias("hit"), (F.floor((20_000 * F.sum("mrr") + 60 * F.count("*")) / (120 * F.count("*"))) / 10_000).alias("mrr"))
     return per.withColumn("score", V.leaderboard_score(F.coalesce("hit", F.lit(-1.0)), F.coalesce("mrr", F.lit(0.0)))).orderBy(F.desc("score"), "strategy_id")
 
 
@@ -314,6 +315,9 @@ def cluster_gated_coverage(spark, d):
     return A.gated_coverage(pairs, ["a"], "label", "cos", 0.3)
 
 
+#: The whole texts of an idea and of a paper, up to blanks.
+IDEA_TEXT = "concat_ws(' ', title, rationale, approach, nullif(array_to_string(list_filter(list_transform(coalesce(key_terms, []), lambda x: trim(x, ' ')), lambda x: x <> ''), ' '), ''))"
+PAPER_TEXT = "concat(coalesce(title, ''), ' Keywords: ', coalesce(array_to_string(keywords, ', '), ''), ' ', coalesce(summary, ''))"
 _I = "i as (select distinct on (pred_id) * from idea_predictions)"
 _S = "s as (select distinct on (sample_id) * from hindsight_samples)"
 _Z = "z as (select distinct on (dz_id) * from dz_rows)"
@@ -325,11 +329,18 @@ _KW = f"{PAPERS}, kw as (select distinct paper_id, published, trim(lower(k)) kw
 _V = "v as (select vec_id, label, embedding::double[64] e from embeddings)"
 _SD = f"sd as (select *, {_CUT.format('cutoff_date')} cut, {_PUB.format('future_paper_published_date')} pub from s)"
 
+_CANDIDATES = f"""{PAPERS}, {_I}, c as (select *, {_CUT.format('cutoff_date')} cut from i), o as (select strategy_id, topic_id, cut, row_number() over (partition by strategy_id, topic_id, cut order by score desc nulls last, pred_id)::int rank, {TOK.format(IDEA_TEXT)} a from c where topic_id is not null and cut is not null qualify rank <= 5),
+  r as (select topic_id, paper_id paper, published, year(published) * 12 + month(published) m, {TOK.format(PAPER_TEXT)} b from p where topic_id is not null),
+  x as (select strategy_id, topic_id, cut, rank, paper, round({jac('a', 'b')}, 6) score from o join r using (topic_id) where published > cut and m <= year(cut) * 12 + month(cut) + 3), k as (select * from x where score > 0.1)"""
+#: A fold over k, the candidates sorted within each window: each takes what is free.
+TAKE = """l as (select strategy_id, topic_id, cut, list([{'rank': rank, 'paper': paper, 'score': score}] order by rank, score desc, paper desc) c from k group by all),
+  t as (select strategy_id, topic_id, cut, unnest(list_reduce(c, lambda acc, x: case when len(list_filter(acc, lambda y: y.rank = x[1].rank or y.paper = x[1].paper)) > 0 then acc else list_concat(acc, x) end)) t from l)
+  select strategy_id, topic_id, cut, t.rank, t.paper, t.score from t"""
 SQL = {
     "topic_phrase_join": f"""with {PAPERS}, t as (select distinct topic_id topic, array_to_string(regexp_extract_all(lower(r), '[a-z0-9]+'), ' ') term from (select topic_id, unnest(list_concat([topic_name], coalesce(aliases, []), coalesce(keywords, []))) r from topics)),
       c as (select paper_id, ' ' || array_to_string(regexp_extract_all(lower(concat_ws(' ', title, summary, array_to_string(keywords, ' '))), '[a-z0-9]+'), ' ') || ' ' c from p)
       select distinct paper_id, topic from c join t on term <> '' and contains(c, ' ' || term || ' ')""",
-    "overlap_retrieval_topk": f"""with {_I}, {PAPERS}, q as (select pred_id q, topic_id, {TOK.format("coalesce(title, '')")} a from i where topic_id is not null), r as (select paper_id p, topic_id, {TOK.format("coalesce(title, '')")} b from p where topic_id is not null),
+    "overlap_retrieval_topk": f"""with {_I}, {PAPERS}, q as (select pred_id q, topic_id, {TOK.format(IDEA_TEXT)} a from i where topic_id is not null), r as (select paper_id p, topic_id, {TOK.format(PAPER_TEXT)} b from p where topic_id is not null),
       x as (select q, p, len(list_intersect(a, b)) common, len(a) la, len(b) lb from q join r using (topic_id)), y as (select q, p, common, round(common / least(la, lb), 6) overlap, round(common / (la + lb - common), 6) jaccard from x where common > 0)
       select * from (select *, row_number() over (partition by q order by overlap desc, jaccard desc, p)::int place from y) where place <= 3""",
     "priority_join": f"""with {_Z}, {_S}, k as (select sample_id, future_paper_id paper, trim(cutoff_date) cutoff, innovation.gap v from s where future_paper_id is not null and cutoff_date is not null),
@@ -343,7 +354,7 @@ SQL = {
     "citation_hits": f"with {PAPERS}, c as (select distinct unnest(refs) r from p), x as (select paper_id in (select future_paper_id from hindsight_samples where future_paper_id is not null) hit, paper_id in (select r from c where r is not null) cited from p) select hit, count(*) papers, round(avg(cited::int), 6) cited_share from x group by hit",
     "known_papers": f"""with {PAPERS}, n as (select future_paper_id x from hindsight_samples union select source_future_id from dz_rows) select 'sampled' what, count(*) n from p where paper_id in (select future_paper_id from hindsight_samples)
       union all select 'untrained', count(*) from p where paper_id not in (select source_future_id from dz_rows where source_future_id is not null) union all select 'unknown', count(*) from n where x is not null and x not in (select paper_id from p)""",
-    "topic_seed": f"with {_I}, a as (select topic_id, count(*) ideas, round(avg({_CO}), 4) score from i where true group by 1) select topic_id, topic_name, coalesce(ideas, 0) ideas, coalesce(score, 0) score from topics left join a using (topic_id)",
+    "topic_seed": f"with {_I}, a as (select topic_id, count(*) ideas, floor((2 * sum(round({_CO} * 10000)::bigint) + count({_CO})) / nullif(2 * count({_CO}), 0)) / 10000 score from i where true group by 1) select topic_id, topic_name, coalesce(ideas, 0) ideas, coalesce(score, 0) score from topics left join a using (topic_id)",
     "top_terms": f"with {PAPERS}, t as (select unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) term from p) select term, count(*) n from t where length(term) >= 4 and term not in {T.STOP_WORDS} group by term order by n desc, term limit 50",
     "term_cooccurrence": f"with {_KW} select a.kw a, b.kw b, count(*) n from kw a join kw b on a.paper_id = b.paper_id and a.kw < b.kw group by all having count(*) >= 2",
     "keyword_components": f"""with recursive {_KW}, o as (select kw, count(*) f from kw group by kw having count(*) >= 3), e as (select a.kw a, b.kw b from kw a join kw b on a.paper_id = b.paper_id and a.kw < b.kw where a.kw in (select kw from o) and b.kw in (select kw from o) group by all having count(*) >= 3),
@@ -356,6 +367,23 @@ SQL = {
     "memory_topn": f"""with {_S}, {_SD}, k as (select coalesce(lower(trim(innovation.operator, ' ')), '') operator, coalesce(topic_id, '') topic_id, coalesce(source, '') via, innovation.operator o0, topic_id t0, source s0, year(cut)*12 + month(cut) - 1 m, coalesce(pub, date '1900-01-01') o, sample_id from sd where innovation is not null),
       b as (select operator, topic_id, via, count(*) frequency, coalesce(round(pow(0.9, greatest(0, {2025 * 12 + 11} - (list(m order by o, sample_id))[1])), 6), 0) recency from k group by operator, topic_id, via, o0 is null, t0 is null, s0 is null), x as (select *, max(frequency) over () mf from b)
       select operator, topic_id, via, frequency, round((0.45::double * recency + 0.35::double * frequency / mf + 0.2::double * tanh(frequency % 3)) / 1.0::double, 9) blend from x order by blend desc, operator, topic_id, via limit 25""",
+    "greedy_match": f"with {_CANDIDATES}, {TAKE}",
+    "mmr_select": f"""with {_I}, c as (select strategy_id, topic_id, {_CUT.format('cutoff_date')} cut, pred_id, coalesce({_CO}, 0)::double s, {TOK.format("concat_ws(' ', title, rationale, approach)")} w from i where topic_id is not null), n as (select *, row_number() over (partition by strategy_id, topic_id, cut order by s desc, pred_id) n from c),
+      a as (select * from n where n = 1), y as (select n.*, {jac('n.w', 'a.w')} ja, round(0.65::double * n.s + 0.35::double * (1 - {jac('n.w', 'a.w')}), 9) v from n join a on n.strategy_id is not distinct from a.strategy_id and n.topic_id = a.topic_id and n.cut is not distinct from a.cut where n.n > 1),
+      b as (select * from y qualify row_number() over (partition by strategy_id, topic_id, cut order by v desc, n) = 1),
+      u as (select y.*, round(0.65::double * y.s + 0.35::double * (1 - greatest(y.ja, {jac('y.w', 'b.w')})), 9) v3 from y join b on y.strategy_id is not distinct from b.strategy_id and y.topic_id = b.topic_id and y.cut is not distinct from b.cut where y.n <> b.n)
+      select strategy_id, topic_id, cut, pred_id, 1 place, round(s, 4) mmr from a union all select strategy_id, topic_id, cut, pred_id, 2, round(v, 4) from b
+      union all select strategy_id, topic_id, cut, pred_id, 3, round(v3, 4) from (select * from u qualify row_number() over (partition by strategy_id, topic_id, cut order by v3 desc, n) = 1)""",
+    "search_states": f"""with recursive {_Z}, a as (select dz_id, unnest(context_paper_ids) paper, generate_subscripts(context_paper_ids, 1) n from z where context_paper_ids is not null), b as (select *, (n - 1) % 4 k, lag(paper) over (partition by dz_id order by n) before from a),
+      r as (select dz_id, 0::bigint n, []::varchar[] surfaced, []::varchar[] selected, 0 searches, false done, 0 invalid from (select distinct dz_id from b) union all
+       select r.dz_id, b.n, case when not done and k in (0, 2) and searches < 3 and not list_contains(surfaced, paper) then list_append(surfaced, paper) else surfaced end,
+        case when not done and k = 1 and list_contains(surfaced, before) and not list_contains(selected, before) and len(selected) < 2 then list_append(selected, before) else selected end,
+        searches + (not done and k in (0, 2) and searches < 3)::int, done or k = 3,
+        invalid + (done or (k in (0, 2) and searches >= 3) or (k = 1 and not (list_contains(surfaced, before) and (list_contains(selected, before) or len(selected) < 2))))::int from r join b on b.dz_id = r.dz_id and b.n = r.n + 1)
+      select dz_id, len(surfaced)::int surfaced, array_to_string(selected, '|') selected, searches, done, invalid from r qualify row_number() over (partition by dz_id order by n desc) = 1""",
+    "balanced_split": f"""with recursive {PAPERS}, g as (select topic_id, count(*) n from p where topic_id is not null group by 1), o as (select *, row_number() over (order by n desc, topic_id) i from g),
+      r as (select 0::bigint i, [0, 0, 0, 0]::bigint[] load, null::varchar topic_id, null::int part union all select o.i, list_transform(load, lambda v, j: case when j = list_position(load, list_min(load)) then v + n else v end), o.topic_id, (list_position(load, list_min(load)) - 1)::int from r join o on o.i = r.i + 1)
+      select topic_id, part from r where i > 0""",
     "greedy_dedupe": f"""with {_I}, g as (select strategy_id, topic_id, cutoff_date, list(pred_id order by pred_id) ids, list({TOK.format("coalesce(rationale, '')")} order by pred_id) w from i where topic_id is not null group by all),
       k as (select *, list_reduce(list_transform(range(1, len(ids) + 1), lambda x: [x]), lambda acc, x: case when len(list_filter(acc, lambda j: {jac('w[j]', 'w[x[1]]')} >= 0.5)) > 0 then acc else list_concat(acc, x) end) keep from g)
       select strategy_id, topic_id, cutoff_date, ids[unnest(keep)] pred_id, (generate_subscripts(keep, 1) - 1)::int as position from k""",
@@ -364,8 +392,9 @@ SQL = {
     "popularity_minmax": f"with {PAPERS}, b as (select min(popularity_score) lo, max(popularity_score) hi from p), x as (select paper_id, case when popularity_score is not null then round(case when hi > lo then (popularity_score - lo) / (hi - lo) else 1 end, 6) end scaled from p, b) select paper_id, scaled, round(0.1::double + 0.9::double * coalesce(scaled, 0), 6) weight from x",
     "impact_buckets": f"""with {PAPERS}, c as (select unnest(refs) r from p), n as (select r, count(*) cites from c group by r) select case when cites is null then 'all' when cites < 5 then 'low' when cites < 50 then 'mid' else 'high' end bucket, count(*) n, round(avg(popularity_score), 6) mean from p left join n on r = paper_id group by 1""",
     "strategy_leaderboard": f"""with {_F}, t as (select *, row_number() over (partition by strategy_id, topic_id, cutoff_t order by joint_score desc, forecast_id) place from f where joint_score is not null and not isnan(joint_score)),
-      w as (select strategy_id, topic_id, cutoff_t, max(case when realization_score is null then null when realization_score >= 0.7 then 1.0 else 0.0 end)::double hit, coalesce(1.0 / min(place) filter (where realization_score >= 0.7), 0) mrr from t where place <= 5 group by 1, 2, 3),
-      s as (select strategy_id, count(*) windows, round(avg(hit), 4) hit, round(avg(mrr), 4) mrr from w group by 1) select *, round(0.7::double * coalesce(hit, -1) + 0.3::double * coalesce(mrr, 0), 4) score from s order by score desc, strategy_id limit 50""",
+      w as (select strategy_id, topic_id, cutoff_t, max(case when realization_score is null then null when realization_score >= 0.7 then 1.0 else 0.0 end)::double hit, coalesce(60 // min(place) filter (where realization_score >= 0.7), 0) mrr from t where place <= 5 group by 1, 2, 3),
+      s as (select strategy_id, count(*) windows, floor((2 * sum(hit * 10000)::bigint + count(hit)) / nullif(2 * count(hit), 0)) / 10000 hit, floor((20000 * sum(mrr)::bigint + 60 * count(*)) / (120 * count(*))) / 10000 mrr from w group by 1)
+      select *, floor((14 * round(coalesce(hit, -1) * 10000)::bigint + 6 * round(coalesce(mrr, 0) * 10000)::bigint + 10) / 20) / 10000 score from s order by score desc, strategy_id""",
     "strategy_rollup": f"with {_F}, x as (select strategy_id, topic_id, count(*) n, avg(prior_score) p, avg(realization_score) r from f where topic_id is not null group by 1, 2) select topic_id, sum(n)::bigint n, round(sum(coalesce(p, 0) * n) / sum(n), 4) prior, round(sum(coalesce(r, 0) * n) / sum(n), 4) realization from x group by 1",
     "coverage_audit": f"with {_F}, w as (select topic_id, cutoff_t, count(*) n from f group by all) select sum(n)::bigint as rows, count(distinct topic_id) topics, count(*) windows, sum(n - 1)::bigint repeated from w",
     "status_rollup": f"with {_F}, t as (select strategy_id, case when isnan(joint_score) then 'running' when joint_score is null then 'failed' when rank = 0 then 'pending' else 'completed' end s from f) select strategy_id, count(*) n, case when bool_or(s = 'running') then 'running' when bool_or(s = 'failed') then 'failed' when bool_and(s = 'completed') then 'completed' else 'pending' end status from t group by 1",
@@ -388,11 +417,11 @@ SQL = {
       x as (select p.doc_kind, sum(case when p.n > q.n then 1 when p.n = q.n then 0.5 else 0 end) u from j p join j q on p.doc_kind = q.doc_kind and p.a = 1 and q.a = 0 group by 1), l as (select doc_kind, count(*) filter (where a = 0 and n >= positive_median) leaks from j join m using (doc_kind) group by 1)
       select m.*, round(case when positives > 0 and negatives > 0 then u / (positives * negatives) else 0.5 end, 6) auc, leaks, round(case when positives > 0 and negatives > 0 then u / (positives * negatives) else 0.5 end, 6) >= 0.75 and leaks = 0 passed from m left join x using (doc_kind) join l using (doc_kind)""",
     "group_advantage": f"with {_I}, x as (select pred_id, topic_id, cutoff_date, {_CO} s from i where score is not null), g as (select *, avg(s) over (partition by topic_id, cutoff_date) m, stddev_pop(s) over (partition by topic_id, cutoff_date) d from x) select pred_id, round((s - m) / case when d > 1e-12 then d else 1 end, 6) advantage from g",
-    "mmd_rbf": """with v as (select vec_id k, label, embedding::double[64] e from embeddings where label in (0, 1)), p as (select a.k ka, b.k kb, a.label la, b.label lb, array_distance(a.e, b.e) * array_distance(a.e, b.e) d from v a, v b), h as (select quantile_cont(d, 0.5) / 2 h from p), k as (select *, exp(-d / h / 2) g from p, h)
+    "mmd_rbf": """with v as (select vec_id k, label % 2 as label, embedding::double[64] e from embeddings), p as (select a.k ka, b.k kb, a.label la, b.label lb, array_distance(a.e, b.e) * array_distance(a.e, b.e) d from v a, v b), h as (select quantile_cont(d, 0.5) / 2 h from p), k as (select *, exp(-d / h / 2) g from p, h)
       select round(avg(g) filter (where la = 0 and lb = 0 and ka <> kb) + avg(g) filter (where la = 1 and lb = 1 and ka <> kb) - 2 * avg(g) filter (where la <> lb), 6) mmd, round(max(h), 6) bandwidth from k""",
     "wasserstein_1d": f"with {_F}, c as (select prior_score v, count(*) filter (where strategy_id not like 'strat-shared%') a, count(*) filter (where strategy_id like 'strat-shared%') b from f where prior_score is not null group by 1), w as (select sum(a) over o / sum(a) over () fa, sum(b) over o / sum(b) over () fb, lead(v) over o - v width from c window o as (order by v)) select round(sum(abs(fa - fb) * width), 6) distance from w",
     "cosine_topr": f"with {_V}, p as (select a.vec_id a, b.vec_id b, round(greatest(array_cosine_similarity(a.e, b.e), 0), 5) cos from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 50 = 0) select * from (select *, row_number() over (partition by a order by cos desc, b)::int place from p) where place <= 5",
-    "vector_novelty": f"with {_V} select a.vec_id a, round(1 - greatest(max(array_cosine_similarity(a.e, b.e)), 0), 5) novelty from v a join v b on a.vec_id <> b.vec_id and b.label < 3 where a.vec_id % 50 = 0 group by 1",
+    "vector_novelty": f"with {_V} select a.vec_id a, round(1 - greatest(max(array_cosine_similarity(a.e, b.e)), 0), 5) novelty from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0 group by 1",
     "cluster_gated_coverage": f"with {_V}, m as (select a.vec_id a, b.label, max(greatest(array_cosine_similarity(a.e, b.e), 0)) best from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0 group by 1, 2) select a, count(*) clusters, round(avg(case when best >= 0.3 then best else 0 end), 5) coverage from m group by 1",
 }
 QUERIES = {

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import dates as D
 from skein.functions import text as T
+from skein.functions import vectors as V
 from skein.operators import aggregates as A
 from skein.operators import episodes as P
 from skein.plans.scalar_queries import PAPERS, papers
@@ -213,7 +214,7 @@ def best_candidates(spark, d):
     """Per topic the best idea, and the shares of ideas without score and of zero scores."""
     i = _ideas(spark, d).withColumn("s", T.coerced_score(F.col("score")))
     return i.groupBy("topic_id").agg(
-        F.max_by("pred_id", F.struct(F.coalesce("s", F.lit(-1.0)), -F.col("pred_id"))).alias("best"), F.round(F.avg("s"), 4).alias("mean"), F.round(F.avg(F.col("s").isNull().cast("double")), 6).alias("invalid"), F.round(F.avg((F.coalesce("s", F.lit(1.0)) == 0).cast("double")), 6).alias("zero")
+        F.max_by("pred_id", F.struct(F.coalesce("s", F.lit(-1.0)), -F.col("pred_id"))).alias("best"), V.exact_mean(F.col("s")).alias("mean"), F.round(F.avg(F.col("s").isNull().cast("double")), 6).alias("invalid"), F.round(F.avg((F.coalesce("s", F.lit(1.0)) == 0).cast("double")), 6).alias("zero")
     )
 
 
@@ -257,7 +258,7 @@ SQL = {
     "leakage_violations": f"with {_S}, {_SD} select 'published_by_cutoff' as rule, count(*) filter (where pub <= cut) n, count(*) total from sd union all select 'after_limit', count(*) filter (where pub > date '2025-06-30'), count(*) from sd union all select 'no_date', count(*) filter (where pub is null), count(*) from sd",
     "split_overlap": f"with {_S}, x as (select future_paper_id, array_to_string(list_sort(list(distinct split)), '+') splits from s where future_paper_id is not null and split is not null group by 1) select splits, count(*) papers from x group by 1",
     "group_invariant": f"with {_I}, r as (select topic_id, strategy_id, ((row_number() over (partition by topic_id order by pred_id) - 1) // 4)::int g from i where topic_id is not null), k as (select topic_id, g, count(*) n, count(distinct strategy_id) d from r group by all) select topic_id, count(*) groups, count(*) filter (where d = 1) uniform, count(*) filter (where n < 4) short from k group by 1",
-    "flattened_ideas": f"with {_I} select trim(cutoff_date) cutoff, topic_id, strategy_id, rank, pred_id from i order by cutoff desc nulls last, topic_id nulls first, strategy_id nulls first, rank nulls first, pred_id limit 100",
+    "flattened_ideas": f"with {_I} select trim(cutoff_date) cutoff, topic_id, strategy_id, rank, pred_id from i order by cutoff desc nulls last, topic_id nulls first, strategy_id nulls first, rank nulls first, pred_id",
     "retry_fill": f"with {_I}, u as (select *, (pred_id % 2)::int part, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) k from i where topic_id is not null and title is not null), d as (select *, row_number() over (partition by topic_id, k order by part, pred_id) dup from u), r as (select topic_id, pred_id, row_number() over (partition by topic_id order by part, pred_id)::int place from d where dup = 1) select * from r where place <= 5",
     "incremental_ingest": "with k as (select paper_id, arg_max(topic_id, ingested_at) topic_id from papers where ingested_at >= timestamp '2025-12-31' - interval 200 day and paper_id not in (select future_paper_id from hindsight_samples where future_paper_id is not null) group by 1) select topic_id, count(*) n from k group by 1",
     "stream_daily_counts": "select ts::date as day, event_type, count(*) n, round(sum(value), 4) as value from events group by all",
@@ -267,8 +268,8 @@ SQL = {
     "cached_decisions": f"with {_I}, {PAPERS} select 'hit' what, count(*) n from i where title in (select title from p where title is not null) union all select 'miss', count(*) from i where title is not null and title not in (select title from p where title is not null)",
     "runs_by_status": "with f as (select distinct on (forecast_id) * from scored_forecasts) select case when isnan(joint_score) then 'unscored' when joint_score is null then 'failed' else 'done' end state, count(*) n from f group by 1",
     "config_fingerprints": "select topic_id, substr(sha256(topic_id || '|' || topic_name || '|' || array_to_string(list_sort(keywords), ',')), 1, 12) fingerprint from topics",
-    "best_candidates": f"with {_I}, k as (select topic_id, pred_id, case when score is not null then round(least(greatest(case when score > 1 then score / 10 else score end, 0), 1), 4) end s from i) select topic_id, (list(pred_id order by coalesce(s, -1) desc, pred_id))[1] best, round(avg(s), 4) mean, round(avg((s is null)::int), 6) invalid, round(avg((coalesce(s, 1) = 0)::int), 6) as zero from k group by 1",
-    "keyword_inverted_index": f"with {PAPERS}, kw as (select distinct paper_id, trim(lower(k)) kw from (select paper_id, unnest(keywords) k from p) where length(trim(lower(k))) > 2), g as (select kw, list_sort(list(paper_id)) l, count(*) n from kw group by 1 having count(*) >= 3) select kw, array_to_string(l[1:20], '|') first_papers, n from g",
+    "best_candidates": f"with {_I}, k as (select topic_id, pred_id, case when score is not null then round(least(greatest(case when score > 1 then score / 10 else score end, 0), 1), 4) end s from i) select topic_id, (list(pred_id order by coalesce(s, -1) desc, pred_id))[1] best, floor((2 * sum(round(s * 10000)::bigint) + count(s)) / nullif(2 * count(s), 0)) / 10000 mean, round(avg((s is null)::int), 6) invalid, round(avg((coalesce(s, 1) = 0)::int), 6) as zero from k group by 1",
+    "keyword_inverted_index": f"with {PAPERS}, kw as (select distinct paper_id, trim(lower(k)) kw from (select paper_id, unnest(keywords) k from p) where length(trim(lower(k))) > 2), g as (select kw, count(*) n from kw group by 1 having count(*) >= 3) select kw, paper_id, n from kw join g using (kw)",
 }
 QUERIES = {
     f.__name__: f

@@ -119,9 +119,10 @@ def sft_rows(spark, d):
 def utility_update(spark, d):
     """Mean score of the forecasts made from each training row's topic and operator."""
     f = table(spark, d, "scored_forecasts").select("forecast_id", "topic_id", F.lower(F.trim("innovation.operator")).alias("op"), "joint_score").dropDuplicates(["forecast_id"]).filter("joint_score is not null and not isnan(joint_score)")
-    u = f.groupBy("topic_id", "op").agg(F.avg("joint_score").alias("u"), F.count("*").alias("n"))
+    # sums of millionths: no order of summation shows in the result
+    u = f.groupBy("topic_id", "op").agg(F.sum(F.round(F.col("joint_score") * 1_000_000).cast("bigint")).alias("u"), F.count("*").alias("n"))
     z = _rows(spark, d).select("dz_id", "topic_id", F.lower(F.trim("operator_closed")).alias("op"))
-    return z.join(u, ["topic_id", "op"], "left").select("dz_id", F.coalesce("n", F.lit(0)).alias("events"), F.round(0.3 * F.coalesce("u", F.lit(0.0)), 4).alias("utility"))
+    return z.join(u, ["topic_id", "op"], "left").select("dz_id", F.coalesce("n", F.lit(0)).alias("events"), (F.floor((6 * F.coalesce("u", F.lit(0)) + 1000 * F.coalesce("n", F.lit(1))) / (2000 * F.coalesce("n", F.lit(1)))) / 10_000).alias("utility"))
 
 
 def unmatched_future(spark, d):
@@ -152,8 +153,8 @@ _Z = "z as (select distinct on (dz_id) * from dz_rows)"
 _F = "f as (select distinct on (forecast_id) * from scored_forecasts)"
 _CUT = "try_cast(case when length(trim({0})) = 7 then trim({0}) || '-01' else trim({0}) end as date)"
 SQL = {
-    "base_scores": f"""with {PAPERS}, {_I}, t as (select topic_id, t, count(*) n from (select topic_id, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) t from p where topic_id is not null) where length(t) > 3 and t not in {T.STOP_WORDS} group by all),
-      k as (select topic_id, list(t) g from (select *, row_number() over (partition by topic_id order by n desc, t) r from t) where r <= 5 group by 1), w as (select pred_id, g, {TOK.format("concat_ws(' ', title, rationale, approach)")} w from i join k using (topic_id))
+    "base_scores": f"""with {PAPERS}, {_I}, t as (select topic_id, t, count(*) n from (select topic_id, unnest(regexp_extract_all(lower(concat_ws(' ', summary, array_to_string(keywords, ' '))), '[a-z0-9]+')) t from p where topic_id is not null) where length(t) > 3 and t not in {T.STOP_WORDS} group by all),
+      k as (select topic_id, list(t) g from (select *, row_number() over (partition by topic_id order by n desc, t) r from t) where r <= 20 group by 1), w as (select pred_id, g, {TOK.format("concat_ws(' ', title, rationale, approach)")} w from i join k using (topic_id))
       select pred_id, round(0.75::double * len(list_intersect(g, w)) / len(g) + 0.25::double * least(len(w) / 30, 1), 4) base from w""",
     "latest_generation": f"with {_I}, c as (select *, {_CUT.format('cutoff_date')} cut from i), m as (select *, max(cut) over (partition by strategy_id, topic_id) l from c where cut is not null and topic_id is not null) select pred_id, cut from m where cut = l",
     "recent_and_long_term": f"""with {PAPERS}, k as (select topic_id, published >= date '2024-06-30' - interval 6 month recent, row_number() over (partition by topic_id order by published desc, paper_id desc) r from p where topic_id is not null and published <= date '2024-06-30'), a as (select *, bool_or(recent) over (partition by topic_id) has from k)
@@ -174,14 +175,11 @@ SQL = {
     "sft_rows": f"""with {_S}, k as (select sample_id, topic_id, year({_CUT.format('cutoff_date')})*12 + month({_CUT.format('cutoff_date')}) - 1 m, future_paper_id own, lower(trim(innovation.operator, ' ')) op from s), e as (select * from k where m is not null and topic_id is not null),
       c as (select a.sample_id, b.op, count(*) n from e a join e b on a.topic_id = b.topic_id and b.m < a.m and b.own is distinct from a.own and b.op <> '' group by all), r as (select *, row_number() over (partition by sample_id order by n desc, op) r from c)
       select e.sample_id, coalesce(string_agg(r.op || ':' || n, '|' order by r) filter (where r <= 3), '') memory from e left join r using (sample_id) group by 1""",
-    "utility_update": f"""with {_F}, {_Z}, u as (select topic_id, lower(trim(innovation.operator, ' ')) op, avg(joint_score) u, count(*) n from f where joint_score is not null and not isnan(joint_score) group by 1, 2)
-      select dz_id, coalesce(n, 0) events, round(0.3::double * coalesce(u, 0), 4) utility from z left join u on u.topic_id = z.topic_id and u.op = lower(trim(operator_closed, ' '))""",
+    "utility_update": f"""with {_F}, {_Z}, u as (select topic_id, lower(trim(innovation.operator, ' ')) op, sum(round(joint_score * 1000000)::bigint) u, count(*) n from f where joint_score is not null and not isnan(joint_score) group by 1, 2)
+      select dz_id, coalesce(n, 0) events, floor((6 * coalesce(u, 0) + 1000 * coalesce(n, 1)) / (2000 * coalesce(n, 1))) / 10000 utility from z left join u on u.topic_id = z.topic_id and u.op = lower(trim(operator_closed, ' '))""",
     "unmatched_future": f"with {PAPERS} select topic_id, strftime(published, '%Y-%m') as month, count(*) n from p where paper_id not in (select future_paper_id from hindsight_samples where future_paper_id is not null) group by 1, 2",
     "paper_memory": f"""with {PAPERS}, t as (select paper_id, keywords, summary, regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]+') w from p), u as (select *, list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda y: list_position(w, y[1]) = y[2]), lambda y: y[1]) d from t)
       select paper_id, case when len(keywords) > 0 then array_to_string(keywords[1:3], ', ') else coalesce(array_to_string(d[1:5], ' '), '') end base_direction, length(substr(summary, 1, 100))::int gap_n from u""",
-    "novelty_of_ideas": f"""with {PAPERS}, {_I}, a as (select pred_id, topic_id, {_CUT.format('cutoff_date')} cut, {TOK.format("coalesce(title, '')")} a from i), b as (select topic_id, published, {TOK.format("coalesce(title, '')")} b from p),
-      x as (select pred_id, max(case when len(a) + len(b) = 0 then 0 else len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::double end) s from a join b using (topic_id) where published <= cut group by 1)
-      select pred_id, round(coalesce(1 - s, 1), 5) novelty from a left join x using (pred_id) where topic_id is not null and cut is not null""",
 }
 QUERIES = {
     f.__name__: f
