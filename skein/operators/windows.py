@@ -61,27 +61,3 @@ def future_pairs(corpus: DataFrame, windows: DataFrame, horizon: int) -> DataFra
     papers = _dated(corpus).withColumn("w", F.explode(F.sequence(F.col("m") - horizon, F.col("m"))))
     w = windows.withColumnRenamed("m", "w")
     return papers.join(w, ["topic", "w"]).filter(F.col("published") > F.col("cutoff")).drop("w", "m")
-
-
-def evaluate(corpus: DataFrame, horizon: int, min_train: int, k: int) -> DataFrame:
-    """The k best-scored future papers of each window (ties by id); a hit is one scored above 1.2 times the train mean."""
-    pairs = future_pairs(corpus, kept_windows(corpus, horizon, min_train), horizon)
-    best = Window.partitionBy("topic", "cutoff").orderBy(F.desc("score"), "paper_id")
-    top = pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
-    hit = F.col("score") > 1.2 * F.col("train_sum") / F.col("train_n")
-    return top.withColumn("hit", hit).groupBy("topic", "cutoff").agg(
-        F.max("train_n").alias("train_n"), F.max("future_n").alias("future_n"), F.max(F.col("hit").cast("double")).alias("hit_at_k"),
-        F.round(F.count_if("hit") / F.least(F.lit(k), F.count("*")), 4).alias("precision_at_k"),
-        F.round(F.count_if("hit") / F.max("future_n"), 4).alias("coverage_at_k"),
-        F.round(F.coalesce(1.0 / F.min(F.when(F.col("hit"), F.col("place"))), F.lit(0.0)), 4).alias("mrr"),
-    )
-
-
-METRICS = ("hit_at_k", "precision_at_k", "coverage_at_k", "mrr")
-
-
-def rollup(evaluated: DataFrame, total: str = "ALL") -> DataFrame:
-    """Plain mean over windows per topic, and the mean over topics weighted by their windows."""
-    topics = evaluated.groupBy("topic").agg(F.count("*").alias("windows"), *(F.round(F.avg(m), 4).alias(m) for m in METRICS))
-    w = F.sum("windows")
-    return topics.unionByName(topics.agg(F.lit(total).alias("topic"), w.alias("windows"), *(F.round(F.sum(F.coalesce(F.col(m), F.lit(0)) * F.col("windows")) / w, 4).alias(m) for m in METRICS)))

@@ -12,6 +12,7 @@ from skein.operators import aggregates as A
 from skein.operators import folds, joins
 from skein.operators import statistics as S
 from skein.plans.scalar_queries import PAPERS, TOK, jac, papers
+from skein.plans.windows_queries import IDEA_TEXT, PAPER_TEXT
 from skein.sources.tables import table
 
 
@@ -203,21 +204,6 @@ def episode_splits(spark, d):
 # folds
 
 
-def _candidates(spark, d):
-    """Papers of an idea's topic published in the three months after its cutoff, by similarity of their whole texts."""
-    i = _ideas(spark, d).withColumn("cut", D.cutoff_date(F.col("cutoff_date"))).filter("topic_id is not null and cut is not null")
-    place = Window.partitionBy("strategy_id", "topic_id", "cut").orderBy(F.desc("score"), "pred_id")
-    i = i.select("strategy_id", "topic_id", "cut", F.row_number().over(place).alias("rank"), T.token_set(_idea_text()).alias("it")).filter("rank <= 5")
-    i = i.withColumn("m", F.explode(F.sequence(D.month_index(F.col("cut")), D.month_index(F.col("cut")) + 3)))
-    p = papers(spark, d).filter("topic_id is not null").select("topic_id", D.month_index(F.col("published")).alias("m"), "published", F.col("paper_id").alias("paper"), T.token_set(_paper_text()).alias("pt"))
-    pairs = i.join(p, ["topic_id", "m"]).filter("published > cut")
-    return pairs.withColumn("score", F.round(T.jaccard(F.col("it"), F.col("pt")), 6)).filter("score > 0.1").select("strategy_id", "topic_id", "cut", "rank", "paper", "score")
-
-
-def greedy_match(spark, d):
-    return folds.greedy_match(_candidates(spark, d), ["strategy_id", "topic_id", "cut"], 5)
-
-
 def greedy_dedupe(spark, d):
     i = _ideas(spark, d).filter("topic_id is not null")
     return folds.greedy_dedupe(i, ["strategy_id", "topic_id", "cutoff_date"], ["pred_id"], "pred_id", F.coalesce("rationale", F.lit("")), 0.5)
@@ -315,9 +301,6 @@ def cluster_gated_coverage(spark, d):
     return A.gated_coverage(pairs, ["a"], "label", "cos", 0.3)
 
 
-#: The whole texts of an idea and of a paper, up to blanks.
-IDEA_TEXT = "concat_ws(' ', title, rationale, approach, nullif(array_to_string(list_filter(list_transform(coalesce(key_terms, []), lambda x: trim(x, ' ')), lambda x: x <> ''), ' '), ''))"
-PAPER_TEXT = "concat(coalesce(title, ''), ' Keywords: ', coalesce(array_to_string(keywords, ', '), ''), ' ', coalesce(summary, ''))"
 _I = "i as (select distinct on (pred_id) * from idea_predictions)"
 _S = "s as (select distinct on (sample_id) * from hindsight_samples)"
 _Z = "z as (select distinct on (dz_id) * from dz_rows)"
@@ -329,13 +312,6 @@ _KW = f"{PAPERS}, kw as (select distinct paper_id, published, trim(lower(k)) kw
 _V = "v as (select vec_id, label, embedding::double[64] e from embeddings)"
 _SD = f"sd as (select *, {_CUT.format('cutoff_date')} cut, {_PUB.format('future_paper_published_date')} pub from s)"
 
-_CANDIDATES = f"""{PAPERS}, {_I}, c as (select *, {_CUT.format('cutoff_date')} cut from i), o as (select strategy_id, topic_id, cut, row_number() over (partition by strategy_id, topic_id, cut order by score desc nulls last, pred_id)::int rank, {TOK.format(IDEA_TEXT)} a from c where topic_id is not null and cut is not null qualify rank <= 5),
-  r as (select topic_id, paper_id paper, published, year(published) * 12 + month(published) m, {TOK.format(PAPER_TEXT)} b from p where topic_id is not null),
-  x as (select strategy_id, topic_id, cut, rank, paper, round({jac('a', 'b')}, 6) score from o join r using (topic_id) where published > cut and m <= year(cut) * 12 + month(cut) + 3), k as (select * from x where score > 0.1)"""
-#: A fold over k, the candidates sorted within each window: each takes what is free.
-TAKE = """l as (select strategy_id, topic_id, cut, list([{'rank': rank, 'paper': paper, 'score': score}] order by rank, score desc, paper desc) c from k group by all),
-  t as (select strategy_id, topic_id, cut, unnest(list_reduce(c, lambda acc, x: case when len(list_filter(acc, lambda y: y.rank = x[1].rank or y.paper = x[1].paper)) > 0 then acc else list_concat(acc, x) end)) t from l)
-  select strategy_id, topic_id, cut, t.rank, t.paper, t.score from t"""
 SQL = {
     "topic_phrase_join": f"""with {PAPERS}, t as (select distinct topic_id topic, array_to_string(regexp_extract_all(lower(r), '[a-z0-9]+'), ' ') term from (select topic_id, unnest(list_concat([topic_name], coalesce(aliases, []), coalesce(keywords, []))) r from topics)),
       c as (select paper_id, ' ' || array_to_string(regexp_extract_all(lower(concat_ws(' ', title, summary, array_to_string(keywords, ' '))), '[a-z0-9]+'), ' ') || ' ' c from p)
@@ -367,7 +343,6 @@ SQL = {
     "memory_topn": f"""with {_S}, {_SD}, k as (select coalesce(lower(trim(innovation.operator, ' ')), '') operator, coalesce(topic_id, '') topic_id, coalesce(source, '') via, innovation.operator o0, topic_id t0, source s0, year(cut)*12 + month(cut) - 1 m, coalesce(pub, date '1900-01-01') o, sample_id from sd where innovation is not null),
       b as (select operator, topic_id, via, count(*) frequency, coalesce(round(pow(0.9, greatest(0, {2025 * 12 + 11} - (list(m order by o, sample_id))[1])), 6), 0) recency from k group by operator, topic_id, via, o0 is null, t0 is null, s0 is null), x as (select *, max(frequency) over () mf from b)
       select operator, topic_id, via, frequency, round((0.45::double * recency + 0.35::double * frequency / mf + 0.2::double * tanh(frequency % 3)) / 1.0::double, 9) blend from x order by blend desc, operator, topic_id, via limit 25""",
-    "greedy_match": f"with {_CANDIDATES}, {TAKE}",
     "mmr_select": f"""with {_I}, c as (select strategy_id, topic_id, {_CUT.format('cutoff_date')} cut, pred_id, coalesce({_CO}, 0)::double s, {TOK.format("concat_ws(' ', title, rationale, approach)")} w from i where topic_id is not null), n as (select *, row_number() over (partition by strategy_id, topic_id, cut order by s desc, pred_id) n from c),
       a as (select * from n where n = 1), y as (select n.*, {jac('n.w', 'a.w')} ja, round(0.65::double * n.s + 0.35::double * (1 - {jac('n.w', 'a.w')}), 9) v from n join a on n.strategy_id is not distinct from a.strategy_id and n.topic_id = a.topic_id and n.cut is not distinct from a.cut where n.n > 1),
       b as (select * from y qualify row_number() over (partition by strategy_id, topic_id, cut order by v desc, n) = 1),
@@ -428,7 +403,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         topic_phrase_join, overlap_retrieval_topk, priority_join, episode_fan_out, paper_topic_first, citation_pairs, citation_hits, known_papers, topic_seed, top_terms, term_cooccurrence, keyword_components, keyword_momentum, memory_build, memory_topn,
-        bucket_memory, operator_distribution, popularity_minmax, impact_buckets, strategy_leaderboard, strategy_rollup, coverage_audit, status_rollup, rank_disorder, midpoint_sample, reward_quantiles, episode_splits, greedy_match, greedy_dedupe, mmr_select,
+        bucket_memory, operator_distribution, popularity_minmax, impact_buckets, strategy_leaderboard, strategy_rollup, coverage_audit, status_rollup, rank_disorder, midpoint_sample, reward_quantiles, episode_splits, greedy_dedupe, mmr_select,
         utility_ema, search_states, balanced_split, group_dup_penalty, auc_quality, rank_corr, mann_whitney_buckets, lead_time_buckets, validation_report, group_advantage, mmd_rbf, wasserstein_1d, cosine_topr, vector_novelty, cluster_gated_coverage,
     )
 }

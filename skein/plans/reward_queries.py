@@ -65,8 +65,8 @@ def judged_match(spark, d):
     place = Window.partitionBy(*window).orderBy(F.col("rank").asc_nulls_last(), "pred_id")
     i = i.select(*window, "pred_id", F.row_number().over(place).alias("rank")).filter("rank <= 5").withColumn("m", F.explode(F.sequence(D.month_index(F.col("cut")), D.month_index(F.col("cut")) + 3)))
     p = papers(spark, d).filter("topic_id is not null").select("topic_id", D.month_index(F.col("published")).alias("m"), "published", F.col("paper_id").alias("paper"))
-    g = [F.pmod(F.xxhash64("paper", "pred_id", F.lit(x)), F.lit(4)) for x in "pms"]
-    c = i.join(p, ["topic_id", "m"]).filter("published > cut").filter(V.judged_match(*g)).withColumn("score", (-F.crc32("paper")).cast("double"))
+    g = [F.conv(F.substring(F.md5(F.concat_ws("|", "paper", F.col("pred_id").cast("string"), F.lit(x))), 1, 6), 16, 10).cast("bigint") % 4 for x in "pms"]
+    c = i.join(p, ["topic_id", "m"]).filter("published > cut").filter(V.judged_match(*g)).withColumn("score", -F.conv(F.substring(F.md5("paper"), 1, 8), 16, 10).cast("double"))
     return folds.greedy_match(c.select(*window, "rank", "paper", "score"), window, 5).select(*window, "rank", "paper")
 
 
@@ -103,7 +103,13 @@ def reference_lists(spark, d):
 
 _F = "f as (select distinct on (forecast_id) * from scored_forecasts)"
 _TECH = "[" + ", ".join(f"'{w}'" for w in TECHNICAL) + "]"
+_CUT = "try_cast(case when length(trim(cutoff_date)) = 7 then trim(cutoff_date) || '-01' else trim(cutoff_date) end as date)"
+_G = "(('0x' || substr(md5(concat_ws('|', paper, pred_id, '{0}')), 1, 6))::bigint % 4)"
 SQL = {
+    "judged_match": f"""with {PAPERS}, i as (select distinct on (pred_id) * from idea_predictions), c as (select *, {_CUT} cut from i), o as (select strategy_id, topic_id, cut, pred_id, row_number() over (partition by strategy_id, topic_id, cut order by rank nulls last, pred_id)::int rank from c where topic_id is not null and cut is not null qualify row_number() over (partition by strategy_id, topic_id, cut order by rank nulls last, pred_id) <= 5),
+      r as (select topic_id, paper_id paper, published from p where topic_id is not null), j as (select strategy_id, topic_id, cut, rank, paper, ('0x' || substr(md5(paper), 1, 8))::bigint h, {_G.format('p')} p, {_G.format('m')} m, {_G.format('s')} s from o join r using (topic_id) where published > cut and year(published) * 12 + month(published) <= year(cut) * 12 + month(cut) + 3),
+      l as (select strategy_id, topic_id, cut, list([{{'rank': rank, 'paper': paper}}] order by rank, h, paper desc) c from j where p + m >= 5 and s >= 2 group by all),
+      u as (select strategy_id, topic_id, cut, unnest(list_reduce(c, lambda acc, x: case when len(list_filter(acc, lambda y: y.rank = x[1].rank or y.paper = x[1].paper)) > 0 then acc else list_concat(acc, x) end)) t from l) select strategy_id, topic_id, cut, t.rank, t.paper from u""",
     "proposal_gates": f"""with {_F}, g as (select case when length(trim(coalesce(proposal_text, ''), ' ')) < 40 then 'format' when len(list_filter({cited('proposal_text')}, lambda x: not list_contains(coalesce(evidence_paper_ids, []), x))) > 0 then 'grounding'
       when coalesce(lower(trim(innovation.operator, ' ')) not in ('ablation_study', 'constraint_lifting', 'domain_porting', 'module_fusion', 'yardstick_creation'), true) then 'operator' else 'passed' end gate from f) select gate, count(*) n from g group by 1""",
     "proposal_rewards": f"""with {_F}, j as (select forecast_id, prior_score, coalesce(proposal_text, '') t, lower(trim(innovation.operator, ' ')) op, op_id, string_split(op_id, '_') k, concat_ws(' ', innovation.base_direction, innovation.gap) z from f left join operator_inventory on op_id = lower(trim(innovation.operator, ' ')) where topic_id is not null),
