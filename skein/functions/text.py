@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that say nothing of a title's topic.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "by", "can", "for", "from", "in", "into", "is", "of", "on", "or", "the", "to", "towards", "under", "via", "with")
+#: Words of a title that are no keywords.
+STOP_WORDS = (
+    "a", "an", "the", "of", "for", "in", "on", "with", "and", "or", "to", "is", "by", "from", "at", "its", "via", "are", "we", "our", "can", "be", "has", "have", "this", "that", "it", "not", "but", "as",
+    "do", "how", "what", "which", "into", "over", "new", "more", "than",
+)
+#: Words that are no terms of a topic.
+TERM_STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "into", "is", "it", "of", "on", "or", "that", "the", "their", "this", "to", "via", "with", "we", "our", "using", "based", "towards", "toward",
+    "across", "new", "study", "paper", "method", "methods", "results",
+)
 
 
 def tokens(x: Column) -> Column:
@@ -59,9 +67,11 @@ def short_hash(x: Column, digits: int = 16) -> Column:
 
 
 def keyword_list(keywords: Column, title: Column) -> Column:
-    """Sorted distinct lower-case keywords; without any, the title's tokens of three letters or more that aren't stop words, in order."""
+    """Sorted distinct lower-case keywords; without any, the title's runs of letters and digits that begin with a letter, of
+    three or more, that aren't stop words, in order."""
     clean = F.sort_array(F.array_distinct(F.filter(F.transform(keywords, lambda k: F.trim(F.lower(k))), lambda k: k != "")))
-    words = F.filter(token_set(title), lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS))
+    runs = F.array_distinct(F.transform(F.regexp_extract_all(title, F.lit("[A-Za-z][A-Za-z0-9]+"), F.lit(0)), F.lower))
+    words = F.filter(runs, lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS))
     return F.when(F.size(F.coalesce(clean, F.array().cast("array<string>"))) > 0, clean).otherwise(F.coalesce(words, F.array().cast("array<string>")))
 
 
@@ -79,7 +89,7 @@ def h1_title(markdown: Column) -> Column:
 
 def section(markdown: Column, name: str) -> Column:
     """The text under a heading of this name, up to the next heading; null if missing or blank."""
-    found = F.trim(F.regexp_extract(markdown, rf"(?ims)^#+[ \t]*{name}[ \t]*:?[ \t]*$\n(.*?)(?=^#|\z)", 1))
+    found = F.trim(F.regexp_extract(markdown, rf"(?ims)^#+[ \t]*{name}[ \t]*:?[ \t]*$\n(.*?)(?=^#{{1,6}}[ \t]+\S|\z)", 1))
     return F.when(found != "", found)
 
 
@@ -117,12 +127,15 @@ def bibliography(markdown: Column) -> Column:
 
 
 def summary(markdown: Column, most: int = 1500) -> Column:
-    """The Summary section, else the Abstract, else an inline abstract, else the first paragraph without headings; at most so many characters."""
-    inline = F.trim(F.regexp_extract(markdown, r"(?is)\babstract\s*[-—:]\s*(.+?)(?:\n\s*\n|\z)", 1))
-    body = F.regexp_replace(F.regexp_replace(markdown, r"(?ims)^#+[ \t]*(?:References|Bibliography).*\z", ""), r"(?m)^(?:#.*|[A-Za-z][A-Za-z ]{1,30}:[ \t]*\S.*)$", "")
-    first = F.regexp_extract(F.regexp_replace(body, r"^\s+|\s+$", ""), r"(?s)\A(\S.*?)(?:\n\s*\n|\z)", 1)
-    chosen = F.coalesce(section(markdown, "Summary"), section(markdown, "Abstract"), F.when(inline != "", inline), F.when(first != "", first))
-    return F.substring(F.trim(F.regexp_replace(chosen, r"\s+", " ")), 1, most)
+    """The Summary section, else the Abstract, else the text before the first heading (from its paragraph "Abstract: ..." on, if there is one),
+    else all text before the references; title and preamble don't count. Runs of blanks become one, line breaks stay; at most so many characters."""
+    body = F.regexp_replace(markdown, r"\A\s*(?:#[ \t][^\n]*(?:\n|\z))?(?:[ \t]*\n|[A-Za-z][A-Za-z ]{1,30}:[ \t]*\S[^\n]*(?:\n|\z))*+", "")
+    preface = F.trim(F.regexp_replace(F.regexp_extract(body, r"(?ms)\A(.*?)(?=^#{1,6}\s+\S|\z)", 1), r"^\s+|\s+$", ""))
+    abstract = F.regexp_replace(F.regexp_extract(preface, r"(?is)(?:\A|\n[ \t]*\n)\s*abstract\s*[-—–:]\s*(.*)\z", 1), r"\s*\n[ \t]*\n\s*", "\n\n")
+    rest = F.regexp_replace(body, r"(?ims)^(?:#+[ \t]*)?references[ \t]*$.*\z", "")
+    chosen = F.coalesce(section(markdown, "Summary"), section(markdown, "Abstract"), F.when(abstract != "", abstract), F.when(preface != "", preface), rest)
+    clean = F.regexp_replace(F.regexp_replace(chosen, "[ \t]+", " "), r"^\s+|\s+$", "")
+    return F.when(clean != "", F.regexp_replace(F.substring(clean, 1, most), r"\s+$", ""))
 
 
 def without_thinking(x: Column) -> Column:
@@ -148,12 +161,13 @@ def free_score(reply: Column) -> Column:
 
 
 #: What looks like a citation, in the order in which they are collected.
-CITATIONS = (r"(?i)\barxiv[:\s\-]*([0-9]{4}\.[0-9]{4,8})\b", r"\b([0-9]{4}\.[0-9]{4,8})\b", r"\[([A-Za-z0-9_]{4,40})\]", r"\b(10\.\d{4,9}/[\w.\-]+)\b")
+CITATIONS = (r"(?i)\barxiv[:\s\-]*([0-9]{4}\.[0-9]{4,6})\b", r"\b([0-9]{4}\.[0-9]{4,6})\b", r"\[([A-Za-z0-9_]{4,40})\]", r"\b(10\.\d{4,9}/[\w.\-]+)\b")
 
 
-def citations(x: Column) -> Column:
-    """Distinct citation-like strings, pattern by pattern, each in order."""
-    return F.array_distinct(F.concat(*(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(p), F.lit(1)) for p in CITATIONS)))
+def citations(x: Column, digits: int = 6) -> Column:
+    """Distinct citation-like strings, pattern by pattern, each in order; digits: the most that a paper's number has after the point."""
+    patterns = [p.replace("{4,6}", f"{{4,{digits}}}") for p in CITATIONS]
+    return F.array_distinct(F.concat(*(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(p), F.lit(1)) for p in patterns)))
 
 
 def json_payload(x: Column) -> Column:

@@ -10,7 +10,7 @@ from skein.functions import vectors as V
 from skein.operators.components import components
 
 
-def top_terms(docs: DataFrame, text: Column, limit: int, least_chars: int = 4, stop: tuple[str, ...] = T.STOP_WORDS) -> DataFrame:
+def top_terms(docs: DataFrame, text: Column, limit: int, least_chars: int = 4, stop: tuple[str, ...] = T.TERM_STOP_WORDS) -> DataFrame:
     """The most frequent tokens: term, n; by count, then term."""
     terms = docs.select(F.explode(T.tokens(text)).alias("term")).filter((F.length("term") >= least_chars) & ~F.col("term").isin(*stop))
     return terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(limit)

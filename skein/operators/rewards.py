@@ -36,9 +36,9 @@ def combined(evidence: Column, adherence_: Column, coherence_: Column, weights:
     return F.round(V.clamp((parts[0] + parts[1] + parts[2]) / sum(weights)), digits)
 
 
-def gates(text: Column, known: Column, operator: Column, closed: Column, least_chars: int = 40) -> Column:
+def gates(text: Column, known: Column, operator: Column, closed: Column, least_chars: int = 40, digits: int = 6) -> Column:
     """The first gate that a text fails: format (too short), grounding (cites what isn't known), operator (not of the closed list); null if none."""
-    cited = T.citations(text)
+    cited = T.citations(text, digits)
     ungrounded = F.size(F.array_except(cited, F.coalesce(known, F.array().cast("array<string>")))) > 0
     return (
         F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) < least_chars, "format")

@@ -331,7 +331,7 @@ SQL = {
     "known_papers": f"""with {PAPERS}, n as (select future_paper_id x from hindsight_samples union select source_future_id from dz_rows) select 'sampled' what, count(*) n from p where paper_id in (select future_paper_id from hindsight_samples)
       union all select 'untrained', count(*) from p where paper_id not in (select source_future_id from dz_rows where source_future_id is not null) union all select 'unknown', count(*) from n where x is not null and x not in (select paper_id from p)""",
     "topic_seed": f"with {_I}, a as (select topic_id, count(*) ideas, floor((2 * sum(round({_CO} * 10000)::bigint) + count({_CO})) / nullif(2 * count({_CO}), 0)) / 10000 score from i where true group by 1) select topic_id, topic_name, coalesce(ideas, 0) ideas, coalesce(score, 0) score from topics left join a using (topic_id)",
-    "top_terms": f"with {PAPERS}, t as (select unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) term from p) select term, count(*) n from t where length(term) >= 4 and term not in {T.STOP_WORDS} group by term order by n desc, term limit 50",
+    "top_terms": f"with {PAPERS}, t as (select unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) term from p) select term, count(*) n from t where length(term) >= 4 and term not in {T.TERM_STOP_WORDS} group by term order by n desc, term limit 50",
     "term_cooccurrence": f"with {_KW} select a.kw a, b.kw b, count(*) n from kw a join kw b on a.paper_id = b.paper_id and a.kw < b.kw group by all having count(*) >= 2",
     "keyword_components": f"""with recursive {_KW}, o as (select kw, count(*) f from kw group by kw having count(*) >= 3), e as (select a.kw a, b.kw b from kw a join kw b on a.paper_id = b.paper_id and a.kw < b.kw where a.kw in (select kw from o) and b.kw in (select kw from o) group by all having count(*) >= 3),
       u as (select a x, b y from e union select b, a from e), r(x, y) as (select kw, kw from o union select r.x, u.y from r join u on u.x = r.y), c as (select x kw, min(y) cluster from r group by x)

@@ -234,7 +234,7 @@ _SD = f"sd as (select *, {_CUT} cut, {_PUB} pub from s)"
 SQL = {
     "batch_requests": f"with {_S}, k as (select distinct topic_id, episode_id, future_paper_id p from s where topic_id is not null and episode_id is not null and future_paper_id is not null) select substr(topic_id || '|' || episode_id || '|' || p, 1, 64) custom_id, p prompt from k where right(p, 1) not in ('0', '2', '4', '6', '8')",
     "markdown_round_trip": f"""with {PAPERS}, k as (select *, trim(regexp_replace(title, '\\s+', ' ', 'g')) t, list_sort(list_distinct(list_filter(list_transform(keywords, lambda x: trim(lower(x))), lambda x: x <> ''))) k,
-      list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda x: length(x) >= 3 and x not in {T.STOP_WORDS}) w from p where trim(coalesce(title, '')) <> '')
+      list_filter(list_transform(regexp_extract_all(title, '[A-Za-z][A-Za-z0-9]+'), lambda x: lower(x)), lambda x: length(x) >= 3 and x not in {T.STOP_WORDS}) w from p where trim(coalesce(title, '')) <> '')
       select paper_id, t title, strftime(published, '%Y-%m') as month, published, length(substr(trim(regexp_replace(summary, '\\s+', ' ', 'g')), 1, 1500))::int summary_n,
       case when len(k) > 0 then array_to_string(k, '|') else coalesce(array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda y: list_position(w, y[1]) = y[2]), lambda y: y[1]), '|'), '') end keywords, coalesce(len(refs), 0)::int n_refs from k""",
     "atom_entries": f"with {PAPERS} select paper_id id, trim(regexp_replace(translate(title, '<>&', '   '), '\\s+', ' ', 'g')) title, coalesce(len(list_distinct(keywords)), 0)::int n_keywords from p where trim(coalesce(title, '')) <> '' and coalesce(published_date, '') <> ''",

@@ -71,9 +71,10 @@ def judged_match(spark, d):
 
 
 def proposal_gates(spark, d):
-    f = _forecasts(spark, d)
-    closed = F.array(*map(F.lit, ["ablation_study", "constraint_lifting", "domain_porting", "module_fusion", "yardstick_creation"]))
-    gate = R.gates(F.col("proposal_text"), F.col("evidence_paper_ids"), F.lower(F.trim("innovation.operator")), closed)
+    """Gates over the operators of the inventory; the papers' numbers have eight digits here."""
+    inventory = table(spark, d, "operator_inventory").agg(F.collect_set("op_id").alias("closed"))  # one row, a dimension's ids
+    f = _forecasts(spark, d).join(F.broadcast(inventory))
+    gate = R.gates(F.col("proposal_text"), F.col("evidence_paper_ids"), F.lower(F.trim("innovation.operator")), F.col("closed"), digits=8)
     return f.groupBy(F.coalesce(gate, F.lit("passed")).alias("gate")).agg(F.count("*").alias("n"))
 
 
@@ -111,7 +112,7 @@ SQL = {
       l as (select strategy_id, topic_id, cut, list([{{'rank': rank, 'paper': paper}}] order by rank, h, paper desc) c from j where p + m >= 5 and s >= 2 group by all),
       u as (select strategy_id, topic_id, cut, unnest(list_reduce(c, lambda acc, x: case when len(list_filter(acc, lambda y: y.rank = x[1].rank or y.paper = x[1].paper)) > 0 then acc else list_concat(acc, x) end)) t from l) select strategy_id, topic_id, cut, t.rank, t.paper from u""",
     "proposal_gates": f"""with {_F}, g as (select case when length(trim(coalesce(proposal_text, ''), ' ')) < 40 then 'format' when len(list_filter({cited('proposal_text')}, lambda x: not list_contains(coalesce(evidence_paper_ids, []), x))) > 0 then 'grounding'
-      when coalesce(lower(trim(innovation.operator, ' ')) not in ('ablation_study', 'constraint_lifting', 'domain_porting', 'module_fusion', 'yardstick_creation'), true) then 'operator' else 'passed' end gate from f) select gate, count(*) n from g group by 1""",
+      when coalesce(lower(trim(innovation.operator, ' ')) not in (select op_id from operator_inventory), true) then 'operator' else 'passed' end gate from f) select gate, count(*) n from g group by 1""",
     "proposal_rewards": f"""with {_F}, j as (select forecast_id, prior_score, coalesce(proposal_text, '') t, lower(trim(innovation.operator, ' ')) op, op_id, string_split(op_id, '_') k, concat_ws(' ', innovation.base_direction, innovation.gap) z from f left join operator_inventory on op_id = lower(trim(innovation.operator, ' ')) where topic_id is not null),
       w as (select *, {TOK.format('t')} wt, {TOK.format('z')} wz, lower(t) lt from j),
       s as (select forecast_id, prior_score, round(case when k is not null then len(list_filter(k, lambda x: contains(lt, x))) / len(k)::double else case when contains(lt, coalesce(op, '?')) then 1.0 else 0.0 end end, 4)::double adherence,

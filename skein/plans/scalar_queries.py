@@ -120,7 +120,7 @@ def json_replies(spark, d):
 
 
 def citations_in_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(T.citations(F.col("text")), "|").alias("cited")).filter(F.col("cited") != "")
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.citations(F.col("text"), 8), "|").alias("cited")).filter(F.col("cited") != "")
 
 
 def specificity_scores(spark, d):
@@ -142,7 +142,7 @@ def vector_pairs(spark, d):
 
 _PRED = "i as (select distinct on (pred_id) * from idea_predictions)"
 _REPLY = """'problem_match: ' || (pred_id % 4) || chr(10) || ' METHOD_MATCH : ' || (pred_id % 5) || chr(10) || 'SPECIFICITY: ' || case when pred_id % 7 = 0 then '2/3' else (pred_id % 3)::varchar end"""
-_CITED = "list_concat(" + ", ".join("regexp_extract_all(@, '" + p + "', 1)" for p in T.CITATIONS) + ")"
+_CITED = "list_concat(" + ", ".join("regexp_extract_all(@, '" + p.replace("{4,6}", "{4,8}") + "', 1)" for p in T.CITATIONS) + ")"
 
 
 def cited(text: str) -> str:
@@ -167,7 +167,7 @@ SQL = {
     "title_scalars": rf"""with {PAPERS} select paper_id, array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' ') phrase, trim(regexp_replace(lower(title), '\s+', ' ', 'g')) title_key, substr(sha256(title), 1, 16) hash,
       case when length(title) > 40 then rtrim(substr(title, 1, 37)) || '...' else title end short, len({TOK.format('title')})::int n_tokens from p""",
     "keywords_clean": f"""with {PAPERS}, k as (select paper_id, list_sort(list_distinct(list_filter(list_transform(keywords, lambda x: trim(lower(x))), lambda x: x <> ''))) k,
-      list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda x: length(x) >= 3 and x not in {T.STOP_WORDS}) w from p)
+      list_filter(list_transform(regexp_extract_all(title, '[A-Za-z][A-Za-z0-9]+'), lambda x: lower(x)), lambda x: length(x) >= 3 and x not in {T.STOP_WORDS}) w from p)
       select paper_id, case when len(k) > 0 then array_to_string(k, '|') else coalesce(array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda y: list_position(w, y[1]) = y[2]), lambda y: y[1]), '|'), '') end keywords from k""",
     "similarity_scalars": f"""with {_PRED}, t as (select pred_id, {TOK.format("coalesce(title, '')")} a, {TOK.format("coalesce(rationale, '')")} b from i)
       select pred_id, round({jac('a', 'b')}, 6) jaccard, round({jac('a', 'b', '1')}, 6) jaccard_empty_1, round(case when least(len(a), len(b)) = 0 then 0 else len(list_intersect(a, b)) / least(len(a), len(b))::double end, 6) overlap from t""",

@@ -34,7 +34,7 @@ def _forecasts(spark, d):
 def base_scores(spark, d):
     """Coverage of the topic's signal terms (the 20 most frequent tokens of its papers' summaries and keywords) and specificity of each idea."""
     p = papers(spark, d).filter("topic_id is not null")
-    terms = p.select("topic_id", F.explode(T.tokens(F.concat_ws(" ", "summary", F.array_join("keywords", " ")))).alias("t")).filter((F.length("t") > 3) & ~F.col("t").isin(*T.STOP_WORDS)).groupBy("topic_id", "t").agg(F.count("*").alias("n"))
+    terms = p.select("topic_id", F.explode(T.tokens(F.concat_ws(" ", "summary", F.array_join("keywords", " ")))).alias("t")).filter((F.length("t") > 3) & ~F.col("t").isin(*T.TERM_STOP_WORDS)).groupBy("topic_id", "t").agg(F.count("*").alias("n"))
     top = terms.withColumn("r", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("n"), "t"))).filter("r <= 20").groupBy("topic_id").agg(F.collect_set("t").alias("signals"))
     i = _ideas(spark, d).join(top, "topic_id")
     return i.select("pred_id", S.base_score(T.token_set(T.prediction_text(F.col("title"), F.col("rationale"), F.col("approach"))), F.col("signals")).alias("base"))
@@ -153,7 +153,7 @@ _Z = "z as (select distinct on (dz_id) * from dz_rows)"
 _F = "f as (select distinct on (forecast_id) * from scored_forecasts)"
 _CUT = "try_cast(case when length(trim({0})) = 7 then trim({0}) || '-01' else trim({0}) end as date)"
 SQL = {
-    "base_scores": f"""with {PAPERS}, {_I}, t as (select topic_id, t, count(*) n from (select topic_id, unnest(regexp_extract_all(lower(concat_ws(' ', summary, array_to_string(keywords, ' '))), '[a-z0-9]+')) t from p where topic_id is not null) where length(t) > 3 and t not in {T.STOP_WORDS} group by all),
+    "base_scores": f"""with {PAPERS}, {_I}, t as (select topic_id, t, count(*) n from (select topic_id, unnest(regexp_extract_all(lower(concat_ws(' ', summary, array_to_string(keywords, ' '))), '[a-z0-9]+')) t from p where topic_id is not null) where length(t) > 3 and t not in {T.TERM_STOP_WORDS} group by all),
       k as (select topic_id, list(t) g from (select *, row_number() over (partition by topic_id order by n desc, t) r from t) where r <= 20 group by 1), w as (select pred_id, g, {TOK.format("concat_ws(' ', title, rationale, approach)")} w from i join k using (topic_id))
       select pred_id, round(0.75::double * len(list_intersect(g, w)) / len(g) + 0.25::double * least(len(w) / 30, 1), 4) base from w""",
     "latest_generation": f"with {_I}, c as (select *, {_CUT.format('cutoff_date')} cut from i), m as (select *, max(cut) over (partition by strategy_id, topic_id) l from c where cut is not null and topic_id is not null) select pred_id, cut from m where cut = l",

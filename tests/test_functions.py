@@ -63,15 +63,30 @@ def test_markdown_parts(spark):
     md = "# A title\n\nPaper ID: 2301.1\nDate: 2023-01-05\nKeywords: b, a\n\n# Abstract\nFirst  line\nsecond.\n\n# References\n[1] One\ngoes on\n[2] Two\n"
     title, meta, summary, refs = one(spark, T.h1_title(F.lit(md)), T.preamble(F.lit(md)), T.summary(F.lit(md)), T.bibliography(F.lit(md)))
     assert title == "A title" and meta == {"paper_id": "2301.1", "date": "2023-01-05", "keywords": "b, a"}
-    assert summary == "First line second." and refs == ["One goes on", "Two"]
+    assert summary == "First line\nsecond." and refs == ["One goes on", "Two"]
+
+
+def test_summary_cascade(spark):
+    head = "# A title\n\nPaper ID: 2301.1\nDate: 2023-01-05\n\n"
+    cases = {
+        head + "Some text  here.\n\nMore of it.\n\n## Intro\nno": "Some text here.\n\nMore of it.",
+        head + "By nobody\n\nAbstract - We show\nthings.\n\nAnd more.\n\n# Intro\nno": "We show\nthings.\n\nAnd more.",
+        head + "## Intro\nbody\n\n## References\n[1] x": "## Intro\nbody",
+        head + "x" * 2000: "x" * 1500,
+        head + "## Abstract\na\n## Summary\ns": "s",
+        "# only a title": None,
+    }
+    for md, want in cases.items():
+        assert one(spark, T.summary(F.lit(md))) == (want,), md
 
 
 def test_keywords_fall_back_to_title(spark):
     none = F.array().cast("array<string>")
-    assert one(spark, T.keyword_list(F.array(F.lit(" B "), F.lit("a"), F.lit("b")), F.lit("x")), T.keyword_list(none, F.lit("The red of Red fox")), T.keyword_list(F.lit(None).cast("array<string>"), F.lit(None).cast("string"))) == (["a", "b"], ["red", "fox"], [])
+    assert one(spark, T.keyword_list(F.array(F.lit(" B "), F.lit("a"), F.lit("b")), F.lit("x")), T.keyword_list(none, F.lit("The red of Red fox 3dview over")), T.keyword_list(F.lit(None).cast("array<string>"), F.lit(None).cast("string"))) == (["a", "b"], ["red", "fox", "dview"], [])
 
 
 def test_citations(spark):
+    assert one(spark, T.citations(F.lit("2301.00000001")), T.citations(F.lit("2301.00000001"), 8)) == ([], ["2301.00000001"])
     assert one(spark, T.citations(F.lit("see arXiv:2301.00001, [Smith2020] and 10.1000/x.y or 2301.00001"))) == (["2301.00001", "Smith2020", "10.1000/x.y"],)
 
 
