@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.plans import contract_queries, operator_queries, pipeline_queries, reward_queries, scalar_queries, selection_queries, windows_queries
+from skein.plans import contract_queries, operator_queries, pipeline_queries, reward_queries, scalar_queries, selection_queries, source_queries, windows_queries
 
-_MODULES = [windows_queries, scalar_queries, operator_queries, pipeline_queries, reward_queries, selection_queries, contract_queries]
+_MODULES = [windows_queries, scalar_queries, operator_queries, pipeline_queries, reward_queries, selection_queries, contract_queries, source_queries]
 
 
 def queries() -> dict:

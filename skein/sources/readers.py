@@ -39,6 +39,13 @@ def markdown_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).filter(F.lower(F.element_at(F.split("path", "/"), -1)) != "readme.md")
 
 
+def markdown_pages(spark: SparkSession, root: str) -> DataFrame:
+    """Columns path, text of papers that lie many to a file, parted by form feeds; the path ends in the folder's month and the paper's own id."""
+    pages = spark.read.option("lineSep", "\f").option("recursiveFileLookup", True).text(root)
+    month = F.regexp_extract(F.col("_metadata.file_path"), r"month=(\d{4}-\d{2})/", 1)
+    return pages.select(F.concat(month, F.lit("/page.md")).alias("path"), F.col("value").alias("text"))
+
+
 def parse_papers(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """Papers of Markdown files: title, preamble, date, month, summary, keywords and references.
 
@@ -67,8 +74,8 @@ def corpus(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
 
 
 def monthly_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Columns path, text of Parquet files of arxiv_id and text, one a month, named by month: what ``parse_papers`` takes."""
-    month = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2})[^/]*\.parquet$", 1)
+    """Columns path, text of Parquet files of arxiv_id and text, one a month, they or their folders named by month: what ``parse_papers`` takes."""
+    month = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2})[^/]*(?:/[^/]*)?\.parquet$", 1)
     return spark.read.schema("arxiv_id string, text string").parquet(path).select(F.concat(month, F.lit("/"), "arxiv_id", F.lit(".md")).alias("path"), "text")
 
 
@@ -105,14 +112,14 @@ def hindsight_samples(spark: SparkSession, path: str, last_cutoff: str = "2024-0
     return rows.orderBy(D.month_index(D.cutoff_date(F.col("cutoff_date"))), "future_paper_published_date", "future_paper_id")
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """JSON files of one record each; corrupt ones are skipped."""
-    return spark.read.schema(RECORD).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+def records(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """JSON files of one record each, or one a line; corrupt ones are skipped."""
+    return spark.read.schema(RECORD).option("multiLine", one_per_file).option("mode", "DROPMALFORMED").json(path)
 
 
-def artifact_windows(spark: SparkSession, paths: list[str]) -> DataFrame:
+def artifact_windows(spark: SparkSession, paths: list[str], one_per_file: bool = True) -> DataFrame:
     """One row per topic and window of result artifacts: strategy, model, topic, counts and metrics."""
-    a = spark.read.schema(ARTIFACT).option("multiLine", True).option("mode", "DROPMALFORMED").json(paths)
+    a = spark.read.schema(ARTIFACT).option("multiLine", one_per_file).option("mode", "DROPMALFORMED").json(paths)
     return windows_of(a)
 
 
@@ -139,6 +146,16 @@ def index(spark: SparkSession, path: str, kind: str, cutoff: str) -> DataFrame:
     return spark.read.parquet(path).filter((F.col("kind") == kind) & (F.col("cutoff") == cutoff))
 
 
+TRAINING_ROW = T.StructType([T.StructField(n, T.StringType()) for n in ("data_source", "prompt", "ground_truth", "extra_info")])
+RUBRIC = T.StructType([T.StructField("topic_id", T.StringType()), T.StructField("version", T.IntegerType()), *(T.StructField(n, T.ArrayType(T.StringType())) for n in ("operator_focus", "criteria", "must_not"))])
+EPISODE = T.StructType([*(T.StructField(n, T.StringType()) for n in ("topic_id", "episode_id", "split", "cutoff_date")), T.StructField("train_paper_ids", T.ArrayType(T.StringType())), T.StructField("future_paper_ids", T.ArrayType(T.StringType()))])
+
+
+def latest_rubrics(rubrics: DataFrame) -> DataFrame:
+    """The last version of each topic's rubric."""
+    return rubrics.groupBy("topic_id").agg(F.max_by(F.struct(*rubrics.columns), "version").alias("r")).select("r.*")
+
+
 def batch_results(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """Results and failures of a batch job's lines of JSON: custom_id with its parts and content, and custom_id with the reason."""
     schema = "custom_id string, response struct<status_code:int,body:struct<choices:array<struct<message:struct<content:string>>>>>, error struct<message:string>"

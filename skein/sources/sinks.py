@@ -20,8 +20,8 @@ def markdown(paper_id: Column, title: Column, date: Column, keywords: Column, ur
 
 
 def write_markdown(papers: DataFrame, path: str) -> None:
-    """papers: month, text (as ``markdown`` gives it); one folder a month, many papers a file, parted by form feeds."""
-    papers.select("month", F.concat("text", F.lit("\n\f")).alias("value")).write.mode("overwrite").partitionBy("month").text(path)
+    """papers: month, text (as ``markdown`` gives it); one folder a month, many papers a file, parted by form feeds, as ``markdown_pages`` reads them."""
+    papers.select("month", F.translate("text", "\f", " ").alias("value")).write.mode("overwrite").partitionBy("month").option("lineSep", "\f").text(path)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

@@ -6,7 +6,6 @@ session unless the caller names others.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -14,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.plans.cut import shared_dir
+from skein.plans.cut import new_place
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,10 +22,6 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{folder}/{name}.parquet*")
 
 
-def _place(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-
-
 def run_once(stream: DataFrame, place: str, mode: str = "append") -> DataFrame:
     """Write what is new to the table at ``place`` and read the table."""
     query = stream.writeStream.format("parquet").option("path", f"{place}/table").option("checkpointLocation", f"{place}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
@@ -39,7 +34,7 @@ def partial_counts(stream: DataFrame, keys: list[Column], sums: dict[str, Column
 
     No state is kept, so a run costs what is new, and a batch that is repeated after a failure replaces its own part.
     """
-    place = place or _place(stream.sparkSession)
+    place = place or new_place(stream.sparkSession, "stream")
 
     def save(batch: DataFrame, number: int) -> None:
         part = batch.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(c).alias(k) for k, c in sums.items()))
@@ -54,7 +49,7 @@ def partial_counts(stream: DataFrame, keys: list[Column], sums: dict[str, Column
 def new_rows(stream: DataFrame, keys: list[str], time: str, lookback: str, place: str | None = None) -> DataFrame:
     """Rows whose key has not come within ``lookback`` of event time; later ones than that are dropped."""
     once = stream.withWatermark(time, lookback).dropDuplicatesWithinWatermark(keys)
-    return run_once(once, place or _place(stream.sparkSession))
+    return run_once(once, place or new_place(stream.sparkSession, "stream"))
 
 
 def ingest(entries: DataFrame, known: DataFrame, key: str, updated: str, now: Column, lookback_days: int) -> DataFrame:
@@ -77,7 +72,7 @@ def stream_ema(stream: DataFrame, key: str, order: list[str], value: str, alpha:
         yield pd.DataFrame({key: [k[0]], "n": [n], "ema": [round(u, 6)]})
 
     out = stream.select(*names).groupBy(key).applyInPandasWithState(update, f"{key} bigint, n bigint, ema double", "n bigint, u double", "append", "NoTimeout")
-    rows = run_once(out, place or _place(stream.sparkSession))
+    rows = run_once(out, place or new_place(stream.sparkSession, "stream"))
     return rows.groupBy(key).agg(F.max("n").alias("n"), F.max_by("ema", "n").alias("ema"))
 
 
@@ -90,3 +85,13 @@ def pending(windows: DataFrame, done: DataFrame, keys: list[str], fingerprint: s
 def cached(asked: DataFrame, cache: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Those asked with their cached columns, and those that the cache lacks."""
     return asked.join(cache, keys), asked.join(cache.select(*keys).distinct(), keys, "left_anti")
+
+
+def remember(answers: DataFrame, place: str) -> None:
+    """Append new answers to the cache table at ``place``; a crash leaves the table as it was."""
+    answers.write.mode("append").parquet(place)
+
+
+def retried(results: DataFrame, again: DataFrame, key: str) -> DataFrame:
+    """Results with those of a further round for the keys that had none."""
+    return results.unionByName(again.join(results.select(key), key, "left_anti"))
