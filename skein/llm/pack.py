@@ -6,7 +6,8 @@
 2. A text longer than the capacity is split into full containers of its own and a rest, which is packed as an item; no other text is split.
 3. Items are sorted by range along the curve. Each range is packed by itself, ``RUN`` neighbouring items at a time: the items of a
    run go, largest first, into the open container with the least room that still holds them (best fit decreasing), or a new one.
-   Containers with little room left are closed; the others stay open for the next run.
+   Containers with little room left are closed; the others stay open for the next run. Runs are short, so that a container holds
+   neighbours; what that costs in room is little (see the README). An item's place in the order is given as its position.
 
 The only containers that stay badly filled are the last of each range, a few of thousands.
 
@@ -30,7 +31,7 @@ from skein.plans.cut import cut
 
 DIMS, BITS = 6, 8
 #: Items that are packed together, and items of one range at most on average.
-RUN, RANGE_ITEMS = 4_000, 200_000
+RUN, RANGE_ITEMS = 512, 200_000
 
 
 def sizes(df: DataFrame, key: str, text: str, ranks: str | None = None) -> DataFrame:
@@ -83,9 +84,9 @@ class _Open:
 
 
 def pack(items: DataFrame, capacity: int) -> DataFrame:
-    """items: doc_id, n_tokens, place. Columns: doc_id, piece, from_token, n_tokens, container (long).
+    """items: doc_id, n_tokens, place. Columns: doc_id, piece, from_token, n_tokens, container, position (long).
 
-    A container's number is its range's number times 2**40 plus its number within the range.
+    A container's number is its range's number times 2**40 plus its number within the range, and so is a position.
     """
     rows, total = items.agg(F.count("*"), F.sum("n_tokens")).first()
     ranges = max(1, -(-(rows or 0) // RANGE_ITEMS))
@@ -98,9 +99,12 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
         from pyspark import TaskContext
 
         opened, made = _Open(capacity), TaskContext.get().partitionId() << 40
+        at = made
 
         def pack_run(part: pd.DataFrame) -> pd.DataFrame:
-            nonlocal made
+            nonlocal made, at
+            position = at + np.arange(len(part))
+            at += len(part)
             docs, whole, size = part.doc_id.to_numpy(), part.full.to_numpy(), part["size"].to_numpy()
             place = np.empty(len(part), dtype=np.int64)
             order = np.argsort(-size, kind="stable")
@@ -114,26 +118,27 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
                 opened.put(container, room - s)
                 place[i] = container
             opened.close_below(max(1, capacity // 256))
-            out = [pd.DataFrame({"doc_id": docs, "piece": whole, "from_token": whole * capacity, "n_tokens": size, "container": place})]
+            out = [pd.DataFrame({"doc_id": docs, "piece": whole, "from_token": whole * capacity, "n_tokens": size, "container": place, "position": position})]
             if whole.any():
                 n = int(whole.sum())
                 piece = np.concatenate([np.arange(w) for w in whole if w])
-                out.append(pd.DataFrame({"doc_id": np.repeat(docs, whole), "piece": piece, "from_token": piece * capacity, "n_tokens": capacity, "container": made + np.arange(n)}))
+                out.append(pd.DataFrame({"doc_id": np.repeat(docs, whole), "piece": piece, "from_token": piece * capacity, "n_tokens": capacity, "container": made + np.arange(n), "position": np.repeat(position, whole)}))
                 made += n
             return pd.concat(out)
 
-        held: list[pd.DataFrame] = []
+        held = None
         for part in parts:
-            held.append(part)
-            if sum(map(len, held)) >= RUN:
-                yield pack_run(pd.concat(held, ignore_index=True))
-                held = []
-        if held:
-            yield pack_run(pd.concat(held, ignore_index=True))
+            held = part if held is None else pd.concat([held, part], ignore_index=True)
+            whole = len(held) - len(held) % RUN
+            if whole:
+                yield pd.concat([pack_run(held[s : s + RUN]) for s in range(0, whole, RUN)])
+                held = held[whole:]
+        if held is not None and len(held):
+            yield pack_run(held)
 
     sorted_items = pieces.select("doc_id", "full", "size", "place").repartitionByRange(ranges, "place", "doc_id").sortWithinPartitions("place", "doc_id")
     kind = items.schema["doc_id"].dataType.simpleString()
-    return sorted_items.mapInPandas(run, f"doc_id {kind}, piece bigint, from_token bigint, n_tokens bigint, container bigint")
+    return sorted_items.mapInPandas(run, f"doc_id {kind}, piece bigint, from_token bigint, n_tokens bigint, container bigint, position bigint")
 
 
 def pack_texts(df: DataFrame, key: str, text: str, capacity: int = 2048, ranks: str | None = None) -> DataFrame:

@@ -17,11 +17,13 @@ def p7_containers(spark, d):
 
 
 def p7_fill(spark, d):
-    """One row: documents, tokens, containers, and the share of all room that is filled."""
+    """One row: documents, tokens, containers, the share of all room that is filled, and the median number of places along the curve that
+    the documents of a container span."""
     pieces = cut(p7_containers(spark, d))
-    used = pieces.groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count_if(F.col("piece") == 0).alias("begun"))
+    used = pieces.groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count_if(F.col("piece") == 0).alias("begun"), (F.max("position") - F.min("position") + 1).alias("span"))
     return used.agg(
-        F.sum("begun").alias("documents"), F.sum("used").alias("tokens"), F.count("*").alias("containers"), F.max("used").alias("most_used"), F.round(F.sum("used") / (F.count("*") * CAPACITY), 4).alias("filled")
+        F.sum("begun").alias("documents"), F.sum("used").alias("tokens"), F.count("*").alias("containers"), F.max("used").alias("most_used"), F.round(F.sum("used") / (F.count("*") * CAPACITY), 4).alias("filled"),
+        F.percentile_approx(F.when(F.col("span") > 1, F.col("span")), 0.5).alias("median_span"),
     )
 
 
