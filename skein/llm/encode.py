@@ -3,7 +3,7 @@
 The tiktoken library encodes with a local rank file. Texts are first split at boundaries that no token crosses: the pattern of
 these tokenizers never lets a token run from a character that is no white space into white space, so a text may be cut before
 every white-space run that follows another character, and the pieces' ids joined give the ids of the whole. Long texts thus
-never reach the library whole, and the ids of short pieces are remembered per Python process, which makes most
+don't reach the library whole, but for stretches without white space (it takes time in proportion to these), and the ids of short pieces are remembered per Python process, which makes most
 of the corpus a dictionary lookup.
 
 Texts travel as bytes. A text that isn't valid UTF-8 is encoded as it stands: its valid stretches as text, the bytes between them as
@@ -34,6 +34,9 @@ MEMO, MEMO_CHARS = 400_000, 48
 
 _encoders: dict[str, Callable[[bytes | None], bytes]] = {}
 
+#: Bytes that are not valid UTF-8, as decoding leaves them.
+_INVALID = re.compile("([\udc80-\udcff]+)")
+
 
 def default_ranks() -> str:
     """Path of byte_bpe_50k's ranks where the public tokenizers are installed."""
@@ -74,16 +77,10 @@ def _encoder(path: str) -> Callable[[bytes | None], bytes]:
         try:
             return of_text(raw.decode())
         except UnicodeDecodeError:
-            out, at = [], 0
-            while at < len(raw):
-                try:
-                    out.append(of_text(raw[at:].decode()))
-                    break
-                except UnicodeDecodeError as e:
-                    out.append(of_text(raw[at : at + e.start].decode()))
-                    out.append(b"".join(np.array([ranks[raw[i : i + 1]]], dtype="<i4").tobytes() for i in range(at + e.start, at + e.end)))
-                    at += e.end
-            return b"".join(out)
+            # invalid bytes come out as lone surrogates, which no valid text holds
+            parts = _INVALID.split(raw.decode(errors="surrogateescape"))
+            invalid = (np.array([ranks[bytes([ord(c) - 0xDC00])] for c in p], dtype="<i4").tobytes() if i % 2 else of_text(p) for i, p in enumerate(parts))
+            return b"".join(invalid)
 
     _encoders[path] = of_bytes
     return of_bytes
