@@ -4,7 +4,7 @@
    its smallest id takes part in the search, so copies cost nothing however many there are.
 2. For each of ``curves`` orderings the vectors are projected onto ``DIMS`` random orthogonal directions, shifted, and put in the
    order of a Hilbert curve. Each ordering is cut into ranges of about ``RANGE`` vectors at quantiles taken from a sample of
-   at most about ``SAMPLE`` vectors (chosen by a hash of their ids); every vector is indexed.
+   about ``PER_RANGE`` vectors a range (chosen by a hash of their ids), which the cluster aggregates; every vector is indexed.
 3. Within a range, every block of ``block`` neighbours along the curve meets itself and the next block: products in single
    precision choose pairs near the least cosine, double precision decides. The best k of every vector leave the task.
    Windows do not cross the ends of a range, a small share of each ordering; the other orderings have their ends elsewhere.
@@ -32,7 +32,7 @@ from skein.llm.curves import hilbert_keys, to_cells
 from skein.plans.cut import cut
 
 DIMS, BITS = 10, 6
-SAMPLE, RANGE = 20_000, 60_000
+PER_RANGE, RANGE = 300, 60_000
 
 
 def usable(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
@@ -99,13 +99,29 @@ def window_pairs(ids: np.ndarray, v: np.ndarray, least: float, block: int) -> tu
     return ids[i[keep]], ids[j[keep]], cos[keep]
 
 
+def _edges(reps: DataFrame, size: int, curves: int, ranges: int) -> list[np.ndarray]:
+    """Per ordering the places at which its ranges begin, but for the first. Only these come to the driver, not the sample."""
+    if ranges == 1:
+        return [np.zeros(0, dtype=np.int64)] * curves
+    sample = reps.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, RANGE // PER_RANGE))) == 0).select("v")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                unit = _unit(_matrix(b.column(0), size))
+                for c in range(curves):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), c, dtype=np.int32)), pa.array(_keys(unit, c))], ["curve", "key"])
+
+    shares = [i / ranges for i in range(1, ranges)]
+    found = sample.mapInArrow(keys, "curve int, key bigint").groupBy("curve").agg(F.percentile_approx("key", shares, 20 * ranges).alias("edges")).collect()
+    by = {r.curve: np.array(r.edges, dtype=np.int64) for r in found}
+    return [by.get(c, np.zeros(0, dtype=np.int64)) for c in range(curves)]
+
+
 def similar_classes(reps: DataFrame, size: int, k: int, least: float, curves: int, block: int) -> DataFrame:
     """reps: id, v. The best k of each id among the others that any ordering brings near: a, b, cos."""
-    total = reps.count()
-    ranges = max(1, -(-total // RANGE))
-    sample = reps.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // SAMPLE)))) == 0).select("v").toArrow()["v"].combine_chunks()
-    unit = _unit(_matrix(sample, size)) if len(sample) else np.zeros((0, size), dtype=np.float32)
-    edges = [np.quantile(_keys(unit, c), np.arange(1, ranges) / ranges).astype(np.int64) if len(unit) and ranges > 1 else np.zeros(0, dtype=np.int64) for c in range(curves)]
+    ranges = max(1, -(-reps.count() // RANGE))
+    edges = _edges(reps, size, curves, ranges)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
