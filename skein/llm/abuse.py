@@ -9,7 +9,8 @@ Model: filters of widths 1 to 4 over the embeddings, the greatest response of ea
 giving a score per sentence; a text's score is that of its worst sentence, so neither the length of a text nor the place of the
 sentence matters. In training the sentences of a text are joined by a soft maximum, since labels are per text.
 
-Fitting: on at most about ``MAX_LABELLED`` labelled texts (chosen by a hash of their ids, one of each text), whole texts. A fifth is held out to
+Fitting: on at most about ``MAX_LABELLED`` labelled texts of about ``MAX_BYTES`` bytes together (chosen by a hash of their ids, one of each text),
+whole texts. A fifth is held out to
 choose the threshold of each language: the one with the best F1, where a language has ``LEAST_POSITIVE`` held-out positives, else
 that over all languages; always between 0.35 and 0.6, since labels err. Everything is seeded; the same rows give the same model.
 
@@ -31,7 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LABELLED, LEAST_POSITIVE = 16_000, 12
+from skein.plans.cut import cut
+
+MAX_LABELLED, MAX_BYTES, LEAST_POSITIVE = 16_000, 64_000_000, 12
+#: Bounds of the thresholds, since labels err.
+LOWEST, HIGHEST = 0.35, 0.6
 DIMS, FILTERS, WIDTHS = 16, 12, (1, 2, 3, 4)
 BUCKETS = 1 << 22
 MEMO = 400_000
@@ -275,19 +280,22 @@ def _best(scores: np.ndarray, labels: np.ndarray) -> float:
 def _calibrate(model: Model, docs: list[np.ndarray], labels: np.ndarray, langs: list[str]) -> None:
     scores, by = model.scores(docs), np.array(langs)
     whole = _best(scores, labels) if labels.sum() >= LEAST_POSITIVE else 0.5
-    model.thresholds[""] = float(np.clip(whole, 0.35, 0.6))
+    model.thresholds[""] = float(np.clip(whole, LOWEST, HIGHEST))
     for lang in set(langs):
         own = by == lang
         if labels[own].sum() >= LEAST_POSITIVE:
-            model.thresholds[lang] = float(np.clip(_best(scores[own], labels[own]), 0.35, 0.6))
+            model.thresholds[lang] = float(np.clip(_best(scores[own], labels[own]), LOWEST, HIGHEST))
 
 
-def fitted(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model | None:
+def fitted(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, most_bytes: int = MAX_BYTES) -> Model | None:
     """The model of a bounded sample of the labelled documents, fitted in one task. The sample's ids, never documents, are broadcast."""
     votes = labels.filter(F.col("label").isNotNull()).groupBy("id").agg(F.avg("label").alias("mean")).filter(F.col("mean") != 0.5)
     parts = max(1, -(-votes.count() // limit))
     chosen = votes.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == 0).select("id", (F.col("mean") > 0.5).cast("int").alias("label"))
-    rows = documents.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "id")
+    rows = cut(documents.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "id").select("id", "text", "lang", "label"))
+    thinned = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // most_bytes))
+    if thinned > 1:
+        rows = rows.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(thinned)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[str, tuple] = {}
@@ -299,7 +307,7 @@ def fitted(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -
         model = fit(texts, np.array([first[t][2] for t in texts], dtype=np.int64), [language(first[t][1]) for t in texts])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    made = rows.select("id", "text", "lang", "label").repartition(1).mapInArrow(run, "model binary").collect()
+    made = rows.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(made[0].model) if made else None
 
 

@@ -156,7 +156,7 @@ def test_ids_equal_the_library(spark):
 
 
 def test_round_trip_of_any_bytes(spark):
-    raw = [b"ok", b"\xff\xfe", b"a\xc3", b"\xe2\x82 b", "é".encode(), b""]
+    raw = [b"ok", b"\xff" * 3 + "é\u4e00".encode() + b"\xed\xa0\x80 \xc0", b"a\xff " * 30_000, b"\xff\xfe", b"a\xc3", b"\xe2\x82 b", "é".encode(), b""]
     df = spark.createDataFrame(list(enumerate(raw)), "k int, t binary")
     ids = encode.encode(df, "k", "t")
     assert dict(rows(encode.decode(ids, "k", "ids"))) == dict(enumerate(raw))
@@ -191,9 +191,25 @@ def test_packing(spark):
         assert [x[0] for x in p] == list(range(len(p))) and sum(x[2] for x in p) == sizes[doc]
         assert len(p) == max(1, -(-sizes[doc] // 128)) and [x[1] for x in p] == [128 * i for i in range(len(p))]
     assert sum(used.values()) / (128 * len(used)) > 0.95
+    assert {r.doc_id: r.position for r in got}.keys() == sizes.keys() and len({r.position for r in got}) == len(sizes)
     assert pack.pack_texts(df.limit(0), "doc_id", "text", 128).count() == 0
 
 
+def test_containers_hold_neighbours(spark):
+    """Texts of two kinds in one table: nearly every container holds texts of one kind, and little room is left."""
+    rng = random.Random(14)
+    kinds = [[f"{k}{w}" for w in ("stone", "river", "cloud", "metal", "paper")] for k in ("alpha ", "omega beta ")]
+    texts = [" ".join(rng.choice(kinds[i % 2]) for _ in range(rng.randrange(4, 40))) for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = pack.pack_texts(df, "doc_id", "text", 512).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r.container, []).append(r)
+    assert np.mean([len({r.doc_id % 2 for r in rs}) == 1 for rs in held.values()]) > 0.6
+    spans = sorted(max(r.position for r in rs) - min(r.position for r in rs) for rs in held.values())
+    assert spans[len(spans) // 2] < 2 * pack.RUN and sum(r.n_tokens for r in got) / (512 * len(held)) > 0.97
+
+
 # near duplicates
 
 
@@ -267,7 +283,10 @@ def test_near_duplicates_of_nothing(spark):
 # vectors
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("span", [60_000, 150])
+def test_neighbours(spark, monkeypatch, span):
+    """In one range per ordering, and in several."""
+    monkeypatch.setattr(similar, "RANGE", span)
     rng = np.random.default_rng(6)
     centres = rng.standard_normal((40, 16))
     v = np.concatenate([c + 0.25 * rng.standard_normal((15, 16)) for c in centres]).astype(np.float32)
@@ -384,3 +403,6 @@ def test_scores_of_a_table(spark):
     none = abuse.score(docs, labels.limit(0), "id", "text", "lang").agg(F.max("score"), F.bool_or("abusive")).first()
     assert tuple(none) == (0.0, False)
     assert abuse.score(docs.limit(0), labels, "id", "text", "lang").count() == 0
+    few = docs.select("id", "text", "lang")
+    whole, thin = (abuse.fitted(few, labels, most_bytes=n) for n in (10**9, 4_000))
+    assert len(thin.buckets) < len(whole.buckets)
