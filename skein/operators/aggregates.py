@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.functions import vectors as V
 from skein.operators.components import components
+from skein.operators.running import places, running
 
 
 def top_terms(docs: DataFrame, text: Column, limit: int, least_chars: int = 4, stop: tuple[str, ...] = T.TERM_STOP_WORDS) -> DataFrame:
@@ -103,8 +104,7 @@ def status_rollup(df: DataFrame, group: list[str], status: Column) -> DataFrame:
 
 def midpoint_sample(df: DataFrame, group: list[str], order: list[str], limit: int) -> DataFrame:
     """Of each group's rows in order those at places int((slot + 0.5) / limit * n) for slots 0 to limit - 1; all rows of a group of no more."""
-    w = Window.partitionBy(*group)
-    r = df.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w)})
+    r = running(df, group, order, F.lit(1), "_i", "_n")
     # slot s picks i if int((s + 0.5) / limit * n) = i: some s with (i * limit / n) - 0.5 <= s < ((i + 1) * limit / n) - 0.5
     low, high = F.ceil(F.col("_i") * limit / F.col("_n") - 0.5), F.ceil((F.col("_i") + 1) * limit / F.col("_n") - 0.5)
     return r.filter((F.col("_n") <= limit) | ((low < high) & (high > 0) & (low < limit))).drop("_i", "_n")
@@ -112,15 +112,14 @@ def midpoint_sample(df: DataFrame, group: list[str], order: list[str], limit: in
 
 def quantile_groups(df: DataFrame, group: list[str], value: str, key: str, share: float, least: int) -> DataFrame:
     """top and bottom rows of each group by value: int(n * share) of either, at least ``least``, never more than half."""
-    w = Window.partitionBy(*group)
-    r = df.withColumns({"_i": F.row_number().over(w.orderBy(F.desc(value), key)), "_n": F.count("*").over(w)})
+    r = places(df, group, [F.desc(value), key], "_i", "_n")
     cut = F.least(F.greatest(F.floor(F.col("_n") * share), F.lit(least)), F.floor(F.col("_n") / 2))
     side = F.when(F.col("_i") <= cut, "top").when(F.col("_i") > F.col("_n") - cut, "bottom")
     return r.withColumn("side", side).filter("side is not null").drop("_i", "_n")
 
 
 def split_labels(df: DataFrame, order: list[str], train: float, validation: float, name: str = "split") -> DataFrame:
-    """train, validation, test by place in the order: the first int(n * train) rows, then int(n * validation). For tables of episodes."""
-    n = F.count("*").over(Window.partitionBy())
-    i = F.row_number().over(Window.orderBy(*order))
-    return df.withColumn(name, F.when(i <= F.floor(n * train), "train").when(i <= F.floor(n * train) + F.floor(n * validation), "validation").otherwise("test"))
+    """train, validation, test by place in the order: the first int(n * train) rows, then int(n * validation)."""
+    r = places(df, [], order, "_i", "_n")
+    i, n = F.col("_i"), F.col("_n")
+    return r.withColumn(name, F.when(i <= F.floor(n * train), "train").when(i <= F.floor(n * train) + F.floor(n * validation), "validation").otherwise("test")).drop("_i", "_n")

@@ -129,10 +129,10 @@ def community_overlap(sets: DataFrame, key: str, members: str, community: DataFr
     community: the same columns. A member counts for a row if a community row of another key has it, so members are counted once by
     rows, not paired.
     """
-    each = lambda df: df.select(F.col(key).alias("k"), F.explode(F.array_distinct(members)).alias("m")).filter("m is not null")
-    pool = each(community).groupBy("m").agg(F.count_distinct("k").alias("rows"), F.min("k").alias("one"))
-    shared = each(sets).join(pool, "m", "left").groupBy("k").agg(F.count("*").alias("own"), F.count_if((F.col("rows") > 1) | ((F.col("rows") == 1) & (F.col("one") != F.col("k")))).alias("common"))
-    return sets.select(key).join(shared, F.col(key) == F.col("k"), "left").select(key, F.coalesce(F.round(F.col("common") / F.col("own"), 6), F.lit(0.0)).alias("overlap"))
+    each = lambda df: df.select(F.col(key).alias("_k"), F.explode(F.array_distinct(members)).alias("_m")).filter("_m is not null")
+    pool = each(community).groupBy("_m").agg(F.count_distinct("_k").alias("_rows"), F.min("_k").alias("_one"))
+    shared = each(sets).join(pool, "_m", "left").groupBy("_k").agg(F.count("*").alias("_own"), F.count_if((F.col("_rows") > 1) | ((F.col("_rows") == 1) & (F.col("_one") != F.col("_k")))).alias("_common"))
+    return sets.select(key).join(shared, F.col(key) == F.col("_k"), "left").select(key, F.coalesce(F.round(F.col("_common") / F.col("_own"), 6), F.lit(0.0)).alias("overlap"))
 
 
 def corpus_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:

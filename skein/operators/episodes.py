@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.functions.dates import month_index, month_of_index
 from skein.operators.mapping import small
+from skein.operators.running import places, running
 
 
 def calendar_windows(bounds: DataFrame, length: int, step: int) -> DataFrame:
@@ -44,8 +45,7 @@ def round_robin(df: DataFrame, group: list[str], key: str, limit: int) -> DataFr
 
 def label_pairs(df: DataFrame, group: str, key: str, idea: str, candidate: str) -> DataFrame:
     """Each row's idea with its own candidate (label 1), and with that of the next row of its group, in order of the key (label 0)."""
-    w = Window.partitionBy(group)
-    r = df.withColumns({"r": F.row_number().over(w.orderBy(key)), "n": F.count("*").over(w)})
+    r = places(df, [group], [key], "r", "n")
     own = r.select(group, key, F.lit(1).alias("label"), idea, candidate)
     other = r.select(F.col(group).alias("_g"), F.col("r").alias("_r"), F.col(candidate).alias("_c"))
     wrong = r.filter("n > 1").join(other, (F.col(group) == F.col("_g")) & (F.col("_r") == F.col("r") % F.col("n") + 1))
@@ -87,7 +87,7 @@ def violations(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
 
 def group_invariant(df: DataFrame, parts: list[str], order: str, size: int, same: list[str]) -> DataFrame:
     """Consecutive groups of ``size`` rows of each part: how many, how many agree in the columns, how many are short."""
-    g = df.withColumn("g", F.floor((F.row_number().over(Window.partitionBy(*parts).orderBy(order)) - 1) / size))
+    g = running(df, parts, [order], F.lit(1), "g").withColumn("g", F.floor(F.col("g") / size))
     per = g.groupBy(*parts, "g").agg(F.count("*").alias("n"), F.count_distinct(*same).alias("d"))
     return per.groupBy(*parts).agg(F.count("*").alias("groups"), F.count_if(F.col("d") == 1).alias("uniform"), F.count_if(F.col("n") < size).alias("short"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators.mapping import small
+from skein.operators.running import places
 
 
 def base_score(words: Column, signals: Column) -> Column:
@@ -27,12 +28,11 @@ def latest(df: DataFrame, group: list[str], date: str) -> DataFrame:
 def recent_rows(df: DataFrame, group: list[str], date: str, key: str, cutoff: Column, months: int, fallback: int) -> DataFrame:
     """``df`` with the column part: recent within so many months of the cutoff, else long_term; in a group with none recent, its last
     ``fallback`` rows are."""
-    w = Window.partitionBy(*group)
     near = F.col(date) >= F.add_months(cutoff, -months)
-    place = F.row_number().over(w.orderBy(F.desc(date), F.desc(key)))
-    r = df.withColumns({"_near": near, "_has": F.bool_or(near).over(w), "_place": place})
-    recent = F.when(F.col("_has"), F.col("_near")).otherwise(F.col("_place") <= fallback)
-    return r.withColumn("part", F.when(recent, "recent").otherwise("long_term")).drop("_near", "_has", "_place")
+    any_near = df.groupBy(*(F.col(g).alias(f"_{g}") for g in group)).agg(F.bool_or(near).alias("_has"))
+    r = places(df, group, [F.desc(date), F.desc(key)], "_place").join(any_near, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group])
+    recent = F.when(F.col("_has"), near).otherwise(F.col("_place") <= fallback)
+    return r.withColumn("part", F.when(recent, "recent").otherwise("long_term")).drop("_has", "_place", *(f"_{g}" for g in group))
 
 
 def materialized(df: DataFrame, key: str, ids: str, lookup: DataFrame, lookup_key: str, value: str) -> DataFrame:
@@ -49,8 +49,7 @@ def prior(samples: DataFrame, key: str, text: str, memory: DataFrame, entry: str
     Strength falls with an entry's age in rows: 1 for the newest. Only entries that share a token can beat the floor, so samples
     and entries meet by tokens; the others get the floor.
     """
-    m = memory.withColumns({"_n": F.count("*").over(Window.partitionBy(*group)), "_r": F.row_number().over(Window.partitionBy(*group).orderBy(entry))})
-    m = m.select(*group, F.col(entry).alias("_e"), T.token_set(F.col(known)).alias("_b"), (F.col("_r") / F.col("_n")).alias("_strength"))
+    m = places(memory, group, [entry], "_r", "_n").select(*group, F.col(entry).alias("_e"), T.token_set(F.col(known)).alias("_b"), (F.col("_r") / F.col("_n")).alias("_strength"))
     s = samples.select(*group, F.col(key).alias("_k"), T.token_set(F.col(text)).alias("_a"))
     left = s.select(*group, "_k", F.size("_a").alias("_na"), F.explode("_a").alias("_t"))
     right = m.select(*group, "_e", F.size("_b").alias("_nb"), "_strength", F.explode("_b").alias("_t"))

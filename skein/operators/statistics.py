@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import vectors as V
+from skein.operators.running import running
 from skein.plans.cut import cut
 from skein.plans.spread import spread
 
@@ -15,11 +16,10 @@ from skein.plans.spread import spread
 def average_ranks(df: DataFrame, value: str, group: list[str], name: str) -> DataFrame:
     """``df`` with ranks from 1 in which equal values share their mean rank.
 
-    Counts per distinct value are ranked, so a value shared by many rows costs one row.
+    Counts per distinct value are ranked, so a value shared by many rows costs one row; a group's values need not fit one task.
     """
     counts = df.groupBy(*group, value).agg(F.count("*").alias("_n"))
-    below = F.sum("_n").over(Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.withColumn(name, F.coalesce(below, F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
+    ranks = running(counts, group, [value], F.col("_n"), "_below").withColumn(name, F.col("_below") + (F.col("_n") + 1) / 2).drop("_n", "_below")
     return df.join(ranks.withColumnsRenamed({c: f"_{c}" for c in [*group, value]}), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*group, value]]).drop(*(f"_{c}" for c in [*group, value]))
 
 
@@ -66,9 +66,10 @@ def spearman(df: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
 
 def group_advantage(df: DataFrame, group: list[str], reward: str) -> DataFrame:
     """Reward less the group's mean, over the group's population deviation (1 if that is 0)."""
-    w = Window.partitionBy(*group)
-    sd = F.stddev_pop(reward).over(w)
-    return df.withColumn("advantage", F.round((F.col(reward) - F.avg(reward).over(w)) / F.when(sd > 1e-12, sd).otherwise(1.0), 6))
+    per = df.groupBy(*(F.col(g).alias(f"_{g}") for g in group)).agg(F.avg(reward).alias("_mean"), F.stddev_pop(reward).alias("_sd"))
+    j = df.join(per, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group])
+    advantage = (F.col(reward) - F.col("_mean")) / F.when(F.col("_sd") > 1e-12, F.col("_sd")).otherwise(1.0)
+    return j.withColumn("advantage", F.round(advantage, 6)).drop("_mean", "_sd", *(f"_{g}" for g in group))
 
 
 def min_max(df: DataFrame, value: str, name: str) -> DataFrame:
