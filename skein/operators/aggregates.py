@@ -9,6 +9,7 @@ from skein.functions import text as T
 from skein.functions import vectors as V
 from skein.operators.components import components
 from skein.operators.running import places, running
+from skein.plans.cut import cut
 
 
 def top_terms(docs: DataFrame, text: Column, limit: int, least_chars: int = 4, stop: tuple[str, ...] = T.TERM_STOP_WORDS) -> DataFrame:
@@ -30,14 +31,22 @@ def frequent_pairs(kw: DataFrame, key: str, least: int) -> DataFrame:
     return a.join(b, key).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
-def keyword_clusters(kw: DataFrame, key: str, least: int, most: int) -> DataFrame:
-    """Columns cluster (its least keyword), keywords, total: keywords joined through frequent pairs; the ``most`` of greatest total frequency."""
+def cluster_members(kw: DataFrame, key: str, least: int) -> DataFrame:
+    """Columns kw, f, cluster: keywords of at least ``least`` documents, and the least keyword of those they are joined with through frequent pairs."""
     often = kw.groupBy("kw").agg(F.count("*").alias("f")).filter(F.col("f") >= least)
     found = components(frequent_pairs(kw, key, least).select("a", "b"))
-    member = often.join(found.select(F.col("node").alias("kw"), "component"), "kw", "left").withColumn("cluster", F.coalesce("component", "kw"))
-    sized = member.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct((-F.col("f")).alias("f"), "kw"))).alias("m"), F.sum("f").alias("total"))
-    ordered = sized.orderBy(F.desc("total"), "cluster").limit(most)
-    return ordered.select("cluster", F.array_join(F.transform("m", lambda x: x["kw"]), "|").alias("keywords"), "total")
+    return often.join(found.select(F.col("node").alias("kw"), "component"), "kw", "left").select("kw", "f", F.coalesce("component", "kw").alias("cluster"))
+
+
+def keyword_clusters(kw: DataFrame, key: str, least: int, most: int) -> DataFrame:
+    """Columns cluster (its least keyword), keywords, total: keywords joined through frequent pairs; the ``most`` of greatest total frequency.
+
+    Only the clusters reported list their keywords.
+    """
+    member = cut(cluster_members(kw, key, least))
+    top = member.groupBy("cluster").agg(F.sum("f").alias("total")).orderBy(F.desc("total"), "cluster").limit(most)
+    lists = member.join(F.broadcast(top), "cluster").groupBy("cluster", "total").agg(F.sort_array(F.collect_list(F.struct((-F.col("f")).alias("f"), "kw"))).alias("m"))
+    return lists.select("cluster", F.array_join(F.transform("m", lambda x: x["kw"]), "|").alias("keywords"), "total").orderBy(F.desc("total"), "cluster")
 
 
 def cluster_momentum(kw_docs: DataFrame, members: DataFrame, key: str, months: Column, last: int, recent_months: int) -> DataFrame:
@@ -113,8 +122,8 @@ def midpoint_sample(df: DataFrame, group: list[str], order: list[str], limit: in
 def quantile_groups(df: DataFrame, group: list[str], value: str, key: str, share: float, least: int) -> DataFrame:
     """top and bottom rows of each group by value: int(n * share) of either, at least ``least``, never more than half."""
     r = places(df, group, [F.desc(value), key], "_i", "_n")
-    cut = F.least(F.greatest(F.floor(F.col("_n") * share), F.lit(least)), F.floor(F.col("_n") / 2))
-    side = F.when(F.col("_i") <= cut, "top").when(F.col("_i") > F.col("_n") - cut, "bottom")
+    end = F.least(F.greatest(F.floor(F.col("_n") * share), F.lit(least)), F.floor(F.col("_n") / 2))
+    side = F.when(F.col("_i") <= end, "top").when(F.col("_i") > F.col("_n") - end, "bottom")
     return r.withColumn("side", side).filter("side is not null").drop("_i", "_n")
 
 

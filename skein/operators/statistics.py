@@ -41,7 +41,7 @@ def mann_whitney(df: DataFrame, value: str, first: Column, group: list[str]) ->
     m, n = F.count_if("first"), F.count_if(~F.col("first"))
     u = r.groupBy(*group).agg(m.alias("m"), n.alias("n"), (F.coalesce(F.sum(F.when(F.col("first"), F.col("r"))), F.lit(0.0)) - m * (m + 1) / 2).alias("u")).join(ties, group) if group else r.agg(m.alias("m"), n.alias("n"), (F.coalesce(F.sum(F.when(F.col("first"), F.col("r"))), F.lit(0.0)) - m * (m + 1) / 2).alias("u")).crossJoin(ties)
     size = F.col("m") + F.col("n")
-    variance = F.col("m") * F.col("n") / 12 * (size + 1 - F.col("ties") / (size * (size - 1)))
+    variance = F.col("m") * F.col("n") / 12 * (size + 1 - F.col("ties") / F.when(size > 1, size * (size - 1)))
     z = (F.col("u") - F.col("m") * F.col("n") / 2 - 0.5) / F.sqrt(F.when(variance > 0, variance))
     return u.select(*group, "m", "n", F.round("u", 4).alias("u"), F.round(z, 6).alias("z"), F.round(1 - normal_cdf(z), 6).alias("p"))
 

@@ -120,7 +120,7 @@ def keyword_components(spark, d):
 def keyword_momentum(spark, d):
     p = papers(spark, d)
     kw = _keywords(spark, d).join(p.select("paper_id", "published"), "paper_id")
-    members = kw.select("kw", F.substring("kw", 1, 1).alias("cluster")).distinct()
+    members = A.cluster_members(_keywords(spark, d), "paper_id", 3).select("kw", "cluster")
     return A.cluster_momentum(kw, members, "paper_id", D.month_index(F.col("published")), 2025 * 12 + 5, 6)
 
 
@@ -252,7 +252,7 @@ def rank_corr(spark, d):
 
 def mann_whitney_buckets(spark, d):
     s = _samples(spark, d).withColumn("days", F.datediff(D.published_date(F.col("future_paper_published_date")), D.cutoff_date(F.col("cutoff_date"))))
-    return S.mann_whitney(s, "days", F.col("split").eqNullSafe("test"), ["topic_id"]).select("topic_id", "m", "n", "u")
+    return S.mann_whitney(s, "days", F.col("split").eqNullSafe("test"), ["topic_id"]).select("topic_id", "m", "n", "u", F.round("z", 4).alias("z"), F.round("p", 4).alias("p"))
 
 
 def lead_time_buckets(spark, d):
@@ -336,7 +336,9 @@ SQL = {
     "keyword_components": f"""with recursive {_KW}, o as (select kw, count(*) f from kw group by kw having count(*) >= 3), e as (select a.kw a, b.kw b from kw a join kw b on a.paper_id = b.paper_id and a.kw < b.kw where a.kw in (select kw from o) and b.kw in (select kw from o) group by all having count(*) >= 3),
       u as (select a x, b y from e union select b, a from e), r(x, y) as (select kw, kw from o union select r.x, u.y from r join u on u.x = r.y), c as (select x kw, min(y) cluster from r group by x)
       select cluster, string_agg(kw, '|' order by f desc, kw) keywords, sum(f)::bigint total from c join o using (kw) group by cluster order by total desc, cluster limit 12""",
-    "keyword_momentum": f"""with {_KW}, h as (select distinct substr(kw, 1, 1) cluster, paper_id, year(published)*12 + month(published) - 1 m from kw), c as (select cluster, count(*) total, count(*) filter (where m between {2025 * 12} and {2025 * 12 + 5}) recent from h group by 1)
+    "keyword_momentum": f"""with recursive {_KW}, o as (select kw, count(*) f from kw group by kw having count(*) >= 3), e as (select a.kw a, b.kw b from kw a join kw b on a.paper_id = b.paper_id and a.kw < b.kw where a.kw in (select kw from o) and b.kw in (select kw from o) group by all having count(*) >= 3),
+      u as (select a x, b y from e union select b, a from e), r(x, y) as (select kw, kw from o union select r.x, u.y from r join u on u.x = r.y), l as (select x kw, min(y) cluster from r group by x),
+      h as (select distinct cluster, paper_id, year(published)*12 + month(published) - 1 m from kw join l using (kw)), c as (select cluster, count(*) total, count(*) filter (where m between {2025 * 12} and {2025 * 12 + 5}) recent from h group by 1)
       select *, (recent * 3 - greatest(1, total // 6))::double momentum from c""",
     "memory_build": f"""with {_S}, {_SD}, k as (select lower(trim(innovation.operator, ' ')) operator, topic_id, source via, future_paper_id, year(cut)*12 + month(cut) - 1 m, coalesce(pub, date '1900-01-01') o, sample_id from sd where innovation is not null)
       select operator, topic_id, via, count(*) frequency, (list(future_paper_id order by o, sample_id))[1] source, (list(m order by o, sample_id))[1]::int m, round(pow(0.9, greatest(0, {2025 * 12 + 11} - (list(m order by o, sample_id))[1])), 6) recency from k group by 1, 2, 3""",
@@ -385,7 +387,10 @@ SQL = {
       x as (select p.source, sum(case when p.n > q.n then 1 when p.n = q.n then 0.5 else 0 end) u from j p join j q on p.source is not distinct from q.source and p.a = 1 and q.a = 0 group by 1) select c.source, positives, negatives, round(case when positives > 0 and negatives > 0 then u / (positives * negatives) else 0.5 end, 6) auc from c left join x on x.source is not distinct from c.source""",
     "rank_corr": f"""with {_F}, r as (select topic_id, rank() over (partition by topic_id order by prior_score) + (count(*) over (partition by topic_id, prior_score) - 1) / 2 x, rank() over (partition by topic_id order by realization_score) + (count(*) over (partition by topic_id, realization_score) - 1) / 2 y from f where prior_score is not null and realization_score is not null) select topic_id, count(*) n, round(coalesce(corr(x, y), 0), 4) rho from r group by 1""",
     "mann_whitney_buckets": f"""with {_S}, {_SD}, x as (select topic_id, (pub - cut) d, coalesce(split = 'test', false) f from sd where pub - cut is not null), c as (select topic_id, count(*) filter (where f) m, count(*) filter (where not f) n from x group by 1),
-      u as (select a.topic_id, sum(case when a.d > b.d then 1 when a.d = b.d then 0.5 else 0 end) u from x a join x b on a.topic_id is not distinct from b.topic_id and a.f and not b.f group by 1) select c.topic_id, m, n, round(coalesce(u, 0), 4)::double u from c left join u on c.topic_id is not distinct from u.topic_id""",
+      u as (select a.topic_id, sum(case when a.d > b.d then 1 when a.d = b.d then 0.5 else 0 end) u from x a join x b on a.topic_id is not distinct from b.topic_id and a.f and not b.f group by 1), t as (select topic_id, sum(k * k * k - k) ties from (select topic_id, d, count(*)::double k from x group by 1, 2) group by 1),
+      v as (select c.topic_id, m, n, coalesce(u, 0) u, m * n / 12 * (m + n + 1 - ties / nullif((m + n) * (m + n - 1), 0)) v from c left join u on c.topic_id is not distinct from u.topic_id join t on t.topic_id is not distinct from c.topic_id),
+      z as (select *, (u - m * n / 2 - 0.5) / sqrt(case when v > 0 then v end) z from v), y as (select *, 1 / (1 + 0.2316419::double * abs(z)) t from z), q as (select *, exp(-z * z / 2) / 2.5066282746310002::double * t * (0.319381530::double + t * (-0.356563782::double + t * (1.781477937::double + t * (-1.821255978::double + t * 1.330274429::double)))) w from y)
+      select topic_id, m, n, round(u, 4)::double u, round(z, 4) z, round(1 - case when z >= 0 then 1 - w else w end, 4) p from q""",
     "lead_time_buckets": f"""with {_S}, {_SD}, x as (select split, case when cut is not null and pub is not null then coalesce(least(greatest((pub - cut) / (last_day((cut + interval 3 month)::date) - cut)::double, 0), 1), 0) end f from sd)
       select case when f < 1/3 then 'early' when f < 2/3 then 'mid' when f is not null then 'late' end bucket, count(*) n, round(avg((split = 'test')::int), 6) test_share from x group by 1""",
     "validation_report": """with j as (select doc_kind, length(text) n, abusive a from doc_labels join documents using (doc_id) where text is not null and abusive is not null), m as (select doc_kind, count(*) filter (where a = 1) positives, count(*) filter (where a = 0) negatives, median(n) filter (where a = 1) positive_median, median(n) filter (where a = 0) negative_median, max(n) filter (where a = 0) negative_max from j group by 1),

@@ -163,7 +163,7 @@ SQL = {
       v as (select sample_id, try_cast(case when length(c) = 7 then c || '-01' else c end as date) cut, case when length(p) = 7 then last_day(try_cast(p || '-01' as date)) else try_cast(p as date) end pub from s),
       w as (select *, last_day((cut + interval 3 month)::date) e from v)
       select sample_id, datediff('day', cut, pub)::int as days, round(coalesce(least(greatest(datediff('day', cut, pub) / datediff('day', cut, e)::double, 0), 1), 0), 4) fraction from w""",
-    "daily_cutoffs": "select ts::date utc_day, (ts - interval 5 hour)::date new_york_day, count(*) n from events group by all",
+    "daily_cutoffs": "select ts::date utc_day, timezone('America/New_York', timezone('UTC', ts))::date new_york_day, count(*) n from events group by all",
     "title_scalars": rf"""with {PAPERS} select paper_id, array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' ') phrase, trim(regexp_replace(lower(title), '\s+', ' ', 'g')) title_key, substr(sha256(title), 1, 16) hash,
       case when length(title) > 40 then rtrim(substr(title, 1, 37)) || '...' else title end short, len({TOK.format('title')})::int n_tokens from p""",
     "keywords_clean": f"""with {PAPERS}, k as (select paper_id, list_sort(list_distinct(list_filter(list_transform(keywords, lambda x: trim(lower(x))), lambda x: x <> ''))) k,
