@@ -252,7 +252,7 @@ def rank_corr(spark, d):
 
 def mann_whitney_buckets(spark, d):
     s = _samples(spark, d).withColumn("days", F.datediff(D.published_date(F.col("future_paper_published_date")), D.cutoff_date(F.col("cutoff_date"))))
-    return S.mann_whitney(s, "days", F.col("split").eqNullSafe("test"), ["topic_id"]).select("topic_id", "m", "n", "u", F.round("z", 4).alias("z"), F.round("p", 4).alias("p"))
+    return S.mann_whitney(s, "days", F.col("split").eqNullSafe("test"), ["topic_id"])
 
 
 def lead_time_buckets(spark, d):
@@ -390,7 +390,7 @@ SQL = {
       u as (select a.topic_id, sum(case when a.d > b.d then 1 when a.d = b.d then 0.5 else 0 end) u from x a join x b on a.topic_id is not distinct from b.topic_id and a.f and not b.f group by 1), t as (select topic_id, sum(k * k * k - k) ties from (select topic_id, d, count(*)::double k from x group by 1, 2) group by 1),
       v as (select c.topic_id, m, n, coalesce(u, 0) u, m * n / 12 * (m + n + 1 - ties / nullif((m + n) * (m + n - 1), 0)) v from c left join u on c.topic_id is not distinct from u.topic_id join t on t.topic_id is not distinct from c.topic_id),
       z as (select *, (u - m * n / 2 - 0.5) / sqrt(case when v > 0 then v end) z from v), y as (select *, 1 / (1 + 0.2316419::double * abs(z)) t from z), q as (select *, exp(-z * z / 2) / 2.5066282746310002::double * t * (0.319381530::double + t * (-0.356563782::double + t * (1.781477937::double + t * (-1.821255978::double + t * 1.330274429::double)))) w from y)
-      select topic_id, m, n, round(u, 4)::double u, round(z, 4) z, round(1 - case when z >= 0 then 1 - w else w end, 4) p from q""",
+      select topic_id, m, n, round(u, 4)::double u, round(z, 6) z, round(1 - case when z >= 0 then 1 - w else w end, 6) p from q""",
     "lead_time_buckets": f"""with {_S}, {_SD}, x as (select split, case when cut is not null and pub is not null then coalesce(least(greatest((pub - cut) / (last_day((cut + interval 3 month)::date) - cut)::double, 0), 1), 0) end f from sd)
       select case when f < 1/3 then 'early' when f < 2/3 then 'mid' when f is not null then 'late' end bucket, count(*) n, round(avg((split = 'test')::int), 6) test_share from x group by 1""",
     "validation_report": """with j as (select doc_kind, length(text) n, abusive a from doc_labels join documents using (doc_id) where text is not null and abusive is not null), m as (select doc_kind, count(*) filter (where a = 1) positives, count(*) filter (where a = 0) negatives, median(n) filter (where a = 1) positive_median, median(n) filter (where a = 0) negative_median, max(n) filter (where a = 0) negative_max from j group by 1),
