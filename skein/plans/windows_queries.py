@@ -12,6 +12,7 @@ from skein.operators import folds
 from skein.operators import windows as W
 from skein.plans.cut import cut
 from skein.plans.scalar_queries import PAPERS, TOK, jac, papers
+from skein.plans.spread import spread
 from skein.sources.tables import table
 
 TOP_K, HORIZON, MIN_TRAIN, LEAST = 5, 3, 6, 0.1
@@ -38,7 +39,8 @@ def _future(spark, d, predicted):
     """Predictions with the future papers of their window: they meet by topic and month."""
     p = _papers(spark, d).select("topic_id", D.month_index(F.col("published")).alias("m"), "published", F.col("paper_id").alias("paper"), T.token_set(T.paper_text(F.col("title"), F.col("keywords"), F.col("summary"))).alias("paper_words"))
     at = D.month_index(F.col("cut"))
-    return predicted.withColumn("m", F.explode(F.sequence(at, at + HORIZON))).join(p, ["topic_id", "m"]).filter("published > cut")
+    asked = predicted.withColumn("m", F.explode(F.sequence(at, at + HORIZON)))
+    return spread(asked, "topic_id", "m").join(p, ["topic_id", "m"]).filter("published > cut")
 
 
 def candidates(spark, d, predicted):
