@@ -194,9 +194,9 @@ def daily_job(spark, d):
     i = _ideas(spark, d).withColumn("cut", D.cutoff_date(F.col("cutoff_date"))).filter("topic_id is not null and cut is not null")
     last = i.groupBy("strategy_id").agg(F.max("cut").alias("cut"))
     i = B.reranked(i.join(last, ["strategy_id", "cut"]), ["strategy_id", "topic_id", "cut"], [F.desc("score"), F.col("pred_id")], 5)
-    left = i.select("strategy_id", "topic_id", "cut", "rank", T.token_set(T.idea_text(F.col("title"), F.col("rationale"), F.col("approach"), F.col("key_terms"))).alias("a"))
-    right = new.select("topic_id", F.col("paper_id").alias("paper"), "published", T.token_set(T.paper_text(F.col("title"), F.col("keywords"), F.col("summary"))).alias("b"))
-    near = left.join(right, "topic_id").filter("published > cut").withColumn("score", F.round(T.jaccard(F.col("a"), F.col("b")), 6)).filter("score > 0.1")
+    left = i.select("strategy_id", "topic_id", "cut", "rank", T.hashed_set(T.token_set(T.idea_text(F.col("title"), F.col("rationale"), F.col("approach"), F.col("key_terms")))).alias("a"))
+    right = new.select("topic_id", F.col("paper_id").alias("paper"), "published", T.hashed_set(T.token_set(T.paper_text(F.col("title"), F.col("keywords"), F.col("summary")))).alias("b"))
+    near = left.join(right, "topic_id").filter("published > cut").filter(T.may_exceed(F.col("a"), F.col("b"), 0.1)).withColumn("score", F.round(T.jaccard(F.col("a"), F.col("b")), 6)).filter("score > 0.1")
     taken = folds.greedy_match(near.select("strategy_id", "topic_id", "cut", "rank", "paper", "score"), ["strategy_id", "topic_id", "cut"], 5)
     hits = taken.groupBy("strategy_id").agg(F.count("*").alias("matched"), F.min("rank").alias("first"))
     n = i.groupBy("strategy_id").agg(F.count("*").alias("predictions"))

@@ -32,12 +32,12 @@ def predictions(spark, d):
     """The first five ideas of each window (strategy, topic, cutoff) by score, ranked anew, with their words."""
     i = table(spark, d, "idea_predictions").dropDuplicates(["pred_id"]).withColumn("cut", D.cutoff_date(F.col("cutoff_date"))).filter("topic_id is not null and cut is not null")
     first = B.reranked(i, WINDOW, [F.desc("score"), F.col("pred_id")], TOP_K)
-    return first.select(*WINDOW, "rank", "pred_id", T.token_set(T.idea_text(F.col("title"), F.col("rationale"), F.col("approach"), F.col("key_terms"))).alias("words"))
+    return first.select(*WINDOW, "rank", "pred_id", T.hashed_set(T.token_set(T.idea_text(F.col("title"), F.col("rationale"), F.col("approach"), F.col("key_terms")))).alias("words"))
 
 
 def _future(spark, d, predicted):
     """Predictions with the future papers of their window: they meet by topic and month."""
-    p = _papers(spark, d).select("topic_id", D.month_index(F.col("published")).alias("m"), "published", F.col("paper_id").alias("paper"), T.token_set(T.paper_text(F.col("title"), F.col("keywords"), F.col("summary"))).alias("paper_words"))
+    p = _papers(spark, d).select("topic_id", D.month_index(F.col("published")).alias("m"), "published", F.col("paper_id").alias("paper"), T.hashed_set(T.token_set(T.paper_text(F.col("title"), F.col("keywords"), F.col("summary")))).alias("paper_words"))
     at = D.month_index(F.col("cut"))
     asked = predicted.withColumn("m", F.explode(F.sequence(at, at + HORIZON)))
     return spread(asked, "topic_id", "m").join(p, ["topic_id", "m"]).filter("published > cut")
@@ -45,7 +45,8 @@ def _future(spark, d, predicted):
 
 def candidates(spark, d, predicted):
     """Future papers of the predictions' windows that are like them, by the Jaccard similarity of their whole texts."""
-    scored = _future(spark, d, predicted).withColumn("score", F.round(T.jaccard(F.col("words"), F.col("paper_words")), 6))
+    near = _future(spark, d, predicted).filter(T.may_exceed(F.col("words"), F.col("paper_words"), LEAST))
+    scored = near.withColumn("score", F.round(T.jaccard(F.col("words"), F.col("paper_words")), 6))
     return scored.filter(F.col("score") > LEAST).select(*WINDOW, "rank", "paper", "score", "published")
 
 
