@@ -12,6 +12,7 @@ from skein.operators import aggregates as A
 from skein.operators import selection as S
 from skein.operators.lexical import lexical_similarity, nearest
 from skein.plans.scalar_queries import PAPERS, TOK, papers
+from skein.plans.spread import spread
 from skein.sources.tables import table
 
 
@@ -74,11 +75,12 @@ def manifest_summary(spark, d):
 
 
 def evidence_quality(spark, d):
-    """Mean over a forecast's evidence papers of the greater of token overlap and lexical similarity between proposal and paper title."""
+    """Mean over a forecast's evidence papers of the greater of token overlap and lexical similarity between the proposal and the paper's whole text."""
     f = _forecasts(spark, d).filter("proposal_text is not null").select("forecast_id", "proposal_text", F.explode("evidence_paper_ids").alias("paper_id"))
-    j = f.join(papers(spark, d).select("paper_id", F.coalesce("title", F.lit("")).alias("title")), "paper_id")
-    overlap = T.overlap(T.token_set(F.col("proposal_text")), T.token_set(F.col("title")))
-    return j.groupBy("forecast_id").agg(F.count("*").alias("n"), F.round(F.avg(F.greatest(overlap, lexical_similarity(F.col("proposal_text"), F.col("title")))), 4).alias("quality"))
+    p = papers(spark, d).select("paper_id", T.paper_text(F.col("title"), F.col("keywords"), F.col("summary")).alias("text"))
+    j = spread(f, "paper_id").join(p, "paper_id")
+    overlap = T.overlap(T.token_set(F.col("proposal_text")), T.token_set(F.col("text")))
+    return j.groupBy("forecast_id").agg(F.count("*").alias("n"), F.round(F.avg(F.greatest(overlap, lexical_similarity(F.col("proposal_text"), F.col("text")))), 4).alias("quality"))
 
 
 def heuristic_prior(spark, d):
