@@ -1,4 +1,5 @@
-"""Similarity by shared tokens and matching runs of characters, hashed embeddings and clusters: what needs Python, in Arrow batches.
+"""Similarity by shared tokens and matching runs of characters, hashed embeddings and clusters: what needs Python, in Arrow batches, and
+retrieval, which compares so many pairs that it runs in Java (``Lexical.java``).
 
 The sequence ratio is the standard library's, whose rule for popular characters in long texts no other measure reproduces. It costs
 time in proportion to both lengths, so retrieval meets candidates by shared tokens first. It is computed here with the library's rules,
@@ -8,18 +9,25 @@ but over the places of the first text that can match alone, which is several tim
 from __future__ import annotations
 
 import hashlib
-import re
+import uuid
 from bisect import bisect_left
 from difflib import get_close_matches
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from skein.functions import text as T
-from skein.plans.spread import spread
+from skein.plans.cut import cut
+from skein.plans.jvm import java_class
+from skein.plans.spread import tasks
+
+#: Blocks of fewer pairs aren't split; none holds more queries.
+LEAST_PAIRS, MOST_QUERIES = 500_000, 20_000
 
 
 @lru_cache(maxsize=4096)
@@ -107,87 +115,50 @@ def lexical_similarity(a: Column, b: Column) -> Column:
     return 0.65 * T.jaccard(T.token_set(a), T.token_set(b)) + 0.35 * sequence_ratio(a, b)
 
 
-def _blocks(queries: DataFrame, docs: DataFrame, group: list[str], most: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides with a column block: each group's queries (column q) fall into blocks of about ``most``, each of which gets all the group's documents."""
-    n = queries.groupBy(*group).agg(F.ceil(F.count("*") / most).alias("blocks"))
-    left = queries.join(n, group).withColumn("block", F.pmod(F.xxhash64("q"), "blocks")).drop("blocks")
-    right = docs.join(n, group).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("blocks")
+def blockwise(queries: DataFrame, docs: DataFrame, group: list[str], mode: str, columns: str, k: int = 1, wide: int = 1, least: float = 0.0) -> DataFrame:
+    """queries: the group's columns, q, text, day (null: all documents count); docs: the group's columns, p, text, day; texts in lower case.
+    What ``Lexical.java`` finds in this mode, with these columns.
+
+    A block is some of a group's queries and all of its documents, in one row. A group has as many blocks as its share of all pairs asks for,
+    so that no task has much more to do than another and documents are sent no more often than tasks need them."""
+    spark = queries.sparkSession
+    parts = 4 * tasks(queries)
+    sides = queries.select(*group, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(docs.select(*group, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    counts = cut(sides.groupBy(*group).agg(F.sum("l").alias("l"), F.sum("r").alias("r")))
+    most = max((counts.agg(F.sum(F.col("l").cast("double") * F.col("r"))).first()[0] or 0) / parts, LEAST_PAIRS)
+    n = counts.select(*group, F.greatest(F.lit(1), F.ceil(F.col("l").cast("double") * F.col("r") / most), F.ceil(F.col("l") / MOST_QUERIES)).alias("blocks"))
+    one = F.coalesce("blocks", F.lit(1).cast("bigint"))
+    left = queries.join(n, group, "left").select(*group, F.pmod(F.xxhash64("q"), one).alias("block"), F.struct("q", "text", F.unix_date("day").alias("day")).alias("query"))
+    right = docs.join(n, group, "left").select(*group, F.explode(F.sequence(F.lit(0).cast("bigint"), one - 1)).alias("block"), F.struct("p", "text", F.unix_date("day").alias("day")).alias("doc"))
     keys = [*group, "block"]
-    return spread(left, *keys), spread(right, *keys), keys
+    both = left.unionByName(right, allowMissingColumns=True).repartition(parts, *keys).groupBy(*keys).agg(F.collect_list("query").alias("queries"), F.sort_array(F.collect_list("doc")).alias("docs"))
+    kinds = T_.ArrayType(T_.StructType.fromDDL(columns))
+    name = f"skein_{mode}_{uuid.uuid4().hex}"
+    lexical = java_class(spark, Path(__file__).with_name("Lexical.java")).getConstructors()[0]
+    args = spark.sparkContext._gateway.new_array(spark._jvm.java.lang.Object, 4)
+    args[0], args[1], args[2], args[3] = mode, k, wide, float(least)
+    spark._jsparkSession.udf().register(name, lexical.newInstance(args), spark._jvm.org.apache.spark.sql.types.DataType.fromJson(kinds.json()))
+    return both.select(F.explode_outer(F.call_udf(name, F.col("queries"), F.col("docs"))).alias("found")).filter("found is not null").select("found.*")
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 def two_stage_retrieval(queries: DataFrame, docs: DataFrame, group: list[str], k: int, least: float = 0.0, wide: int = 50) -> DataFrame:
     """queries: the group's columns, q, text, day; docs: the group's columns, p, text, day. The max(10 k, wide) documents of most token overlap
     with each query, within equal groups and of days up to the query's, rescored by lexical similarity: the k best of at least ``least``;
-    ties by document key. A block of queries and its group's documents come together in one task."""
-    wide = max(10 * k, wide)
-    left, right, keys = _blocks(queries.withColumn("text", F.lower("text")), docs.withColumn("text", F.lower("text")), group, 250)
-
-    def run(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
-        ps = ps.sort_values(["day", "p"])
-        names, texts, days = ps.p.to_numpy(), ps.text.to_numpy(), np.array(ps.day, dtype="datetime64[D]")
-        order = np.argsort(np.argsort(names))
-        words = [set(re.findall("[a-z0-9]+", t)) for t in texts]
-        sizes = np.array([len(w) for w in words])
-        lists: dict[str, list[int]] = {}
-        for n, w in enumerate(words):
-            for t in w:
-                lists.setdefault(t, []).append(n)
-        index, out = {t: np.array(x) for t, x in lists.items()}, []
-        for q, text, day in zip(qs.q, qs.text, np.array(qs.day, dtype="datetime64[D]")):
-            w = set(re.findall("[a-z0-9]+", text))
-            met = [index[t] for t in w if t in index]
-            seen = int(np.searchsorted(days, day, side="right"))
-            if not met or not seen:
-                continue
-            common = np.bincount(np.concatenate(met), minlength=len(names))[:seen]
-            at = np.flatnonzero(common)
-            over = common[at] / np.minimum(len(w), sizes[at])
-            if len(at) > wide:
-                at = at[over >= np.partition(over, -wide)[-wide]]
-                over = common[at] / np.minimum(len(w), sizes[at])
-            jac = common[at] / (len(w) + sizes[at] - common[at])
-            best = np.lexsort((order[at], -jac, -over))[:wide]
-            scored = sorted((-round(0.65 * jac[x] + 0.35 * ratio(text, texts[at[x]]), 6), names[at[x]]) for x in best)
-            out += [(q, p, -s, place) for place, (s, p) in enumerate(scored[:k], 1) if -s >= least]
-        return pd.DataFrame(out, columns=["q", "p", "score", "place"])
-
-    kinds = f"q {queries.schema['q'].dataType.simpleString()}, p {docs.schema['p'].dataType.simpleString()}, score double, place int"
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, kinds)
+    ties by document key."""
+    columns = f"q {_kind(queries, 'q')}, p {_kind(docs, 'p')}, score double, place int"
+    return blockwise(queries.withColumn("text", F.lower("text")), docs.withColumn("text", F.lower("text")), group, "rescored", columns, k, max(10 * k, wide), least)
 
 
 def nearest(queries: DataFrame, docs: DataFrame, group: list[str]) -> DataFrame:
     """queries: the group's columns, q, text, day; docs: the group's columns, text, day. Per query the greatest lexical similarity with a
     document of its group of a day up to its own: q, s; no row without such a document. Every pair is compared whose token Jaccard and
-    lengths don't rule it out."""
-    left, right, keys = _blocks(queries.withColumn("text", F.lower("text")), docs.withColumn("text", F.lower("text")), group, 100)
-
-    def run(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
-        ps = ps.sort_values("day")
-        texts, days = ps.text.to_numpy(), np.array(ps.day, dtype="datetime64[D]")
-        words = [set(re.findall("[a-z0-9]+", t)) for t in texts]
-        sizes, lengths = np.array([len(w) for w in words]), np.array([len(t) for t in texts])
-        lists: dict[str, list[int]] = {}
-        for n, w in enumerate(words):
-            for t in w:
-                lists.setdefault(t, []).append(n)
-        index, out = {t: np.array(x) for t, x in lists.items()}, []
-        for q, text, day in zip(qs.q, qs.text, np.array(qs.day, dtype="datetime64[D]")):
-            w = set(re.findall("[a-z0-9]+", text))
-            seen = int(np.searchsorted(days, day, side="right"))
-            if not seen:
-                continue
-            common = np.bincount(np.concatenate([index[t] for t in w if t in index] or [np.array([], dtype=np.int64)]), minlength=len(texts))[:seen]
-            jac = common / np.maximum(len(w) + sizes[:seen] - common, 1)
-            bound = 0.65 * jac + 0.35 * 2 * np.minimum(len(text), lengths[:seen]) / np.maximum(len(text) + lengths[:seen], 1) + 1e-9
-            best = 0.0
-            for n in np.argsort(-jac, kind="stable"):
-                if bound[n] > best or not len(text):
-                    best = max(best, 0.65 * jac[n] + 0.35 * ratio(text, texts[n]))
-            out.append((q, best))
-        return pd.DataFrame(out, columns=["q", "s"])
-
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"q {queries.schema['q'].dataType.simpleString()}, s double")
+    lengths don't rule it out, until its matching runs show that it can't be the greatest."""
+    docs = docs.select(*group, F.lit(0).alias("p"), F.lower("text").alias("text"), "day")
+    return blockwise(queries.withColumn("text", F.lower("text")), docs, group, "nearest", f"q {_kind(queries, 'q')}, s double")
 
 
 def diversity(items: DataFrame, group: list[str], order: list[Column], text: str, k: int = 5) -> DataFrame:
