@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.operators.lexical import blockwise
 from skein.operators.mapping import small
 
 
@@ -37,16 +38,14 @@ def phrase_join(docs: DataFrame, key: str, text: Column, terms: DataFrame) -> Da
 def token_retrieval(queries: DataFrame, query_key: str, query_text: Column, docs: DataFrame, doc_key: str, doc_text: Column, k: int, group: list[str]) -> DataFrame:
     """The k documents of each query, within equal groups, by overlap of their token sets; ties by document key; no shared token, no row.
 
-    An inverted index: tokens of both sides meet by equality, and counts give the overlap.
+    Words meet within blocks of a group's queries with all its documents, in one task each (``Lexical.java``), so no pair is ever written.
     """
-    q = queries.select(*group, F.col(query_key).alias("q"), T.token_set(query_text).alias("qt")).withColumn("qn", F.size("qt"))
-    p = docs.select(*group, F.col(doc_key).alias("p"), T.token_set(doc_text).alias("pt")).withColumn("pn", F.size("pt"))
-    left = q.select(*group, "q", "qn", F.explode("qt").alias("token"))
-    right = p.select(*group, "p", "pn", F.explode("pt").alias("token"))
-    shared = left.join(right, [*group, "token"]).groupBy(*group, "q", "p", "qn", "pn").agg(F.count("*").alias("common"))
-    scored = shared.withColumn("overlap", F.round(F.col("common") / F.least("qn", "pn"), 6)).withColumn("jaccard", F.round(F.col("common") / (F.col("qn") + F.col("pn") - F.col("common")), 6))
-    order = Window.partitionBy(*group, "q").orderBy(F.desc("overlap"), F.desc("jaccard"), "p")
-    return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("q", "p", "common", "overlap", "jaccard", "place")
+    q = queries.select(*group, F.col(query_key).alias("q"), F.lower(query_text).alias("text"), F.lit(None).cast("date").alias("day"))
+    p = docs.select(*group, F.col(doc_key).alias("p"), F.lower(doc_text).alias("text"), F.lit(None).cast("date").alias("day"))
+    columns = f"q {q.schema['q'].dataType.simpleString()}, p {p.schema['p'].dataType.simpleString()}, common bigint, qn int, pn int, place int"
+    found = blockwise(q, p, group, "overlap", columns, k)
+    scored = found.withColumn("overlap", F.round(F.col("common") / F.least("qn", "pn"), 6)).withColumn("jaccard", F.round(F.col("common") / (F.col("qn") + F.col("pn") - F.col("common")), 6))
+    return scored.select("q", "p", "common", "overlap", "jaccard", "place")
 
 
 def priority_join(rows: DataFrame, samples: DataFrame) -> DataFrame:

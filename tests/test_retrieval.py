@@ -55,3 +55,31 @@ def test_java_s_ratio_is_the_library_s(spark):
                 b = a[20:90] + b if rng.random() < 0.5 else b
                 args[0], args[1] = a, b
                 assert ratio.invoke(None, args) == SequenceMatcher(None, a, b).ratio()
+
+
+def test_overlap_retrieval_writes_no_pairs(run):  # noqa: F811
+    rng = random.Random(5)
+    common = [f"w{x}" for x in range(40)]
+    text = lambda: " ".join(rng.sample(common, 40))
+    papers = [paper(f"p{x:04}", "2023-05-15", f"own{x}", f"{text()} {'a b c d e f g h' if x % 2 else ''}") for x in range(3000)]
+    ideas = [idea(x, title=f"own{x % 3000}", rationale=text(), approach=f"un{x} known{x}") for x in range(3000)]
+    began = time.time()
+    got = run("overlap_retrieval_topk", idea_predictions=(ideas, IDEAS), papers=(papers, PAPERS))
+    assert len(got) == 9000 and time.time() - began < 30
+    # 43 words against 42 or 50 with "keywords"; 41 of them shared with the paper of the same name, else 40
+    for r in got:
+        own, even = r.q % 3000 if r.q % 2 == 0 else None, [f"p{x:04}" for x in (0, 2, 4)]
+        want = [f"p{own:04}", *(x for x in even if x != f"p{own:04}")] if own is not None else None
+        if want:
+            assert r.p == want[r.place - 1] and r.common == (41 if r.place == 1 else 40) and r.overlap == round(r.common / 42, 6)
+        elif r.place == 1:
+            assert r.p == "p0000" or r.p == f"p{r.q:04}"
+
+
+def test_overlap_s_halves_round_up(run):  # noqa: F811
+    words = [f"x{n}" for n in range(128)]
+    papers = [paper(f"p{n}", "2023-05-15", " ".join(words[:127]), "", []) for n in range(2)]
+    ideas = [idea(1, title=" ".join([words[0], *(f"y{n}" for n in range(200))]))]
+    got = run("overlap_retrieval_topk", idea_predictions=(ideas, IDEAS), papers=(papers, PAPERS))
+    # 127 words and "keywords": 1 of 128 is 0.0078125
+    assert [(r.p, r.common, r.overlap, r.place) for r in got] == [("p0", 1, 0.007813, 1), ("p1", 1, 0.007813, 2)]
