@@ -83,3 +83,20 @@ def test_overlap_s_halves_round_up(run):  # noqa: F811
     got = run("overlap_retrieval_topk", idea_predictions=(ideas, IDEAS), papers=(papers, PAPERS))
     # 127 words and "keywords": 1 of 128 is 0.0078125
     assert [(r.p, r.common, r.overlap, r.place) for r in got] == [("p0", 1, 0.007813, 1), ("p1", 1, 0.007813, 2)]
+
+
+def test_two_stage_retrieval_rescores_many_candidates_in_time(run):  # noqa: F811
+    ideas, papers = _texts(6, 5000, 200)
+    began = time.time()
+    got = run("two_stage_retrieval", idea_predictions=(ideas, IDEAS), papers=(papers, PAPERS))
+    assert time.time() - began < 30
+    found = {(r.q, r.place): (r.p, r.score) for r in got}
+    for i in ideas[:5000:500]:
+        a, rated = _idea_text(i), []
+        x = set(re.findall("[a-z0-9]+", a))
+        for p in papers:
+            y = set(re.findall("[a-z0-9]+", _paper_text(p)))
+            if p[5] <= i[3] and x & y:
+                rated.append((-len(x & y) / min(len(x), len(y)), -len(x & y) / len(x | y), p[0], _paper_text(p)))
+        best = sorted((-round(_likeness(a, text), 6), p) for _, _, p, text in sorted(rated)[:50])[:3]
+        assert [found[i[0], n] for n in (1, 2, 3)] == [(p, pytest.approx(-s, abs=1e-9)) for s, p in best]
