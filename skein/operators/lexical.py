@@ -115,17 +115,18 @@ def lexical_similarity(a: Column, b: Column) -> Column:
     return 0.65 * T.jaccard(T.token_set(a), T.token_set(b)) + 0.35 * sequence_ratio(a, b)
 
 
-def blockwise(queries: DataFrame, docs: DataFrame, group: list[str], mode: str, columns: str, k: int = 1, wide: int = 1, least: float = 0.0) -> DataFrame:
+def blockwise(queries: DataFrame, docs: DataFrame, group: list[str], mode: str, columns: str, k: int = 1, wide: int = 1, least: float = 0.0, shares: int = 4) -> DataFrame:
     """queries: the group's columns, q, text, day (null: all documents count); docs: the group's columns, p, text, day; texts in lower case.
     What ``Lexical.java`` finds in this mode, with these columns.
 
     A block is some of a group's queries and all of its documents, in one row. A group has as many blocks as its share of all pairs asks for,
-    so that no task has much more to do than another and documents are sent no more often than tasks need them."""
+    so that no task has much more to do than another and documents are sent no more often than tasks need them: all pairs are ``shares`` times
+    as many blocks as there are tasks."""
     spark = queries.sparkSession
     parts = 4 * tasks(queries)
     sides = queries.select(*group, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(docs.select(*group, F.lit(0).alias("l"), F.lit(1).alias("r")))
     counts = cut(sides.groupBy(*group).agg(F.sum("l").alias("l"), F.sum("r").alias("r")))
-    most = max((counts.agg(F.sum(F.col("l").cast("double") * F.col("r"))).first()[0] or 0) / parts, LEAST_PAIRS)
+    most = max((counts.agg(F.sum(F.col("l").cast("double") * F.col("r"))).first()[0] or 0) / (shares * tasks(queries)), LEAST_PAIRS)
     n = counts.select(*group, F.greatest(F.lit(1), F.ceil(F.col("l").cast("double") * F.col("r") / most), F.ceil(F.col("l") / MOST_QUERIES)).alias("blocks"))
     one = F.coalesce("blocks", F.lit(1).cast("bigint"))
     left = queries.join(n, group, "left").select(*group, F.pmod(F.xxhash64("q"), one).alias("block"), F.struct("q", "text", F.unix_date("day").alias("day")).alias("query"))
@@ -150,7 +151,7 @@ def two_stage_retrieval(queries: DataFrame, docs: DataFrame, group: list[str], k
     with each query, within equal groups and of days up to the query's, rescored by lexical similarity: the k best of at least ``least``;
     ties by document key."""
     columns = f"q {_kind(queries, 'q')}, p {_kind(docs, 'p')}, score double, place int"
-    return blockwise(queries.withColumn("text", F.lower("text")), docs.withColumn("text", F.lower("text")), group, "rescored", columns, k, max(10 * k, wide), least)
+    return blockwise(queries.withColumn("text", F.lower("text")), docs.withColumn("text", F.lower("text")), group, "rescored", columns, k, max(10 * k, wide), least, shares=2)
 
 
 def nearest(queries: DataFrame, docs: DataFrame, group: list[str]) -> DataFrame:
